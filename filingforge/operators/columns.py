@@ -72,7 +72,8 @@ def batch_slices(
     )
     place = F.col("position")
     inside = F.filter(
-        ends.scalar(),
+        F.col("__batches"),
         lambda b: ((place >= b["start"]) & (place < b["end"])) | F.coalesce(place == b["extra"], F.lit(False)),
     )
-    return numbered.withColumn("__batch", F.explode(inside)).withColumn("batch", F.col("__batch.batch")).drop("__batch")
+    placed = numbered.withColumn("__batches", ends.scalar()).withColumn("__batch", F.explode(inside))
+    return placed.withColumn("batch", F.col("__batch.batch")).drop("__batch", "__batches")

@@ -60,11 +60,11 @@ def running_total(
     """`out` = sum of `value` over the rows before this one."""
     return _ordered_scan(
         df, keys, order, tuple(shifts), value, out,
-        running=lambda v: F.coalesce(F.sum(v), F.lit(0)),
+        running=F.sum,
         summary=lambda v, o: F.sum(v),
         merge=lambda here, before: F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0)),
         exclusive=True,
-    )
+    ).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def number_rows(

@@ -55,9 +55,12 @@ def mean_difference_by_sign(values: DataFrame) -> DataFrame:
 
 def feature_correlation(values: DataFrame, min_count: int = 100) -> DataFrame:
     """Per column of (column, value, diff): Pearson correlation with diff and number of values,
-    for columns with at least `min_count` values, highest first."""
+    for columns with at least `min_count` values, highest first; null for a constant column."""
+    both = F.col("value").isNotNull() & F.col("diff").isNotNull()
+    value, diff = F.when(both, F.col("value")), F.when(both, F.col("diff"))
+    spread = F.nullif(F.stddev_pop(value) * F.stddev_pop(diff), F.lit(0.0))
     found = values.groupBy("column").agg(
-        F.corr("value", "diff").alias("correlation"), F.count("value").alias("count")
+        (F.covar_pop(value, diff) / spread).alias("correlation"), F.count("value").alias("count")
     )
     return found.where(F.col("count") >= min_count).orderBy(F.desc("correlation"))
 

@@ -89,8 +89,8 @@ def candidates(spark, sf_dir) -> DataFrame:
     """Files in several parent folders: (parent, priority, symbol, file_name)."""
     listed = files(spark, sf_dir).withColumn("n", F.regexp_extract("file_name", r"(\d+)", 1).cast("long"))
     places = F.array_distinct(F.array(F.col("n") % 5, F.col("n") % 3 + 2))
-    return listed.select("symbol", "file_name", F.explode(places).cast("int").alias("priority")).withColumn(
-        "parent", F.get(F.array(*map(F.lit, PARENTS)), F.col("priority"))
+    return listed.select("symbol", "file_name", F.explode(places).alias("priority")).withColumn(
+        "parent", F.get(F.array(*map(F.lit, PARENTS)), F.col("priority").cast("int"))
     )
 
 
