@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from filingforge import vocabulary as V
 from filingforge.functions.dates import extract_date_text, has_header_date
 from filingforge.functions.numbers import is_plain_number, parse_amount
-from filingforge.operators.ordered import attach, carry_forward
-from filingforge.operators.staging import stage
+from filingforge.operators.ordered import TABLE_SHIFTS, attach, carry_forward
+from filingforge.operators.staging import stage, with_once
 
 CELLS_TYPE = "array<struct<col:bigint,text:string>>"
 
@@ -141,29 +141,23 @@ def header_dates(grid: DataFrame) -> DataFrame:
     """
     rows = grid.withColumn("__data_row", F.when(~F.col("is_header"), F.col("row_no")))
     flags = rows.select("filing", "row_no", "__data_row")
-    blocks = carry_forward(flags, ["filing"], "row_no", "__data_row", "__block")
+    blocks = carry_forward(flags, ["filing"], "row_no", "__data_row", "__block", shifts=TABLE_SHIFTS)
     headers = grid.where("is_header").join(
         blocks.where("__data_row is null").select(
             "filing", "row_no", F.coalesce("__block", F.lit(-1)).alias("__block")
         ),
         ["filing", "row_no"],
     )
-    text = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
-    parts = (
-        headers.select("filing", "__block", "row_no", F.inline("cells").alias("col", "text"))
-        .withColumn("text", F.regexp_replace(text, r"(?U)\s+", " "))
-        .where("text != ''")
-    )
+    cells = headers.select("filing", "__block", "row_no", F.inline("cells").alias("col", "text"))
+    text = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    parts = with_once(cells.where("text is not null"), {"text": text}).where("text != ''")
     joined = parts.groupBy("filing", "__block", "col").agg(
         F.max("row_no").alias("row_no"),
         F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("parts"),
     )
-    return (
-        joined.withColumn("context", F.array_join(F.transform("parts", lambda p: p["text"]), " "))
-        .withColumn("date_text", extract_date_text(F.col("context")))
-        .where("date_text is not null")
-        .select("filing", "col", "row_no", "date_text", "context")
-    )
+    contexts = with_once(joined, {"context": F.array_join(F.transform("parts", lambda p: p["text"]), " ")})
+    dated = with_once(contexts, {"date_text": extract_date_text(F.col("context"))})
+    return dated.where("date_text is not null").select("filing", "col", "row_no", "date_text", "context")
 
 
 def carry_header_dates(grid: DataFrame) -> DataFrame:
@@ -171,6 +165,7 @@ def carry_header_dates(grid: DataFrame) -> DataFrame:
 
     A column keeps its date until a later block gives it another, across the tables of a
     filing; a block at the end of a filing changes nothing. Needs `first_col` and `is_header`.
+    The dates found are few and read twice, so they are written once.
     """
     labels = F.filter("cells", lambda c: c["col"] == F.col("first_col"))
     data = (
@@ -183,13 +178,13 @@ def carry_header_dates(grid: DataFrame) -> DataFrame:
             F.lit(None).cast("struct<date_text:string,context:string>").alias("said"),
         )
     )
-    heads = header_dates(grid).select(
+    heads = stage(header_dates(grid), "header-dates").select(
         "filing", "col", "row_no",
         F.lit(None).cast("string").alias("label"),
         F.lit(None).cast("string").alias("cell"),
         F.struct("date_text", "context").alias("said"),
     )
-    filled = carry_forward(data.unionByName(heads), ["filing", "col"], "row_no", "said", "known")
+    filled = carry_forward(data.unionByName(heads), ["filing", "col"], "row_no", "said", "known", shifts=TABLE_SHIFTS)
     return filled.where("cell is not null").select(
         "filing", "row_no", "col", "label", "cell", "known.date_text", "known.context"
     )
@@ -201,12 +196,8 @@ def emit_facts(dated: DataFrame) -> DataFrame:
     A column read as numeric as a whole can hold no header text and so never has a date; the
     amounts of dated columns are therefore always read from text.
     """
-    return (
-        dated.where("date_text is not null")
-        .withColumn("value", parse_amount(F.col("cell")))
-        .where("value is not null")
-        .select("filing", "label", "date_text", "context", "value")
-    )
+    amounts = with_once(dated.where("date_text is not null"), {"value": parse_amount(F.col("cell"))})
+    return amounts.where("value is not null").select("filing", "label", "date_text", "context", "value")
 
 
 def locate_facts(grid: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 A window over one key runs in one task, however many rows the key has. Here every key is cut
 into runs of neighbouring order values (`order >> shift`); the window runs inside a run, one
 summary row per run is carried across runs the same way, and the two are joined on (key, run).
-With shifts (50, 12) a key of 10^12 dense rows meets no window of more than some 10^8 summary
-rows, and a key of small tables (order = table << 40 | row) none of more than 1,024 tables.
+With shifts (24, 12) a key of 10^12 dense rows meets no window of more than 60,000 rows. With
+(50, 12) the same holds for up to 1,024 * 60,000 small tables (order = table << 40 | row).
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN_SHIFTS = (50, 12)
+ROW_SHIFTS = (24, 12)
+TABLE_SHIFTS = (50, 12)
+RUN = 12
 
 
 def _ordered_scan(df, keys, order, shifts, value, out, running, summary, merge, exclusive):
@@ -21,10 +23,9 @@ def _ordered_scan(df, keys, order, shifts, value, out, running, summary, merge,
         return df.withColumn(out, running(F.col(value)).over(window))
     run = f"__run{len(shifts)}"
     before = f"__before{len(shifts)}"
-    # One exchange by (key, run) feeds both the window and, reused, the summary.
-    df = df.withColumn(run, F.shiftright(order, shifts[-1])).repartition(*keys, run)
+    df = df.withColumn(run, F.shiftright(order, shifts[-1]))
     window = W.partitionBy(*keys, run).orderBy(order).rowsBetween(W.unboundedPreceding, until)
-    sums = df.groupBy(*keys, run).agg(summary(F.col(value), F.col(order)).alias(value))
+    sums = summary(df, [*keys, run], order, value)
     coarser = tuple(s - shifts[-1] for s in shifts[:-1])
     carried = _ordered_scan(
         sums, keys, run, coarser, value, before, running, summary, merge, exclusive=True
@@ -37,9 +38,15 @@ def _ordered_scan(df, keys, order, shifts, value, out, running, summary, merge,
     )
 
 
+def _last_of_run(df: DataFrame, run: list[str], order: str, value: str) -> DataFrame:
+    # All runs by a hash distinct, the few values by max_by: no sort of the bulk of the rows.
+    ends = df.where(F.col(value).isNotNull()).groupBy(*run).agg(F.max_by(value, order).alias(value))
+    return df.select(*run).distinct().join(ends, run, "left")
+
+
 def carry_forward(
     df: DataFrame, keys: list[str], order: str, value: str, out: str,
-    exclusive: bool = False, shifts=RUN_SHIFTS,
+    exclusive: bool = False, shifts=ROW_SHIFTS,
 ) -> DataFrame:
     """`out` = the latest non-null `value` at or before (exclusive: before) the row's `order`.
 
@@ -48,27 +55,27 @@ def carry_forward(
     return _ordered_scan(
         df, keys, order, tuple(shifts), value, out,
         running=lambda v: F.last(v, ignorenulls=True),
-        summary=lambda v, o: F.max_by(v, F.when(v.isNotNull(), o)),
+        summary=_last_of_run,
         merge=lambda here, before: F.coalesce(here, before),
         exclusive=exclusive,
     )
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, value: str, out: str, shifts=RUN_SHIFTS
+    df: DataFrame, keys: list[str], order: str, value: str, out: str, shifts=ROW_SHIFTS
 ) -> DataFrame:
     """`out` = sum of `value` over the rows before this one."""
     return _ordered_scan(
         df, keys, order, tuple(shifts), value, out,
         running=F.sum,
-        summary=lambda v, o: F.sum(v),
+        summary=lambda rows, run, order, value: rows.groupBy(*run).agg(F.sum(value).alias(value)),
         merge=lambda here, before: F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0)),
         exclusive=True,
     ).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: str, out: str, shifts=RUN_SHIFTS
+    df: DataFrame, keys: list[str], order: str, out: str, shifts=ROW_SHIFTS
 ) -> DataFrame:
     """`out` = position 0, 1, 2, … of the row in `order` within the keys (none = whole frame)."""
     one = "__one"
@@ -80,7 +87,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], order: str) -> Da
     """Inner join with a frame of one row per key. That row is first copied to every run of the
     key, and rows meet it on (keys, run): a key with a third of all rows is spread over many
     tasks, and nothing depends on the size of `per_key`."""
-    run = F.shiftright(order, RUN_SHIFTS[-1])
+    run = F.shiftright(order, RUN)
     runs = df.select(*keys, run.alias("__run")).distinct().join(per_key, keys)
     return df.withColumn("__run", run).join(runs, [*keys, "__run"]).drop("__run")
 

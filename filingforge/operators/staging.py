@@ -3,7 +3,8 @@
 import uuid
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`withColumns` for costly expressions that later filters use: a filter is not pushed below a
+    generator, so each is computed once per row and not again in every filter."""
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(values)))

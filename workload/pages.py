@@ -48,12 +48,12 @@ def scan_html_files(spark, sf_dir):
 
 
 def table_elements(spark, sf_dir):
-    found = html_ops.table_elements(spread(markup(spark, sf_dir)))
+    found = html_ops.table_elements(markup(spark, sf_dir))
     return found.select("filing", "table_id", F.md5("table_html").alias("content"))
 
 
 def html_table_cells(spark, sf_dir):
-    return html_ops.html_table_cells(html_ops.html_table_rows(spread(markup(spark, sf_dir)))).select(
+    return html_ops.html_table_cells(html_ops.html_table_rows(markup(spark, sf_dir))).select(
         "filing", "table_id", "row_idx", "col_idx", "col_name", "cell"
     )
 
