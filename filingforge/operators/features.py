@@ -50,7 +50,7 @@ def is_person_name(name: Column, denied) -> Column:
     """Two or three capitalised words of letters, dots and hyphens, none of them denied; the
     first of 2-12 and the last of 2-15 characters. `denied` is the caller's word list."""
     words = F.filter(F.split(name, r"(?U)\s+"), lambda w: w != "")
-    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    first, last = F.get(words, F.lit(0)), F.try_element_at(words, F.lit(-1))
     ok = (
         F.size(words).between(2, 3)
         & F.forall(words, lambda w: F.left(w, F.lit(1)).rlike(r"\p{Lu}"))

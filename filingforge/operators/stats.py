@@ -101,22 +101,21 @@ def quantiles(values: DataFrame, shares: list[float]) -> DataFrame:
     values = values.where("value is not null and not isnan(value)")
     marks = [max(s - _NEAR, 0.0) for s in shares] + [min(s + _NEAR, 1.0) for s in shares]
     ranges = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
         F.approx_percentile("value", F.array(*map(F.lit, marks)), F.lit(_SKETCH)).alias("marks"),
     )
-    near = [
-        F.when(
-            F.col("value") <= F.col("marks")[i + len(shares)],
-            F.struct(
-                F.lit(i).alias("i"), F.lit(s).alias("share"),
-                F.when(F.col("value") >= F.col("marks")[i], F.col("value")).alias("at"),
-            ),
-        )
-        for i, s in enumerate(shares)
-    ]
+    few = F.col("n") * _NEAR < 4  # then the range would hold less than the two neighbours
+
+    def near_share(i, share):
+        low = F.when(few, F.col("least")).otherwise(F.col("marks")[i])
+        high = F.when(few, F.col("most")).otherwise(F.col("marks")[i + len(shares)])
+        at = F.when(F.col("value") >= low, F.col("value"))
+        return F.when(F.col("value") <= high, F.struct(F.lit(i).alias("i"), F.lit(share).alias("share"), at.alias("at")))
+
+    near = [near_share(i, s) for i, s in enumerate(shares)]
     counted = (
         values.join(ranges, "column")
-        .select("column", "n", F.inline(F.array_compact(F.array(*near))))
+        .select("column", "n", F.inline(F.array_compact(F.array(*near))).alias("i", "share", "at"))
         .groupBy("column", "n", "i", "share", "at")
         .agg(F.count(F.lit(1)).alias("k"))
     )

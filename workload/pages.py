@@ -7,8 +7,10 @@ from filingforge.operators import grid as grid_ops
 from filingforge.operators import html as html_ops
 from filingforge.operators import tables as table_ops
 from filingforge.operators.staging import new_folder, stage
+from filingforge.operators.wide import pivot_metrics
+from filingforge.plans import financials as plans
 from filingforge.sources import files
-from workload.inputs import GRID, TABLE_CELLS, markup, spread, table, table_rows, with_sql
+from workload.inputs import TABLE_CELLS, features, markup, spread, table, table_rows, with_sql
 
 
 def _pages(spark, sf_dir):
@@ -89,7 +91,23 @@ def drop_empty_columns(spark, sf_dir):
     return grid_ops.explode_cells(grid_ops.drop_empty_columns(stage(table_ops.stack_tables(chosen), "grid")))
 
 
+def training_table(spark, sf_dir):
+    """Pages to facts, metrics, sizes and keyword features, one row per filing."""
+    keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), ["Blue Ring", "Red Gear"], "symbol", "element")
+    return plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30)
+
+
+def skip_report(spark, sf_dir):
+    """Customers by the first stage they are missing from: no order, no finance table, no facts."""
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("filing"))
+    rows = _rows(spark, sf_dir)
+    large = table_ops.find_finance_tables(rows.where("table_id > 0"), terms=["450,", "460,", "470,", "480,", "490,"])
+    return plans.skip_report(customers, {"tables": rows.select("filing").distinct(), "finance tables": large.select("filing").distinct()})
+
+
 QUERIES = {
+    "training_table": training_table,
+    "skip_report": skip_report,
     "scan_html_files": scan_html_files,
     "html_normalize": html_normalize,
     "document_length": document_length,
@@ -143,6 +161,14 @@ stacked AS (
 _TABLES = TABLE_CELLS.replace("places AS (", "slots AS (").replace("FROM places LEFT JOIN", "FROM slots LEFT JOIN")
 
 ORACLE = {
+    "skip_report": with_sql(
+        _TABLES,
+        """big AS (SELECT DISTINCT filing FROM table_cells WHERE table_id IN (2, 3) AND regexp_matches(cell, '(45|46|47|48|49)0,'))""",
+        select="""SELECT 'C' || c_custkey AS filing,
+            CASE WHEN f.filing IS NULL THEN 'tables' ELSE 'finance tables' END AS stopped_before
+          FROM customer LEFT JOIN filings f ON f.filing = 'C' || c_custkey LEFT JOIN big ON big.filing = f.filing
+          WHERE big.filing IS NULL""",
+    ),
     "scan_html_files": "SELECT 'page-' || page_id AS name, length(html) AS length, md5(html) AS content FROM pages",
     "html_normalize": f"""SELECT page_id, md5(array_to_string(list_transform(
         regexp_extract_all({_LOWERED}, '<!doctype[^>]*>|[^<]+|<'),

@@ -6,6 +6,7 @@ from filingforge.functions.labels import title_case
 from filingforge.operators import features as feature_ops
 from filingforge.operators import html as html_ops
 from filingforge.operators import stats, wide
+from filingforge.plans.text_features import filing_features as features_of_pages
 from workload.inputs import (
     CATALOG, FEATURES, KEYWORD_VALUES, KEYWORD_WIDE, METRICS, TERMS, catalog, features, keyword_values, keyword_wide,
     metrics, spread, table, with_sql,
@@ -141,7 +142,14 @@ def group_count_desc(spark, sf_dir):
     return stats.group_count_desc(table(spark, sf_dir, "documents"), "lang")
 
 
+def filing_features(spark, sf_dir):
+    """Features of the given web pages, from markup to suffixed feature rows."""
+    pages = spread(table(spark, sf_dir, "pages")).select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("symbol"), "html")
+    return features_of_pages(pages, TERMS, _BANKS, _DENIED)
+
+
 QUERIES = {
+    "filing_features": filing_features,
     "pivot_metrics": pivot_metrics,
     "pivot_duplicate_names": pivot_duplicate_names,
     "group_sum": group_sum,

@@ -141,13 +141,13 @@ def _line_cells(spark, sf_dir):
 
 
 _LINE_CELLS = """WITH rows_ AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [
+  SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, [
     '$' || format('{:,.2f}', l_extendedprice) || ' and (' || CAST(l_quantity AS INTEGER) || 'K), net',
     'rate 1' || format('{:,.2f}', l_discount) || 'x or ' || format('{:,.1f}', l_tax * 100) || '%p, ',
     CASE WHEN l_linenumber % 3 <> 0 THEN '(' || (l_partkey % 100) || 'M' END] AS cells
   FROM lineitem),
 cells AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(cells) AS cell, unnest([0, 1, 2]) AS col FROM rows_),
+  SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(cells) AS cell, unnest([0, 1, 2]) AS col FROM rows_),
 found AS (
   SELECT * EXCLUDE toks, unnest(toks) AS token, unnest(range(len(toks))) AS pos
   FROM (SELECT *, regexp_extract_all(cell, '\\$?[\\(]?[\\d,]+\\.?\\d*[\\)]?[MmBbKk]?') AS toks FROM cells WHERE cell IS NOT NULL)),
@@ -233,15 +233,15 @@ ORACLE = {
     "money_value": _LINE_CELLS + f"SELECT {_KEY_SQL}, col, pos, token, value FROM money",
     "ratio_tokens": _LINE_CELLS
     + f""", ratio_found AS (
-      SELECT {_KEY_SQL}, col, unnest(toks) AS tok, unnest(range(len(toks))) AS k, n FROM (
+      SELECT rid, {_KEY_SQL}, col, unnest(toks) AS tok, unnest(range(len(toks))) AS k, n FROM (
         SELECT *, regexp_extract_all(cell, pattern) AS toks FROM cells,
           (VALUES (1, '(?i)\\b\\d+\\.\\d+x\\b'), (2, '(?i)\\b\\d+\\.\\d+%\\b'), (3, '(?i)\\b\\d+\\.\\d{{2,3}}\\b')) p(n, pattern)
         WHERE cell IS NOT NULL)),
     ratios AS (SELECT *, TRY_CAST(translate(tok, 'x%', '') AS DOUBLE) AS ratio FROM ratio_found)
-    SELECT {_KEY_SQL}, col, row_number() OVER (PARTITION BY {_KEY_SQL}, col ORDER BY n, k) - 1 AS pos, ratio
+    SELECT {_KEY_SQL}, col, row_number() OVER (PARTITION BY rid, col ORDER BY n, k) - 1 AS pos, ratio
     FROM ratios WHERE ratio IS NOT NULL""",
     "row_money": _LINE_CELLS
-    + f"""SELECT {_KEY_SQL}, row_number() OVER (PARTITION BY {_KEY_SQL} ORDER BY col, pos) - 1 AS pos, value
+    + f"""SELECT {_KEY_SQL}, row_number() OVER (PARTITION BY rid ORDER BY col, pos) - 1 AS pos, value
     FROM money WHERE value IS NOT NULL""",
     "humanize_money": """WITH amounts AS (
       SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice
