@@ -7,12 +7,13 @@ Everything about a row is a plain expression; what spans rows is or-ed, maxed or
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingforge import vocabulary as V
 from filingforge.functions.dates import document_dates
 from filingforge.functions.numbers import money_tokens, money_value, money_values, ratio_values
-from filingforge.operators.ordered import attach, number_rows
+from filingforge.operators.ordered import RUN, running_total
 from filingforge.operators.stats import top_k
 
 UNKNOWN_COMPANY = "Unknown Company"
@@ -24,18 +25,24 @@ def null_tokens(rows: DataFrame) -> DataFrame:
 
 
 def drop_empty(rows: DataFrame) -> DataFrame:
-    """Rows, then columns that are null throughout are dropped and the rows renumbered from 0."""
-    full = rows.where(F.exists("cells", lambda c: c.isNotNull()))
+    """Rows, then columns that are null throughout are dropped and the rows renumbered from 0.
+
+    Rows are shuffled once, by (doc, run of rows); what a run needs to know, the rows before it
+    and the columns to keep, is worked out on one summary row per run.
+    """
+    full = rows.where(F.exists("cells", lambda c: c.isNotNull())).withColumn("__run", F.shiftright(F.col("row_idx").cast("long"), RUN))
     columns = (
         full.select("doc", F.posexplode("cells").alias("pos", "cell"))
         .where("cell is not null")
         .groupBy("doc")
         .agg(F.array_sort(F.collect_set("pos")).alias("kept"))
     )
-    narrow = attach(full.withColumn("row_idx", F.col("row_idx").cast("long")), columns, ["doc"], "row_idx")
-    numbered = number_rows(narrow, ["doc"], "row_idx", "__row")
+    sizes = full.groupBy("doc", "__run").agg(F.count(F.lit(1)).alias("n"))
+    runs = running_total(sizes, ["doc"], "__run", "n", "before", shifts=(RUN,)).drop("n").join(columns, "doc")
+    nth = F.row_number().over(W.partitionBy("doc", "__run").orderBy("row_idx"))
+    placed = full.withColumn("__nth", nth).join(runs, ["doc", "__run"])
     cells = F.transform("kept", lambda i: F.get("cells", i))
-    return numbered.select("doc", F.col("__row").alias("row_idx"), cells.alias("cells"))
+    return placed.select("doc", (F.col("before") + F.col("__nth") - 1).alias("row_idx"), cells.alias("cells"))
 
 
 def clean_documents(rows: DataFrame) -> DataFrame:

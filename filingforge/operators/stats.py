@@ -1,6 +1,8 @@
 """Counts, profiles and association. All groupings combine map-side; a hot group costs one row
 per task."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,48 +92,58 @@ def profile_info(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
 
 
-def quantiles(values: DataFrame, shares: list[float]) -> DataFrame:
-    """Exact quantiles (linear between neighbours) per column of (column, value).
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, share, quantile): exact quantiles (linear between neighbours) of numeric columns.
 
     Sorting a column in one task, or holding its value counts in one buffer, does not scale.
-    Instead a sketch gives a narrow range of values around each quantile; a second pass counts
-    the values below the range and, per value, those inside; only these few are ordered. A
-    quantile outside its range would be an error, not a wrong result.
+    Instead a sketch gives a narrow range of values around each quantile (one row, fetched, so
+    that the ranges are constants a scan can use); a second pass counts the values below the
+    ranges, a third takes, per value, those inside; only these few are ordered. A quantile
+    outside its range would be an error, not a wrong result.
     """
-    values = values.where("value is not null and not isnan(value)")
+    df = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{n}") for n, c in enumerate(columns)])
     marks = [max(s - _NEAR, 0.0) for s in shares] + [min(s + _NEAR, 1.0) for s in shares]
-    ranges = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.approx_percentile("value", F.array(*map(F.lit, marks)), F.lit(_SKETCH)).alias("marks"),
-    )
-    few = F.col("n") * _NEAR < 4  # then the range would hold less than the two neighbours
 
-    def near_share(i, share):
-        low = F.when(few, F.col("least")).otherwise(F.col("marks")[i])
-        high = F.when(few, F.col("most")).otherwise(F.col("marks")[i + len(shares)])
-        at = F.when(F.col("value") >= low, F.col("value"))
-        return F.when(F.col("value") <= high, F.struct(F.lit(i).alias("i"), F.lit(share).alias("share"), at.alias("at")))
-
-    near = [near_share(i, s) for i, s in enumerate(shares)]
+    def known(value):
+        sketch = F.approx_percentile(value, F.array(*map(F.lit, marks)), F.lit(_SKETCH))
+        return F.struct(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), sketch.alias("marks"))
+
+    about = df.agg(*[known(c).alias(c) for c in df.columns]).first()
+    cases = []
+    for n, c in enumerate(df.columns):
+        size, least, most, sketch = about[c]
+        few = size * _NEAR < 4  # then the range would hold less than the two neighbours
+        for i, share in enumerate(shares if size else ()):
+            low, high = (least, most) if few else (sketch[i], sketch[i + len(shares)])
+            cases.append((columns[n], share, (size - 1) * share, F.col(c), F.lit(low), F.lit(high)))
+    if not cases:
+        return df.sparkSession.createDataFrame([], "column string, share double, quantile double")
+    below = df.agg(F.array(*[F.count_if(value < low) for *_, value, low, _ in cases]).alias("below"))
+    near = [
+        F.when(value.between(low, high), F.struct(F.lit(case).alias("case"), value.alias("at")))
+        for case, (*_, value, low, high) in enumerate(cases)
+    ]
     counted = (
-        values.join(ranges, "column")
-        .select("column", "n", F.inline(F.array_compact(F.array(*near))).alias("i", "share", "at"))
-        .groupBy("column", "n", "i", "share", "at")
+        df.where(reduce(lambda a, b: a | b, [value.between(low, high) for *_, value, low, high in cases]))
+        .select(F.inline(F.array_compact(F.array(*near))))
+        .groupBy("case", "at")
         .agg(F.count(F.lit(1)).alias("k"))
+        .withColumn("below", below.scalar())
+        .withColumn("rank", F.get(F.array(*[F.lit(rank) for _, _, rank, *_ in cases]), F.col("case")))
     )
-    upto = F.sum("k").over(W.partitionBy("column", "i").orderBy(F.asc_nulls_first("at")))
-    rank = (F.col("n") - 1) * F.col("share")
+    upto = F.get("below", F.col("case")) + F.sum("k").over(W.partitionBy("case").orderBy("at"))
 
-    def value_at(r):
-        return F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("k")), F.col("at")))
+    def value_at(rank):
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("k")), F.col("at")))
 
-    ends = counted.withColumn("upto", upto).groupBy("column", "i", "share").agg(
-        value_at(F.floor(rank)).alias("lo"), value_at(F.ceil(rank)).alias("hi"), F.max(rank - F.floor(rank)).alias("part")
+    ends = counted.withColumn("upto", upto).groupBy("case").agg(
+        value_at(F.floor("rank")).alias("lo"), value_at(F.ceil("rank")).alias("hi"), F.max(F.col("rank") - F.floor("rank")).alias("part")
     )
     exact = F.when(
         F.col("lo").isNull() | F.col("hi").isNull(), F.raise_error(F.lit("quantile outside its sketched range"))
     ).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
-    return ends.select("column", "share", exact.cast("double").alias("quantile"))
+    what = F.get(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("share")) for c, s, *_ in cases]), F.col("case"))
+    return ends.select(what["column"].alias("column"), what["share"].alias("share"), exact.cast("double").alias("quantile"))
 
 
 def profile_describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -143,7 +155,7 @@ def profile_describe(df: DataFrame, columns: list[str] | None = None) -> DataFra
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = quantiles(values, [0.25, 0.5, 0.75]).groupBy("column").agg(
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(
         *[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     )
     return plain.join(quartiles, "column", "left").select(

@@ -7,11 +7,12 @@ from filingforge.operators import statements as S
 from filingforge.operators import stats
 from filingforge.operators.staging import stage
 from filingforge.plans.documents import analyze_documents as analyze
-from workload.inputs import DOCUMENT_CELLS, document_rows, spread, table, with_sql
+from workload.inputs import DOCUMENT_CELLS, document_rows, table, with_sql
 
 
 def _cleaned(spark, sf_dir):
-    return stage(S.clean_documents(spread(document_rows(spark, sf_dir))), "documents")
+    rows = stage(document_rows(spark, sf_dir), "document-rows")
+    return stage(S.clean_documents(rows), "documents")
 
 
 def _features(spark, sf_dir):
@@ -65,8 +66,8 @@ def metrics_by_type(spark, sf_dir):
 def _analyzed(spark, sf_dir):
     """All customers as documents; those without orders have no file content and fail."""
     documents = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("doc"))
-    rows = spread(document_rows(spark, sf_dir)).where("row_idx % 7 > 2 or row_idx % 12 = 7")
-    return analyze(rows, documents)
+    rows = document_rows(spark, sf_dir)
+    return analyze(stage(rows, "document-rows"), documents)
 
 
 def analyze_documents(spark, sf_dir):

@@ -337,7 +337,7 @@ KEYWORD_VALUES = (
 def document_rows(spark, sf_dir) -> DataFrame:
     """(doc, row_idx, cells): one document per customer, one row per order; what a row says goes by
     the order's number. Some rows are empty, some terms and dates run over cells and rows."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     amount = F.format_number("o_totalprice", 2)
     none, lit, cat = _nulls("string"), F.lit, F.concat
     kinds = [

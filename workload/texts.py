@@ -133,7 +133,7 @@ def profile_info(spark, sf_dir):
 
 def profile_describe(spark, sf_dir):
     described = stats.profile_describe(
-        table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+        spread(table(spark, sf_dir, "lineitem")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     )
     return _rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")
 

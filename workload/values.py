@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from filingforge import vocabulary as V
 from filingforge.functions import dates, labels, numbers
-from workload.inputs import table
+from workload.inputs import spread, table
 
 _THIS_YEAR = 2024
 _M = V.MONTHS
@@ -67,7 +67,7 @@ def _line_amounts(spark, sf_dir):
         cat(lit("about $"), n, lit(" each")), cat(lit("("), n), cat(lit("-"), n), lit(","),
     ]
     text = F.get(F.array(*notations), ((F.col("l_orderkey") + F.col("l_linenumber")) % 9).cast("int"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
 
 
 _LINE_AMOUNTS = """WITH texts AS (
@@ -137,7 +137,7 @@ def _line_cells(spark, sf_dir):
         F.concat(F.lit("rate 1"), F.format_number("l_discount", 2), F.lit("x or "), F.format_number(F.col("l_tax") * 100, 1), F.lit("%p, ")),
         F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("("), (F.col("l_partkey") % 100).cast("string"), F.lit("M"))),
     )
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells"))
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells"))
 
 
 _LINE_CELLS = """WITH rows_ AS (
