@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingforge.functions.labels import url_basename
+from filingforge.vocabulary import READER_NULLS
 
 CATALOG_SCHEMA = (
     "symbol string, url string, volume double, day date, ipo_date date, open double, close double, "
@@ -59,9 +60,10 @@ def resolve_first_source(catalog: DataFrame, candidates: DataFrame) -> DataFrame
 
 
 def csv_records(text: Column) -> Column:
-    """Array of the records of a CSV text; line ends inside quotes do not split."""
+    """Array of the records of a CSV text; line ends inside quotes do not split, blank lines go."""
     plain = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_extract_all(plain, F.lit(r'(?:[^"\n]++|"(?:[^"]++|"")*+"|")++'), F.lit(0))
+    records = F.regexp_extract_all(plain, F.lit(r'(?:[^"\n]++|"(?:[^"]++|"")*+"|")++'), F.lit(0))
+    return F.filter(records, lambda r: ~r.rlike(r"^[ \t]*$"))
 
 
 def csv_cells(record: Column) -> Column:
@@ -79,13 +81,14 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
     """(doc, row_idx, cells) of headerless CSV files, one document per file.
 
     A file that is not valid UTF-8 is read as Latin-1; this is decided per file, so a file is one
-    record and must fit the 2 GB limit of a value.
+    record and must fit the 2 GB limit of a value. Cells that spell a null are null.
     """
     files = spark.read.format("binaryFile").load(path)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     doc = F.regexp_extract(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"^(.*?)(?:\.csv)?$", 1)
     rows = files.select(doc.alias("doc"), F.posexplode(csv_records(text)).alias("row_idx", "record"))
-    return rows.select("doc", F.col("row_idx").cast("long").alias("row_idx"), csv_cells(F.col("record")).alias("cells"))
+    cells = F.transform(csv_cells(F.col("record")), lambda c: F.when(~c.isin(READER_NULLS), c))
+    return rows.select("doc", F.col("row_idx").cast("long").alias("row_idx"), cells.alias("cells"))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_catalog(spark, tmp_path):
 
 
 def test_grids_of_both_encodings(spark, tmp_path):
-    (tmp_path / "one.csv").write_bytes('a,"b ""q"", c",\n\n,é,"x\ny"\n'.encode())
+    (tmp_path / "one.csv").write_bytes('a,"b ""q"", c",\n  \n\nNA,é,"x\ny"\n'.encode())
     (tmp_path / "two.csv").write_bytes("café,1\r\n".encode("latin-1"))
     got = sorted((r.doc, r.row_idx, r.cells) for r in files.read_grids(spark, str(tmp_path)).collect())
     assert got == [("one", 0, ["a", 'b "q", c', None]), ("one", 1, [None, "é", "x\ny"]), ("two", 0, ["café", "1"])]
