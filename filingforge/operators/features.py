@@ -4,6 +4,7 @@ Feature rows are (symbol, element, value, kind) and stay long; see `wide` for th
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,21 +22,29 @@ def _whole_word(term: str) -> str:
     return rf"(?U)\b\Q{term}\E\b"
 
 
-def keyword_counts(docs: DataFrame, terms=V.TARGET_KEYWORDS) -> DataFrame:
-    """(symbol, element, value): whole-word, case-blind counts per (symbol, text); zeros stay.
+_PAIRS = "array<struct<element:string,value:bigint>>"
+
+
+def keyword_pairs(lower_text: Column, terms=V.TARGET_KEYWORDS) -> Column:
+    """Array of (element, value): how often each term occurs as a whole word; zeros stay.
 
     A substring test goes first, so the pattern runs only over texts that hold the term at all.
     """
-    text = F.col("__text")
     counts = [
         F.struct(
             F.lit(t).alias("element"),
-            F.when(text.contains(t.lower()), F.regexp_count(text, F.lit(_whole_word(t.lower()))))
+            F.when(lower_text.contains(t.lower()), F.regexp_count(lower_text, F.lit(_whole_word(t.lower()))))
             .otherwise(0).cast("long").alias("value"),
         )
         for t in terms
     ]
-    return docs.select("symbol", F.lower("text").alias("__text")).select("symbol", F.inline(F.array(*counts)))
+    return F.array(*counts).cast(_PAIRS)
+
+
+def keyword_counts(docs: DataFrame, terms=V.TARGET_KEYWORDS) -> DataFrame:
+    """(symbol, element, value): whole-word, case-blind counts per (symbol, text); zeros stay."""
+    lowered = docs.select("symbol", F.lower("text").alias("__text"))
+    return lowered.select("symbol", F.inline(keyword_pairs(F.col("__text"), terms)))
 
 
 def keyword_frequency(docs: DataFrame, terms=V.FREQUENCY_KEYWORDS) -> DataFrame:
@@ -63,68 +72,71 @@ def is_person_name(name: Column, denied) -> Column:
     return ok
 
 
-def person_candidates(docs: DataFrame, denied=(), candidates: Column | None = None) -> DataFrame:
-    """(symbol, element, value): person names of a text and how often each occurs as whole words.
+def person_pairs(text: Column, denied=(), candidates: Column | None = None) -> Column:
+    """Array of (element, value): person names and how often each occurs as whole words.
 
     Without a name tagger, candidates are runs of two or three capitalised words; pass an
     ARRAY<STRING> column (say, from a Pandas UDF around a tagger) to use other candidates.
     """
-    found = F.regexp_extract_all("text", F.lit(_NAME), F.lit(0)) if candidates is None else candidates
+    found = F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)) if candidates is None else candidates
     names = F.filter(F.array_distinct(found), lambda n: is_person_name(n, denied))
-    counted = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("element"),
-            F.regexp_count(F.col("text"), F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b"))).cast("long").alias("value"),
-        ),
-    )
-    return docs.select("symbol", F.inline(counted)).where("value > 0")
 
+    def counted(n):
+        times = F.regexp_count(text, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))
+        return F.struct(n.alias("element"), times.cast("long").alias("value"))
 
-def _named(text: Column, found: dict[str, Column]) -> Column:
+    return F.filter(F.transform(names, counted), lambda p: p["value"] > 0).cast(_PAIRS)
+
+
+def person_candidates(docs: DataFrame, denied=(), candidates: Column | None = None) -> DataFrame:
+    """(symbol, element, value): person names of a text and how often each occurs as whole words."""
+    return docs.select("symbol", F.inline(person_pairs(F.col("text"), denied, candidates)))
+
+
+def _named(found: dict[str, Column]) -> Column:
     hits = [F.when(hit, F.lit(bank.title())) for bank, hit in found.items()]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    return F.array_compact(F.array(*hits))
+
+
+def banks_in_table(lower_text: Column, banks=V.UNDERWRITERS, marks=V.UNDERWRITING_TABLE_TERMS) -> Column:
+    """Array of the banks named anywhere in the text of a table that mentions underwriting."""
+    marked = reduce(lambda a, b: a | b, [lower_text.contains(m) for m in marks])
+    return _named({b: marked & lower_text.contains(b) for b in banks})
+
+
+def banks_in_context(
+    lower_html: Column, banks=V.UNDERWRITERS, terms=V.UNDERWRITING_CONTEXT_TERMS, reach: int = 200, whole_word: bool = False
+) -> Column:
+    """Array of the banks with a context term wholly within `reach` characters before or after.
+    Substrings count (`ubs` in "subsidiary") unless `whole_word`."""
+
+    def near(bank: str) -> Column:
+        name = re.escape(bank)
+        edge = r"\b" if whole_word else ""
+        before = "|".join(rf"{re.escape(t)}.{{0,{reach - len(t)}}}" for t in terms)
+        after = "|".join(rf".{{0,{reach - len(t)}}}{re.escape(t)}" for t in terms)
+        return lower_html.contains(bank) & lower_html.rlike(rf"(?sU)(?:{before}){edge}{name}{edge}|{edge}{name}{edge}(?:{after})")
+
+    return _named({b: near(b) for b in banks})
 
 
 def underwriters_in_tables(
     tables: DataFrame, banks=V.UNDERWRITERS, marks=V.UNDERWRITING_TABLE_TERMS
 ) -> DataFrame:
-    """(symbol, element): banks named anywhere in a table (symbol, table_html) that mentions
-    underwriting. Banks are found as substrings."""
-    text = F.col("__text")
-    marked = F.lit(False)
-    for mark in marks:
-        marked = marked | text.contains(mark)
-    return (
-        tables.select("symbol", F.lower(strip_tags(F.col("table_html"))).alias("__text"))
-        .where(marked)
-        .select("symbol", F.explode(_named(text, {b: text.contains(b) for b in banks})).alias("element"))
-        .distinct()
-    )
+    """(symbol, element): banks named in the tables (symbol, table_html) that mention underwriting.
+    Banks are found as substrings."""
+    texts = tables.select("symbol", F.lower(strip_tags(F.col("table_html"))).alias("__text"))
+    return texts.select("symbol", F.explode(banks_in_table(F.col("__text"), banks, marks)).alias("element")).distinct()
 
 
 def underwriters_in_context(
     pages: DataFrame, banks=V.UNDERWRITERS, terms=V.UNDERWRITING_CONTEXT_TERMS,
     reach: int = 200, whole_word: bool = False,
 ) -> DataFrame:
-    """(symbol, element): banks in the raw markup with a context term wholly within `reach`
-    characters before or after. Substrings count (`ubs` in "subsidiary") unless `whole_word`."""
-    text = F.col("__text")
-
-    def near(bank: str) -> Column:
-        name = re.escape(bank)
-        edge = r"\b" if whole_word else ""
-        before = "|".join(rf"{re.escape(t)}.{{0,{reach - len(t)}}}" for t in terms)
-        after = "|".join(rf".{{0,{reach - len(t)}}}{re.escape(t)}" for t in terms)
-        pattern = rf"(?sU)(?:{before}){edge}{name}{edge}|{edge}{name}{edge}(?:{after})"
-        return text.contains(bank) & text.rlike(pattern)
-
-    named = _named(text, {b: near(b) for b in banks})
-    return (
-        pages.select("symbol", F.lower("html").alias("__text"))
-        .select("symbol", F.explode(named).alias("element"))
-        .distinct()
-    )
+    """(symbol, element): banks in the raw markup near a context term."""
+    lowered = pages.select("symbol", F.lower("html").alias("__text"))
+    banks_near = banks_in_context(F.col("__text"), banks, terms, reach, whole_word)
+    return lowered.select("symbol", F.explode(banks_near).alias("element")).distinct()
 
 
 def feature_rows(keywords: DataFrame, people: DataFrame, underwriters: DataFrame) -> DataFrame:

@@ -71,7 +71,10 @@ def _analyzed(spark, sf_dir):
 
 
 def analyze_documents(spark, sf_dir):
-    return _analyzed(spark, sf_dir).withColumn("key_metrics", F.to_json("key_metrics"))
+    total = F.aggregate(F.map_values("key_metrics"), F.lit(0.0), lambda a, v: a + v)
+    return _analyzed(spark, sf_dir).withColumns(
+        {"metric_names": F.array_join(F.array_sort(F.map_keys("key_metrics")), "|"), "metric_total": F.round(total, 2)}
+    ).drop("key_metrics")
 
 
 def batch_stats(spark, sf_dir):
@@ -169,17 +172,46 @@ def _metric_select(kind):
     return " UNION ALL ".join(lines)
 
 
+_COUNTS = ", ".join(
+    f"CAST(sum(CASE WHEN {'money IS NOT NULL OR ratios IS NOT NULL' if s == 'key_metrics' else 'money IS NOT NULL'} THEN "
+    + " + ".join(f"CAST(contains(row_text, '{t}') AS INTEGER)" for t in terms)
+    + f" ELSE 0 END) AS BIGINT) AS {'key_metric_rows' if s == 'key_metrics' else s + '_items'}"
+    for s, terms in V.STATEMENT_TERMS.items()
+)
+_COMPANY = """
+named AS (
+  SELECT doc, row_idx, col, trim(regexp_replace(cell, '[^\\w\\s.,&\\-]', '', 'g')) AS name FROM doc_cells
+  WHERE row_idx < 10 AND regexp_matches(lower(cell), 'inc\\.|corp\\.|ltd\\.|llc|company')),
+companies AS (
+  SELECT doc, coalesce(arg_min(name, row_idx * 10 + col) FILTER (length(name) > 3), 'Unknown Company') AS company_name
+  FROM (SELECT DISTINCT doc FROM doc_cells) LEFT JOIN named USING (doc) GROUP BY doc)
+"""
+_BY_TYPE = (
+    "metrics AS (" + " UNION ALL ".join(map(_metric_select, V.METRIC_RULES)) + "),\n"
+    "type_metrics AS (SELECT doc, document_type, metric, value FROM types JOIN metrics USING (doc) WHERE kind = "
+    "CASE WHEN document_type IN ('spac', 'insurance', 'banking') THEN document_type ELSE 'general' END)"
+)
+
 ORACLE = {
+    "analyze_documents": with_sql(
+        DOCUMENT_CELLS, _TYPES, _DATES, _COMPANY, _BY_TYPE,
+        f"item_counts AS (SELECT doc, {_COUNTS} FROM row_features GROUP BY doc)",
+        "date_counts AS (SELECT doc, count(*) AS n_dates FROM dates GROUP BY doc)",
+        "numbers AS (SELECT doc, count(*) AS n_values, max(cleaned_value) AS largest, min(cleaned_value) AS smallest FROM money GROUP BY doc)",
+        """sums AS (SELECT doc, string_agg(metric, '|' ORDER BY metric) AS metric_names, round(sum(value), 2) AS metric_total
+          FROM type_metrics WHERE value IS NOT NULL GROUP BY doc)""",
+        select="""SELECT 'C' || c_custkey AS doc, document_type, company_name, metric_names, metric_total,
+            coalesce(balance_sheet_items, 0) AS balance_sheet_items, coalesce(income_statement_items, 0) AS income_statement_items,
+            coalesce(cash_flow_items, 0) AS cash_flow_items, coalesce(key_metric_rows, 0) AS key_metric_rows,
+            coalesce(n_dates, 0) AS n_dates, coalesce(n_values, 0) AS n_values, largest, smallest,
+            CASE WHEN document_type IS NULL THEN 'failed' ELSE 'success' END AS status,
+            CASE WHEN document_type IS NULL THEN 'file is empty after cleaning' END AS error
+          FROM customer LEFT JOIN types ON types.doc = 'C' || c_custkey LEFT JOIN companies USING (doc) LEFT JOIN sums USING (doc)
+          LEFT JOIN item_counts USING (doc) LEFT JOIN date_counts USING (doc) LEFT JOIN numbers USING (doc)""",
+    ),
     "null_tokens": with_sql(DOCUMENT_CELLS, select="SELECT doc, row_idx, col, cell FROM doc_cells"),
     "document_type": with_sql(DOCUMENT_CELLS, _TYPES, select="SELECT * FROM types"),
-    "company_name": with_sql(
-        DOCUMENT_CELLS,
-        """named AS (
-          SELECT doc, row_idx, col, trim(regexp_replace(cell, '[^\\w\\s.,&\\-]', '', 'g')) AS name FROM doc_cells
-          WHERE row_idx < 10 AND regexp_matches(lower(cell), 'inc\\.|corp\\.|ltd\\.|llc|company'))""",
-        select="""SELECT doc, coalesce(arg_min(name, row_idx * 10 + col) FILTER (length(name) > 3), 'Unknown Company') AS company_name
-          FROM (SELECT DISTINCT doc FROM doc_cells) LEFT JOIN named USING (doc) GROUP BY doc""",
-    ),
+    "company_name": with_sql(DOCUMENT_CELLS, _COMPANY, select="SELECT * FROM companies"),
     "document_dates": with_sql(DOCUMENT_CELLS, _DATES, select="SELECT * FROM dates"),
     "balance_sheet_items": _items_sql("balance_sheet"),
     "income_statement_items": _items_sql("income_statement"),
@@ -190,11 +222,7 @@ ORACLE = {
         select="""SELECT doc, row_idx AS row, col, token, raw_value, cleaned_value,
           contains(raw_value, '(') OR contains(raw_value, '-') AS is_negative FROM money""",
     ),
-    "metrics_by_type": with_sql(
-        DOCUMENT_CELLS, _TYPES, "metrics AS (" + " UNION ALL ".join(map(_metric_select, V.METRIC_RULES)) + ")",
-        select="""SELECT doc, document_type, metric, value FROM types JOIN metrics USING (doc)
-          WHERE kind = CASE WHEN document_type IN ('spac', 'insurance', 'banking') THEN document_type ELSE 'general' END""",
-    ),
+    "metrics_by_type": with_sql(DOCUMENT_CELLS, _TYPES, _BY_TYPE, select="SELECT * FROM type_metrics"),
     **{
         f"metrics_{kind}": with_sql(DOCUMENT_CELLS, select=f"SELECT doc, metric, value FROM ({_metric_select(kind)})")
         for kind in V.METRIC_RULES

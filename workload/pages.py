@@ -10,7 +10,8 @@ from filingforge.operators.staging import new_folder, stage
 from filingforge.operators.wide import pivot_metrics
 from filingforge.plans import financials as plans
 from filingforge.sources import files
-from workload.inputs import TABLE_CELLS, features, markup, spread, table, table_rows, with_sql
+from workload.grids import STEPS
+from workload.inputs import FEATURES, TABLE_CELLS, features, markup, spread, table, table_rows, with_sql
 
 
 def _pages(spark, sf_dir):
@@ -94,7 +95,8 @@ def drop_empty_columns(spark, sf_dir):
 def training_table(spark, sf_dir):
     """Pages to facts, metrics, sizes and keyword features, one row per filing."""
     keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), ["Blue Ring", "Red Gear"], "symbol", "element")
-    return plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30)
+    found = plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30)
+    return found.select(*[F.round(c, 4).alias(c) if c.endswith(("_recent", "_trend")) else F.col(f"`{c}`") for c in found.columns])
 
 
 def skip_report(spark, sf_dir):
@@ -131,14 +133,14 @@ _BARE = (
     "'(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[A-Za-z/!?][^>]*>', '', 'g')"
 )
 _BLANK = "[\\s\\x{00A0}\\x{0B}]"
-_DECODED = _BARE
+PAGE_TEXT = _BARE
 for _name, _char in (
     ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
     ("&nbsp;", "\u00a0"), ("&amp;", "&"),
 ):
-    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+    PAGE_TEXT = f"replace({PAGE_TEXT}, '{_name}', '{_char}')"
 _TEXT = (
-    f"regexp_replace(regexp_replace(regexp_replace({_DECODED}, '{_BLANK}*[\\n\\r]{_BLANK}*', ' ', 'g'), "
+    f"regexp_replace(regexp_replace(regexp_replace({PAGE_TEXT}, '{_BLANK}*[\\n\\r]{_BLANK}*', ' ', 'g'), "
     f"'{_BLANK}*  {_BLANK}*', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 )
 _FINANCE = """
@@ -160,7 +162,47 @@ stacked AS (
 """
 _TABLES = TABLE_CELLS.replace("places AS (", "slots AS (").replace("FROM places LEFT JOIN", "FROM slots LEFT JOIN")
 
+_LINES = """
+lines AS (
+  SELECT filing, table_id, row_idx, any_value(col_name) FILTER (col_idx = 0) AS name,
+    '<tr>' || string_agg('<td>' || coalesce(cell, '') || '</td>', '' ORDER BY col_idx) || '</tr>' AS line
+  FROM table_cells GROUP BY ALL),
+elements AS (
+  SELECT filing, table_id, '<Table border=0>'
+    || CASE WHEN any_value(name) = 'Item' THEN '<thead><tr><th>Item</th><th>1</th></tr></thead>' ELSE '' END
+    || string_agg(line, chr(10) ORDER BY row_idx) || '</table>' AS element
+  FROM lines GROUP BY ALL)
+"""
+_NOT_EMPTY = """
+sizes AS (SELECT filing, count(DISTINCT row_no) AS n FROM stacked GROUP BY ALL),
+good AS (
+  SELECT filing, col FROM stacked JOIN sizes USING (filing) GROUP BY ALL
+  HAVING count(cell) > 0 AND NOT (bool_and(coalesce(trim(cell) = '', false)) AND count(*) = any_value(n)))
+"""
+_PARSED = """
+parsed AS (
+  SELECT filing, table_id, row_idx, col_idx, col_name,
+    CASE WHEN regexp_matches(cell, '^[0-9,]+\\.[0-9]+$') THEN replace(cell, ',', '') ELSE nullif(cell, '') END AS cell
+  FROM table_cells)
+"""
+_METRICS = [f"{name}_{end}" for name in ("cash", "net_loss", "shareholders_equity", "total_revenue_net") for end in ("recent", "trend")]
+
 ORACLE = {
+    "training_table": with_sql(
+        _TABLES, _LINES, _PARSED, _FINANCE.replace("FROM table_cells", "FROM parsed"), _NOT_EMPTY,
+        "grid AS (SELECT stacked.* FROM stacked JOIN good USING (filing, col))", *[s.strip() for s in STEPS[1:]],
+        """pages_ AS (
+          SELECT filing, '<!DOCTYPE html><html><body>' || string_agg(element, '<p>text</p>' ORDER BY table_id) || '</body></html>' AS html
+          FROM elements GROUP BY ALL)""",
+        f"document_sizes AS (SELECT filing, length(html) AS document_length, len(regexp_extract_all({_TEXT}, '[^\\s\\x{{00A0}}]+')) AS word_count FROM pages_)",
+        FEATURES,
+        """keywords AS (SELECT symbol, max(value) FILTER (element = 'Blue Ring') AS "Blue Ring", max(value) FILTER (element = 'Red Gear') AS "Red Gear"
+          FROM features WHERE kind = 'keyword' GROUP BY symbol)""",
+        "wide AS (SELECT filing, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _METRICS) + " FROM trends GROUP BY filing)",
+        select="SELECT k.symbol, " + ", ".join(f"round({m}, 4) AS {m}" for m in _METRICS)
+        + """, document_length, word_count, "Blue Ring", "Red Gear"
+          FROM wide JOIN document_sizes USING (filing) JOIN keywords k ON k.symbol = filing""",
+    ),
     "skip_report": with_sql(
         _TABLES,
         """big AS (SELECT DISTINCT filing FROM table_cells WHERE table_id IN (2, 3) AND regexp_matches(cell, '(45|46|47|48|49)0,'))""",
@@ -178,14 +220,8 @@ ORACLE = {
     "word_count": f"SELECT page_id, len(regexp_extract_all({_TEXT}, '[^\\s\\x{{00A0}}]+')) AS word_count FROM pages",
     "table_elements": with_sql(
         _TABLES,
-        """lines AS (
-          SELECT filing, table_id, row_idx, any_value(col_name) FILTER (col_idx = 0) AS name,
-            '<tr>' || string_agg('<td>' || coalesce(cell, '') || '</td>', '' ORDER BY col_idx) || '</tr>' AS line
-          FROM table_cells GROUP BY ALL)""",
-        select="""SELECT filing, table_id, md5('<Table border=0>'
-            || CASE WHEN any_value(name) = 'Item' THEN '<thead><tr><th>Item</th><th>1</th></tr></thead>' ELSE '' END
-            || string_agg(line, chr(10) ORDER BY row_idx) || '</table>') AS content
-          FROM lines GROUP BY ALL""",
+        _LINES,
+        select="SELECT filing, table_id, md5(element) AS content FROM elements",
     ),
     "html_table_cells": with_sql(
         _TABLES,
@@ -202,11 +238,7 @@ ORACLE = {
         unnest(['Unnamed: 0_level_0|Item', c_mktsegment || '|' || c_name, c_mktsegment || '|Unnamed: 2_level_1']) AS label
       FROM customer""",
     "drop_empty_columns": with_sql(
-        _TABLES, _FINANCE,
-        """sizes AS (SELECT filing, count(DISTINCT row_no) AS n FROM stacked GROUP BY ALL),
-        good AS (
-          SELECT filing, col FROM stacked JOIN sizes USING (filing) GROUP BY ALL
-          HAVING count(cell) > 0 AND NOT (bool_and(coalesce(trim(cell) = '', false)) AND count(*) = any_value(n)))""",
+        _TABLES, _FINANCE, _NOT_EMPTY,
         select="SELECT stacked.* FROM stacked JOIN good USING (filing, col)",
     ),
 }

@@ -11,6 +11,7 @@ from workload.inputs import (
     CATALOG, FEATURES, KEYWORD_VALUES, KEYWORD_WIDE, METRICS, TERMS, catalog, features, keyword_values, keyword_wide,
     metrics, spread, table, with_sql,
 )
+from workload.pages import PAGE_TEXT
 
 _DENIED = ["The", "Der", "Die", "Les", "Una", "Of", "And", "La", "El"]
 _SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
@@ -173,16 +174,18 @@ QUERIES = {
     "feature_rows": feature_rows,
 }
 
+# The text of a page as SQL: no blanks are collapsed here.
+_PAGES = f"texts AS (SELECT 'P' || page_id AS symbol, {PAGE_TEXT} AS text FROM pages)"
+_DOCS = "texts AS (SELECT 'D' || doc_id AS symbol, text FROM documents)"
 _W = "[^\\pL\\pM\\p{Nd}_]"  # what is no word character
 _WORD_COUNTS = f"""
-docs AS (SELECT 'D' || doc_id AS symbol, text FROM documents),
-doubled AS (SELECT symbol, regexp_replace(lower(text), '({_W})', '\\1\\1', 'g') AS text FROM docs),
+doubled AS (SELECT symbol, regexp_replace(lower(text), '({_W})', '\\1\\1', 'g') AS text FROM texts),
 word_counts AS (
   SELECT symbol, term AS element, CAST(len(regexp_extract_all(text, '(?:^|{_W})' || term || '(?:{_W}|$)')) AS BIGINT) AS value
   FROM doubled, (VALUES {", ".join(f"('{t}')" for t in TERMS)}) t(term))
 """
 _PEOPLE = f"""
-spaced AS (SELECT 'D' || doc_id AS symbol, text, regexp_replace(text, '({_W})', '\\1\\1', 'g') AS doubled FROM documents),
+spaced AS (SELECT symbol, text, regexp_replace(text, '({_W})', '\\1\\1', 'g') AS doubled FROM texts),
 runs AS (
   SELECT DISTINCT symbol, doubled, unnest(regexp_extract_all(' ' || text,
     '(?:^|{_W})((?:\\p{{Lu}}(?:\\.|[\\pL\\-]*\\pL)\\s){{1,2}}\\p{{Lu}}[\\pL\\-]*\\pL)', 1)) AS element
@@ -217,6 +220,12 @@ _SIGNED = (
 )
 
 ORACLE = {
+    "filing_features": with_sql(
+        _PAGES, _WORD_COUNTS, _PEOPLE,
+        select="""SELECT symbol, element, value, 'keyword' AS kind FROM word_counts
+          UNION ALL SELECT symbol, element, value, 'Person' FROM people WHERE value > 0
+          UNION ALL SELECT 'P' || page_id, 'Mit', 1, 'underwriter' FROM pages WHERE regexp_matches(lower(html), '(?s)mit.{0,192}offering')""",
+    ),
     "pivot_metrics": with_sql(
         FEATURES,
         select="SELECT symbol, " + ", ".join(f"max(value) FILTER (element = '{e}') AS \"{e}\"" for e in _ELEMENTS)
@@ -256,10 +265,10 @@ ORACLE = {
     ),
     "profile_describe": _DESCRIBE,
     "group_count_desc": "SELECT lang, count(*) AS count FROM documents GROUP BY lang",
-    "keyword_frequency": with_sql(_WORD_COUNTS, select="SELECT symbol, element AS keyword, value AS frequency FROM word_counts"),
+    "keyword_frequency": with_sql(_DOCS, _WORD_COUNTS, select="SELECT symbol, element AS keyword, value AS frequency FROM word_counts"),
     "sort_abs": with_sql(CATALOG, select="SELECT symbol, position, diff FROM catalog ORDER BY abs(diff) DESC, diff"),
-    "keyword_counts": with_sql(_WORD_COUNTS, select="SELECT * FROM word_counts"),
-    "person_candidates": with_sql(_PEOPLE, select="SELECT * FROM people WHERE value > 0"),
+    "keyword_counts": with_sql(_DOCS, _WORD_COUNTS, select="SELECT * FROM word_counts"),
+    "person_candidates": with_sql(_DOCS, _PEOPLE, select="SELECT * FROM people WHERE value > 0"),
     "person_filter": """WITH names AS (
       SELECT p_partkey, concat_ws(' ', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '),
         CASE WHEN p_size % 3 = 0 THEN 'Q.' END, CASE WHEN p_size % 5 = 0 THEN 'de' END,
@@ -272,7 +281,7 @@ ORACLE = {
       FROM customer WHERE c_acctbal < 0""",
     "underwriters_in_context": with_sql(_CONTEXT, select="SELECT * FROM banks"),
     "feature_rows": with_sql(
-        _WORD_COUNTS, _PEOPLE, _CONTEXT,
+        _DOCS, _WORD_COUNTS, _PEOPLE, _CONTEXT,
         select="""SELECT symbol, element, value, 'keyword' AS kind FROM word_counts
           UNION ALL SELECT symbol, element, value, 'Person' FROM people WHERE value > 0
           UNION ALL SELECT symbol, element, 1, 'underwriter' FROM banks""",
