@@ -194,7 +194,7 @@ ORACLE = {
         """numbered AS (
           SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY rid) - 1 AS row_idx, cell
           FROM (SELECT floor(CAST(doc[2:] AS BIGINT) / 10) AS doc, rid, cell FROM raw_cells JOIN full_rows USING (doc, rid)))""",
-        select="SELECT row_idx, count(DISTINCT doc) AS n_rows, CAST(count(cell) AS BIGINT) AS n_cells FROM numbered GROUP BY row_idx",
+        select="SELECT row_idx, count(DISTINCT doc) AS n_rows, CAST(count(nullif(cell, 'N/A')) AS BIGINT) AS n_cells FROM numbered GROUP BY row_idx",
     ),
     "resolve_first_source": with_sql(
         CATALOG, FILES, CANDIDATES,

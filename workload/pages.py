@@ -136,9 +136,10 @@ _BLANK = "[\\s\\x{00A0}\\x{0B}]"
 PAGE_TEXT = _BARE
 for _name, _char in (
     ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-    ("&nbsp;", "\u00a0"), ("&amp;", "&"),
+    ("&nbsp;", "\u00a0"),
 ):
     PAGE_TEXT = f"replace({PAGE_TEXT}, '{_name}', '{_char}')"
+PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, '&amp;?', '&', 'g')"  # a reference may be cut off
 _TEXT = (
     f"regexp_replace(regexp_replace(regexp_replace({PAGE_TEXT}, '{_BLANK}*[\\n\\r]{_BLANK}*', ' ', 'g'), "
     f"'{_BLANK}*  {_BLANK}*', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
