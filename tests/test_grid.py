@@ -170,3 +170,20 @@ def test_no_python_in_the_facts_plan(spark):
     df = cells_frame(spark, {"f": {0: {0: "a", 1: "1"}}})
     plan = G.locate_facts(G.clean_grid(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_hot_filing_over_many_runs(spark):
+    """One filing with most rows and a table longer than two runs; dates reach across the runs."""
+    pick = random.Random(10)
+    hot = {}
+    for i in range(9500):
+        cells = {0: f"item {i % 7}", 1: pick.choice(["$5", "(6)", "7", None]), 2: str(i)}
+        if i in (3, 4, 4095, 4096, 9000):
+            cells = {0: "As of May 1, 2001", 1: f"June {i % 28 + 1}, 2019", 2: "December 31," if i in (3, 4095) else "2018"}
+        hot[(1 << 40) + i] = cells
+    hot[0] = {0: "x", 1: "1", 2: "2"}
+    hot[(2 << 40)] = {0: "Cash", 1: "1", 2: "2"}
+    grids = {"hot": hot} | {f"f{n}": _random_grid(pick, False) for n in range(5)}
+    got = sorted(map(tuple, G.locate_facts(G.clean_grid(cells_frame(spark, grids))).collect()))
+    want = sorted((f, *fact) for f, grid in grids.items() for fact in loop_facts(grid))
+    assert len(want) > 15_000 and got == want

@@ -106,3 +106,20 @@ def test_first_items_and_dates(spark):
     items = S.first_items(S.line_items(S.row_features(rows), ["income_statement"]))
     assert sorted(r.row_index for r in items.collect()) == [0, 1, 2, 3, 4]
     assert S.first_dates(S.document_date_list(rows)).count() == 3
+
+
+def test_hot_document_is_renumbered_over_many_runs(spark):
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('d', id % 50)) as doc", "id as row_idx",
+        "array(if(id % 5 = 0, null, string(id)), null, if(id = 9, 'x', null)) as cells",
+    )
+    got = {}
+    for r in S.clean_documents(rows).collect():
+        got.setdefault(r.doc, {})[r.row_idx] = r.cells
+    want = {}
+    for i in range(20_000):
+        if i % 5 and i != 9 or i == 9:
+            doc = "hot" if i % 3 == 0 else f"d{i % 50}"
+            lines = want.setdefault(doc, {})
+            lines[len(lines)] = [str(i)] + (["x" if i == 9 else None] if doc == "hot" else [])
+    assert got == want
