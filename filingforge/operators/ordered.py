@@ -86,7 +86,7 @@ def number_rows(
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Inner join with a frame of one row per key. That row is first copied to every run of the
     key, and rows meet it on (keys, run): a key with a third of all rows is spread over many
-    tasks, and nothing depends on the size of `per_key`."""
+    tasks, and nothing depends on the size of `per_key`. Keys are not null."""
     run = F.shiftright(order, RUN)
     runs = df.select(*keys, run.alias("__run")).distinct().join(per_key, keys)
     return df.withColumn("__run", run).join(runs, [*keys, "__run"]).drop("__run")

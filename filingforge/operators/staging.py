@@ -1,12 +1,18 @@
 """Writing an intermediate result once, where every executor can read it again."""
 
-import uuid
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="filingforge-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -14,9 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="filingforge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

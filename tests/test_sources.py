@@ -59,21 +59,20 @@ def test_first_source(spark):
     assert [r.symbol for r in files.file_semi_join(catalog, found, missing=True).collect()] == ["b"]
 
 
-def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
-    assert staging.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+class _Session:
+    """Stands in for a session with this master and checkpoint folder."""
 
-    class Conf:
-        def get(self, *_):
-            return None
+    def __init__(self, master, folder):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": lambda _, key, default: folder or default})()
 
-    class Session:
-        conf = Conf()
-
-        class sparkContext:
-            master = "yarn"
 
+def test_shared_folder():
+    assert staging.shared_folder(_Session("yarn", "s3://bucket/shared/")) == "s3://bucket/shared"
+    local = staging.shared_folder(_Session("local[2]", None))
+    assert staging.shared_folder(_Session("local[2]", None)) == local
     with pytest.raises(ValueError):
-        staging.shared_folder(Session())
+        staging.shared_folder(_Session("yarn", None))
 
 
 PAGE = """<table><tr><td>As of May 1, 2000</td><td>December 31, 2020</td><td>December 31, 2019</td></tr>
