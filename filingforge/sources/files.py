@@ -1,5 +1,7 @@
 """Files in and out."""
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,6 @@ CATALOG_SCHEMA = (
     "symbol string, url string, volume double, day date, ipo_date date, open double, close double, "
     "diff double, public_price_per_share double, price_public_total double"
 )
-# --- fixed values: folders searched for a filing, best first ---
-SOURCE_FOLDERS = [
-    "sec-ipo-prospectus", "sec-ipo-prospectus-2", "sec-ipo-prospectus-3", "sec-ipo-prospectus-4",
-    "sec-ipo-prospectus-5",
-]
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str = CATALOG_SCHEMA) -> DataFrame | None:
@@ -43,6 +40,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{root}/*/*").select(*_file_columns())
 
 
+def candidate_files(spark: SparkSession, base: str, parents: list[str]) -> DataFrame:
+    """(parent, priority, symbol, file_name) of the files under `<base>/<parent>`, best parent first."""
+    listed = [
+        list_files(spark, f"{base}/{parent}").select(F.lit(parent).alias("parent"), F.lit(n).alias("priority"), "symbol", "file_name")
+        for n, parent in enumerate(parents)
+    ]
+    return reduce(DataFrame.union, listed)
+
+
 def file_semi_join(catalog: DataFrame, files: DataFrame, missing: bool = False) -> DataFrame:
     """Catalogue rows whose (symbol, file_name) exists, or those for which it does not."""
     named = catalog.withColumn("file_name", url_basename(F.col("url")))

@@ -52,6 +52,15 @@ def test_export_and_words(spark, tmp_path):
     assert files.read_word_list(spark, str(tmp_path / "words.txt")) == ["Capital", "Bank"]
 
 
+def test_candidates_in_folders(spark, tmp_path):
+    for parent, symbol in [("one", "a"), ("two", "a"), ("two", "b")]:
+        (tmp_path / parent / symbol).mkdir(parents=True)
+        (tmp_path / parent / symbol / "x.htm").write_text("x")
+    catalog = spark.createDataFrame([("a", "u/x.htm"), ("b", "u/x.htm")], "symbol string, url string")
+    found = files.resolve_first_source(catalog, files.candidate_files(spark, str(tmp_path), ["one", "two"]))
+    assert {tuple(r) for r in found.collect()} == {("a", "x.htm", "one"), ("b", "x.htm", "two")}
+
+
 def test_first_source(spark):
     catalog = spark.createDataFrame([("a", "u/x.htm"), ("b", "u/y.htm")], "symbol string, url string")
     found = spark.createDataFrame([("p2", 2, "a", "x.htm"), ("p1", 1, "a", "x.htm"), ("p1", 1, "c", "x.htm")], "parent string, priority int, symbol string, file_name string")
