@@ -136,7 +136,8 @@ def profile_describe(spark, sf_dir):
     described = stats.profile_describe(
         spread(table(spark, sf_dir, "lineitem")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     )
-    return _rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")
+    # Five places: the mean discount lies on a tie at the sixth, where the order of adding decides.
+    return described.withColumns({c: F.round(c, 5) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 
 def group_count_desc(spark, sf_dir):
@@ -207,10 +208,10 @@ banks AS (
   FROM documents, (VALUES {", ".join(f"('{b}')" for b in _BANKS)}) b(bank) WHERE {_NEAR_SQL})
 """
 _DESCRIBE = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-      round(CAST(min({c}) AS DOUBLE), 6) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25,
-      round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75,
-      round(CAST(max({c}) AS DOUBLE), 6) AS max FROM lineitem"""
+    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std,
+      round(CAST(min({c}) AS DOUBLE), 5) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 5) AS q25,
+      round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 5) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 5) AS q75,
+      round(CAST(max({c}) AS DOUBLE), 5) AS max FROM lineitem"""
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 )
 _SIGNED = (
