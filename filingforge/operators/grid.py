@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from filingforge import vocabulary as V
 from filingforge.functions.dates import extract_date_text, has_header_date
 from filingforge.functions.numbers import is_plain_number, parse_amount
-from filingforge.operators.ordered import TABLE_SHIFTS, attach, carry_forward
+from filingforge.operators.ordered import RUN, TABLE_SHIFTS, carry_forward
 from filingforge.operators.staging import stage, with_once
 
 CELLS_TYPE = "array<struct<col:bigint,text:string>>"
+TABLE_SHIFT = 40  # of row_no: what is above is the table
+_MARK_SHIFTS = (39, 13)  # of twice the run: 2^24 rows, then 1,024 tables
 
 
 def explode_cells(grid: DataFrame) -> DataFrame:
@@ -23,18 +25,18 @@ def explode_cells(grid: DataFrame) -> DataFrame:
     return grid.select("filing", "row_no", F.inline("cells").alias("col", "cell"))
 
 
-def filing_columns(grid: DataFrame) -> DataFrame:
-    """(filing, n_rows, columns): what is known about every column of a filing.
+def table_columns(grid: DataFrame) -> DataFrame:
+    """(filing, __table, col, n_cells, blank, nulls, numbers): what is known about every column of every table.
 
-    `columns` is an array of structs (col, n_cells, blank, nulls, numbers). The cells are counted
-    per (filing, col) with map-side combining; pseudo column -1 counts the rows.
+    Counted with map-side combining; pseudo column -1 counts the rows of the table. One small row per column, written
+    once, so that the cells are passed over once for all that is asked of columns.
     """
     col, text = F.col("cell.col"), F.col("cell.text")
     one_per_row = F.array(F.struct(F.lit(-1).cast("long").alias("col"), F.lit(None).cast("string").alias("text")))
     blank = text.rlike(r"(?U)^\s*\x{200B}*\s*$")
     per_column = (
-        grid.select("filing", F.explode(F.concat(one_per_row, F.col("cells"))).alias("cell"))
-        .groupBy("filing", col.alias("col"))
+        grid.select("filing", _table().alias("__table"), F.explode(F.concat(one_per_row, F.col("cells"))).alias("cell"))
+        .groupBy("filing", "__table", col.alias("col"))
         .agg(
             F.count(F.lit(1)).alias("n_cells"),
             F.bool_and(F.coalesce(blank, F.lit(False))).alias("blank"),
@@ -42,44 +44,58 @@ def filing_columns(grid: DataFrame) -> DataFrame:
             F.bool_or(F.coalesce(is_plain_number(text), F.lit(False))).alias("numbers"),
         )
     )
-    return per_column.groupBy("filing").agg(
-        F.max(F.when(F.col("col") == -1, F.col("n_cells"))).alias("n_rows"),
-        F.collect_list(
-            F.when(F.col("col") >= 0, F.struct("col", "n_cells", "blank", "nulls", "numbers"))
-        ).alias("columns"),
-    )
+    return stage(per_column, "table-columns")
+
+
+def _table() -> Column:
+    return F.shiftright("row_no", TABLE_SHIFT)
 
 
-def _not_empty(c: Column) -> Column:
-    # A row without the column counts as null there, so blanks are "all" only if every row has one.
-    return ~c["nulls"] & ~(c["blank"] & (c["n_cells"] == F.col("n_rows")))
+def filing_columns(tables: DataFrame) -> DataFrame:
+    """(filing, col, n_cells, blank, nulls, numbers, n_rows): the same per filing, from `table_columns`."""
+    rows = tables.where("col = -1").groupBy("filing").agg(F.sum("n_cells").alias("n_rows"))
+    return (
+        tables.where("col >= 0").groupBy("filing", "col")
+        .agg(
+            F.sum("n_cells").alias("n_cells"), F.bool_and("blank").alias("blank"), F.bool_and("nulls").alias("nulls"),
+            F.bool_or("numbers").alias("numbers"),
+        )
+        .join(rows, "filing")
+    )
 
 
-def _numbers(columns: Column) -> Column:
-    return F.transform(F.filter(columns, lambda c: c["numbers"]), lambda c: c["col"])
+# A row without the column counts as null there, so blanks are "all" only if every row has one.
+_NOT_EMPTY = "not nulls and not (blank and n_cells = n_rows)"
 
 
-def _first(columns: Column) -> Column:
-    return F.array_min(F.transform(columns, lambda c: c["col"]))
+def _with_known(grid: DataFrame, wanted: str, of: str = "true") -> DataFrame:
+    """Rows with `first_col`, the leftmost column of the filing `of` which a condition holds, and `cols`, those of the
+    `wanted` ones that occur in the row's table. A row is met by what is known about its table only."""
+    tables = table_columns(grid)
+    columns = filing_columns(tables).where(of)
+    first = columns.groupBy("filing").agg(F.min("col").alias("first_col"))
+    chosen = columns.where(wanted).select("filing", "col")
+    cols = tables.join(chosen, ["filing", "col"], "left_semi").groupBy("filing", "__table").agg(F.collect_list("col").alias("cols"))
+    known = tables.where("col = -1").select("filing", "__table").join(first, "filing", "left").join(cols, ["filing", "__table"], "left")
+    return grid.withColumn("__table", _table()).join(stage(known, "known-columns"), ["filing", "__table"]).drop("__table")
 
 
 def _keep(grid: DataFrame, wanted) -> DataFrame:
-    return grid.withColumn("cells", F.filter("cells", wanted))
+    return grid.withColumn("cells", F.filter("cells", lambda c: F.coalesce(wanted(c), F.lit(False))))
+
+
+def _is_chosen(c: Column) -> Column:
+    return F.coalesce(F.array_contains(F.col("cols"), c["col"]), F.lit(False))
 
 
 def drop_empty_columns(grid: DataFrame) -> DataFrame:
     """Drops columns whose cells are all blank, or all null. Blanks mixed with nulls stay."""
-    kept = filing_columns(grid).select(
-        "filing", F.transform(F.filter("columns", _not_empty), lambda c: c["col"]).alias("cols")
-    )
-    rows = attach(grid, kept, ["filing"], "row_no")
-    return _keep(rows, lambda c: F.array_contains(F.col("cols"), c["col"])).drop("cols")
+    return _keep(_with_known(grid, _NOT_EMPTY), _is_chosen).drop("cols", "first_col")
 
 
 def with_first_column(grid: DataFrame) -> DataFrame:
     """Adds `first_col`, the leftmost column of the filing, which holds the labels."""
-    first = filing_columns(grid).select("filing", _first(F.col("columns")).alias("first_col"))
-    return attach(grid, first, ["filing"], "row_no")
+    return _with_known(grid, "false").drop("cols")
 
 
 def null_placeholders(grid: DataFrame) -> DataFrame:
@@ -94,13 +110,8 @@ def null_placeholders(grid: DataFrame) -> DataFrame:
 
 def numeric_columns(grid: DataFrame) -> DataFrame:
     """Keeps the first column and every column in which some cell is a plain number."""
-    kept = filing_columns(grid).select(
-        "filing", _first(F.col("columns")).alias("first"), _numbers(F.col("columns")).alias("cols")
-    )
-    rows = attach(grid, kept, ["filing"], "row_no")
-    return _keep(
-        rows, lambda c: (c["col"] == F.col("first")) | F.array_contains(F.col("cols"), c["col"])
-    ).drop("first", "cols")
+    rows = _with_known(grid, "numbers")
+    return _keep(rows, lambda c: (c["col"] == F.col("first_col")) | _is_chosen(c)).drop("first_col", "cols")
 
 
 def drop_empty_rows(grid: DataFrame) -> DataFrame:
@@ -115,14 +126,8 @@ def clean_grid(grid: DataFrame, remove_empty: bool = True) -> DataFrame:
     `numeric_columns` and `drop_empty_rows` in turn: a placeholder is never a plain number, so
     what is known about the raw columns decides all of it. Adds `first_col`.
     """
-    columns = F.filter("columns", _not_empty) if remove_empty else F.col("columns")
-    known = filing_columns(grid).withColumn("columns", columns).select(
-        "filing", _first(F.col("columns")).alias("first_col"), _numbers(F.col("columns")).alias("cols")
-    )
-    rows = attach(grid, known, ["filing"], "row_no")
-    kept = _keep(
-        rows, lambda c: (c["col"] == F.col("first_col")) | F.array_contains(F.col("cols"), c["col"])
-    )
+    rows = _with_known(grid, "numbers", _NOT_EMPTY if remove_empty else "true")
+    kept = _keep(rows, lambda c: (c["col"] == F.col("first_col")) | _is_chosen(c))
     return drop_empty_rows(null_placeholders(kept)).drop("cols")
 
 
@@ -165,29 +170,37 @@ def carry_header_dates(grid: DataFrame) -> DataFrame:
 
     A column keeps its date until a later block gives it another, across the tables of a
     filing; a block at the end of a filing changes nothing. Needs `first_col` and `is_header`.
-    The dates found are few and read twice, so they are written once.
+
+    Only dates move through a filing, not cells: the last date of every column is carried from run to
+    run of rows, for the columns that the run has, and each run meets these and its own dates in one
+    small array. What is written in between grows with tables and headers, not with cells.
     """
-    labels = F.filter("cells", lambda c: c["col"] == F.col("first_col"))
-    data = (
-        grid.where("not is_header")
-        .withColumn("label", F.coalesce(F.get(labels, F.lit(0))["text"], F.lit("")))
-        .select("filing", "row_no", "label", "first_col", F.inline("cells").alias("col", "cell"))
-        .where("col != first_col and cell is not null")
-        .select(
-            "filing", "col", "row_no", "label", "cell",
-            F.lit(None).cast("struct<date_text:string,context:string>").alias("said"),
-        )
+    run, said = F.shiftright("row_no", RUN), F.struct("row_no", "date_text", "context")
+    heads = stage(header_dates(grid), "header-dates").select("filing", "col", run.alias("run"), said.alias("said"))
+    data = grid.where("not is_header")
+    columns = data.select("filing", run.alias("run"), F.explode(F.transform("cells", lambda c: c["col"])).alias("col")).distinct()
+    lasts = heads.groupBy("filing", "col", "run").agg(F.max("said").alias("said"))
+    marks = columns.select("filing", "col", (F.col("run") * 2).alias("at"), F.lit(None).cast(lasts.schema["said"].dataType).alias("said"))
+    marks = stage(marks.unionByName(lasts.select("filing", "col", (F.col("run") * 2 + 1).alias("at"), "said")), "date-marks")
+    carried = carry_forward(marks, ["filing", "col"], "at", "said", "before", shifts=_MARK_SHIFTS)
+    before = carried.where("at % 2 = 0 and before is not null").select(
+        "filing", F.shiftright("at", 1).alias("run"), "col", F.col("before").alias("said")
     )
-    heads = stage(header_dates(grid), "header-dates").select(
-        "filing", "col", "row_no",
-        F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("string").alias("cell"),
-        F.struct("date_text", "context").alias("said"),
-    )
-    filled = carry_forward(data.unionByName(heads), ["filing", "col"], "row_no", "said", "known", shifts=TABLE_SHIFTS)
-    return filled.where("cell is not null").select(
-        "filing", "row_no", "col", "label", "cell", "known.date_text", "known.context"
+    dates = before.unionByName(heads.select(*before.columns)).groupBy("filing", "run").agg(
+        F.collect_list(F.struct("said.row_no", "said.date_text", "said.context", "col")).alias("dates")
     )
+    labels = F.filter("cells", lambda c: c["col"] == F.col("first_col"))
+
+    def dated(c):
+        mine = F.filter("dates", lambda d: (d["col"] == c["col"]) & (d["row_no"] < F.col("row_no")))
+        latest = F.array_max(mine)  # by row
+        return F.struct(c["col"].alias("col"), c["text"].alias("cell"), latest["date_text"].alias("date_text"), latest["context"].alias("context"))
+
+    others = F.filter("cells", lambda c: (c["col"] != F.col("first_col")) & c["text"].isNotNull())
+    rows = data.withColumn("run", run).join(stage(dates, "dates-in-runs"), ["filing", "run"], "left")
+    return rows.select(
+        "filing", "row_no", F.coalesce(F.get(labels, F.lit(0))["text"], F.lit("")).alias("label"), F.inline(F.transform(others, dated))
+    ).select("filing", "row_no", "col", "label", "cell", "date_text", "context")
 
 
 def emit_facts(dated: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filingforge.operators.staging import stage
+
 ROW_SHIFTS = (24, 12)
 TABLE_SHIFTS = (50, 12)
 RUN = 12
@@ -74,10 +76,25 @@ def running_total(
     ).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
+def _number_all(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Positions in the whole frame, whatever the values of `order`: one shuffle by range, written so that the ranges
+    stay, a number within each, and the sizes of the ranges before it. Only these sizes, one row per partition, meet
+    in one task."""
+    part, before, n = "__part", "__before", "__n"
+    parts = stage(df.repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    upto = F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(n)
+    nth = F.row_number().over(W.partitionBy(part).orderBy(order)) - 1
+    placed = parts.withColumn(n, nth).join(sizes.select(part, upto.alias(before)), part)
+    return placed.withColumn(out, F.col(before) + F.col(n)).drop(part, before, n)
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: str, out: str, shifts=ROW_SHIFTS
 ) -> DataFrame:
     """`out` = position 0, 1, 2, … of the row in `order` within the keys (none = whole frame)."""
+    if not keys:
+        return _number_all(df, order, out)
     one = "__one"
     numbered = running_total(df.withColumn(one, F.lit(1).cast("long")), keys, order, one, out, shifts)
     return numbered.drop(one)

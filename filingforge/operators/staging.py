@@ -1,26 +1,16 @@
 """Writing an intermediate result once, where every executor can read it again."""
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="filingforge-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one beside the warehouse's
+    tables, which all executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

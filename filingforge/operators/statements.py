@@ -84,26 +84,32 @@ def document_texts(rows: DataFrame) -> DataFrame:
 
     The text of a document is all its cells, row by row, joined by blanks. Looking for short
     things in it needs each row, and each seam: the last two cells of a row with the first two
-    of what follows. So no document is ever put together in one task.
+    of what follows. So no document is ever put together in one task. Cells of blanks only stay
+    in the text but do not count; what runs across a whole row of such cells is not found.
     """
     cells, n = F.col("cells"), F.size("cells")
     rows = rows.where(n > 0)
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.coalesce(F.element_at(cells, i).rlike(r"(?U)^\s*$"), F.lit(False)))
+    rows = rows.withColumn("__places", places)
+    count = F.size("__places")
+    upto = lambda k: F.slice("cells", F.lit(1), F.coalesce(F.get("__places", F.lit(k - 1)), n))
+    since = F.coalesce(F.get("__places", F.greatest(count - 2, F.lit(0))), F.lit(1))
     own = rows.select("doc", _full_text(cells).alias("text"))
     ends = F.array(
         F.struct(
-            F.col("row_idx").alias("row"), _full_text(F.slice("cells", F.greatest(n - 1, F.lit(1)), F.lit(2))).alias("tail"),
+            F.col("row_idx").alias("row"), _full_text(F.slice("cells", since, n - since + 1)).alias("tail"),
             F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("width"),
             F.lit(None).cast("string").alias("next"),
         ),
         F.struct(
             (F.col("row_idx") - 1).alias("row"), F.lit(None).cast("string").alias("tail"),
-            _full_text(F.slice("cells", 1, 2)).alias("head"), n.alias("width"),
+            _full_text(upto(2)).alias("head"), count.alias("width"),
             F.lit(None).cast("string").alias("next"),
         ),
         F.struct(
             (F.col("row_idx") - 2).alias("row"), F.lit(None).cast("string").alias("tail"),
             F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("width"),
-            _full_text(F.slice("cells", 1, 1)).alias("next"),
+            _full_text(upto(1)).alias("next"),
         ),
     )
     seams = (
@@ -112,7 +118,7 @@ def document_texts(rows: DataFrame) -> DataFrame:
         .agg(*[F.max(c).alias(c) for c in ("tail", "head", "width", "next")])
         .where("tail is not null and head is not null")
     )
-    beyond = F.when(F.col("width") == 1, F.col("next"))
+    beyond = F.when(F.col("width") <= 1, F.col("next"))
     return own.union(seams.select("doc", F.concat_ws(" ", "tail", "head", beyond)))
 
 
@@ -126,19 +132,22 @@ def document_type(rows: DataFrame, types=V.DOCUMENT_TYPES) -> DataFrame:
     `unknown` when none occurs. Occurrence is one bit mask, or-ed per document."""
     terms = [t for _, own in types for t in own]
     _check_terms(terms)
-    if len(terms) > 63:
-        raise ValueError("at most 63 terms")
-    bits = [F.when(F.col("text").contains(t.lower()), F.lit(1 << i).cast("long")).otherwise(0) for i, t in enumerate(terms)]
-    seen = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    masks = document_texts(rows).select("doc", F.lower("text").alias("text")).select("doc", seen.alias("seen"))
-    scores, first = [], 0
-    for rank, (name, own) in enumerate(types):
-        mask = ((1 << len(own)) - 1) << first
-        first += len(own)
-        score = F.bit_count(F.col("seen").bitwiseAND(F.lit(mask).cast("long")))
+    # One mask per type and 62 terms.
+    parts = [(rank, own[n : n + 62]) for rank, (_, own) in enumerate(types) for n in range(0, len(own), 62)]
+
+    def seen(own):
+        bits = [F.when(F.col("text").contains(t.lower()), F.lit(1 << i).cast("long")).otherwise(0) for i, t in enumerate(own)]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    names = [f"seen{n}" for n in range(len(parts))]
+    texts = document_texts(rows).select("doc", F.lower("text").alias("text"))
+    masks = texts.select("doc", *[seen(own).alias(n) for n, (_, own) in zip(names, parts)])
+    scores = []
+    for rank, (name, _) in enumerate(types):
+        score = reduce(lambda a, b: a + b, [F.bit_count(n) for n, (r, _) in zip(names, parts) if r == rank])
         scores.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scores))
-    return masks.groupBy("doc").agg(F.bit_or("seen").alias("seen")).select(
+    return masks.groupBy("doc").agg(*[F.bit_or(n).alias(n) for n in names]).select(
         "doc", F.when(best["score"] > 0, best["name"]).otherwise("unknown").alias("document_type")
     )
 

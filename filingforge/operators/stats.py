@@ -1,15 +1,19 @@
 """Counts, profiles and association. All groupings combine map-side; a hot group costs one row
 per task."""
 
-from functools import reduce
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NEAR = 0.001  # half width, in rank share, of the range in which an exact quantile is looked for
-_SKETCH = 10_000  # rank error of the sketch: 1 / _SKETCH, well inside _NEAR
+_BINS = 1024  # of a range of values in which a quantile is looked for
+
+
+def _number(column: str) -> Column:
+    """As a double, null for NaN."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None))
 
 
 def group_sum(word_counts: DataFrame) -> DataFrame:
@@ -37,15 +41,15 @@ def low_support_columns(features: DataFrame, max_count: int = 6) -> DataFrame:
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
-    """(keep…, column, value): the given columns as long rows of doubles."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
+    """(keep…, column, value): the given columns as long rows of doubles; NaN is no value."""
+    pairs = [F.struct(F.lit(c).alias("column"), _number(f"`{c}`").alias("value")) for c in columns]
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
 def mean_difference_by_sign(values: DataFrame) -> DataFrame:
     """Per column of (column, value, diff): mean over diff > 0 minus mean over diff < 0, zeros
     being no values; columns without a difference left out; by absolute difference."""
-    value = F.when(F.col("value") != 0, F.col("value"))
+    value = F.when(F.col("value") != 0, _number("value"))
     means = values.groupBy("column").agg(
         F.avg(F.when(F.col("diff") > 0, value)).alias("positive_mean"),
         F.avg(F.when(F.col("diff") < 0, value)).alias("negative_mean"),
@@ -58,21 +62,22 @@ def mean_difference_by_sign(values: DataFrame) -> DataFrame:
 def feature_correlation(values: DataFrame, min_count: int = 100) -> DataFrame:
     """Per column of (column, value, diff): Pearson correlation with diff and number of values,
     for columns with at least `min_count` values, highest first; null for a constant column."""
-    both = F.col("value").isNotNull() & F.col("diff").isNotNull()
+    both = _number("value").isNotNull() & _number("diff").isNotNull()
     value, diff = F.when(both, F.col("value")), F.when(both, F.col("diff"))
     spread = F.nullif(F.stddev_pop(value) * F.stddev_pop(diff), F.lit(0.0))
     found = values.groupBy("column").agg(
-        (F.covar_pop(value, diff) / spread).alias("correlation"), F.count("value").alias("count")
+        (F.covar_pop(value, diff) / spread).alias("correlation"), F.count(_number("value")).alias("count")
     )
     return found.where(F.col("count") >= min_count).orderBy(F.desc("correlation"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 200) -> DataFrame:
-    """(bin, count) for `bins` bins of equal width, from 1; the maximum falls in the last."""
-    ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    """(bin, count) for `bins` bins of equal width, from 1; the maximum falls in the last. NaN is no value."""
+    df = df.select(_number(f"`{column}`").alias("value"))
+    ends = df.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    place = F.when(lo == hi, 1).otherwise(F.least(F.width_bucket(column, lo, hi, F.lit(bins)), F.lit(bins)))
-    return df.where(F.col(column).isNotNull()).groupBy(place.cast("long").alias("bin")).agg(
+    place = F.when(lo == hi, 1).otherwise(F.least(F.width_bucket("value", lo, hi, F.lit(bins)), F.lit(bins)))
+    return df.where("value is not null").groupBy(place.cast("long").alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
 
@@ -93,57 +98,64 @@ def profile_info(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
-    """(column, share, quantile): exact quantiles (linear between neighbours) of numeric columns.
+    """(column, share, quantile): exact quantiles (linear between neighbours) of numeric columns; NaN is no value.
 
-    Sorting a column in one task, or holding its value counts in one buffer, does not scale.
-    Instead a sketch gives a narrow range of values around each quantile (one row, fetched, so
-    that the ranges are constants a scan can use); a second pass counts the values below the
-    ranges, a third takes, per value, those inside; only these few are ordered. A quantile
-    outside its range would be an error, not a wrong result.
+    Each of the two ranks around a quantile is looked for in a range of values, at first all finite ones. A pass counts
+    the range in _BINS bins of equal width (combined map-side; what comes back does not grow with the rows), and the
+    bin that holds the rank, with the values it really has, is the next range, until it is one value. No task sorts
+    or holds a column.
     """
-    df = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{n}") for n, c in enumerate(columns)])
-    marks = [max(s - _NEAR, 0.0) for s in shares] + [min(s + _NEAR, 1.0) for s in shares]
+    df = df.select(*[_number(f"`{c}`").alias(f"c{n}") for n, c in enumerate(columns)])
+    infinite = float("inf")
 
-    def known(value):
-        sketch = F.approx_percentile(value, F.array(*map(F.lit, marks)), F.lit(_SKETCH))
-        return F.struct(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), sketch.alias("marks"))
+    def known(c):
+        finite = F.when(F.abs(c) < infinite, F.col(c))
+        return F.struct(
+            F.count(c).alias("n"), F.count_if(F.col(c) == -infinite).alias("lowest"), F.count(finite).alias("finite"),
+            F.min(finite).alias("least"), F.max(finite).alias("most"),
+        )
 
     about = df.agg(*[known(c).alias(c) for c in df.columns]).first()
-    cases = []
-    for n, c in enumerate(df.columns):
-        size, least, most, sketch = about[c]
-        few = size * _NEAR < 4  # then the range would hold less than the two neighbours
-        for i, share in enumerate(shares if size else ()):
-            low, high = (least, most) if few else (sketch[i], sketch[i + len(shares)])
-            cases.append((columns[n], share, (size - 1) * share, F.col(c), F.lit(low), F.lit(high)))
-    if not cases:
-        return df.sparkSession.createDataFrame([], "column string, share double, quantile double")
-    below = df.agg(F.array(*[F.count_if(value < low) for *_, value, low, _ in cases]).alias("below"))
-    near = [
-        F.when(value.between(low, high), F.struct(F.lit(case).alias("case"), value.alias("at")))
-        for case, (*_, value, low, high) in enumerate(cases)
-    ]
-    counted = (
-        df.where(reduce(lambda a, b: a | b, [value.between(low, high) for *_, value, low, high in cases]))
-        .select(F.inline(F.array_compact(F.array(*near))))
-        .groupBy("case", "at")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("below", below.scalar())
-        .withColumn("rank", F.get(F.array(*[F.lit(rank) for _, _, rank, *_ in cases]), F.col("case")))
-    )
-    upto = F.get("below", F.col("case")) + F.sum("k").over(W.partitionBy("case").orderBy("at"))
-
-    def value_at(rank):
-        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("k")), F.col("at")))
-
-    ends = counted.withColumn("upto", upto).groupBy("case").agg(
-        value_at(F.floor("rank")).alias("lo"), value_at(F.ceil("rank")).alias("hi"), F.max(F.col("rank") - F.floor("rank")).alias("part")
-    )
-    exact = F.when(
-        F.col("lo").isNull() | F.col("hi").isNull(), F.raise_error(F.lit("quantile outside its sketched range"))
-    ).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
-    what = F.get(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("share")) for c, s, *_ in cases]), F.col("case"))
-    return ends.select(what["column"].alias("column"), what["share"].alias("share"), exact.cast("double").alias("quantile"))
+    ranges = {}  # (column, rank) -> [low, high, values below low]
+    for c in df.columns:
+        n, lowest, finite, least, most = about[c]
+        for share in shares if n else ():
+            for rank in (math.floor((n - 1) * share), math.ceil((n - 1) * share)):
+                if lowest <= rank < lowest + finite:
+                    ranges[c, rank] = [least, most, lowest]
+                else:
+                    end = -infinite if rank < lowest else infinite
+                    ranges[c, rank] = [end, end, 0]
+    while open_ := [(place, c, *ranges[c, rank][:2]) for place, (c, rank) in enumerate(ranges) if ranges[c, rank][0] < ranges[c, rank][1]]:
+
+        def bin_of(c, low, high):
+            share = (F.col(c) / 2 - low / 2) / (high / 2 - low / 2)  # halves: the whole width may be no double
+            return F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")
+
+        inside = [
+            F.when(F.col(c).between(low, high), F.struct(F.lit(place).alias("place"), bin_of(c, low, high).alias("bin"), F.col(c).alias("at")))
+            for place, c, low, high in open_
+        ]
+        bins = (
+            df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("place", "bin")
+            .agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("low"), F.max("at").alias("high")).collect()
+        )
+        keys = list(ranges)
+        for place, *_ in open_:
+            below = ranges[keys[place]][2]
+            for row in sorted((r for r in bins if r["place"] == place), key=lambda r: r["bin"]):
+                if keys[place][1] < below + row["k"]:
+                    ranges[keys[place]] = [row["low"], row["high"], below]
+                    break
+                below += row["k"]
+    found = []
+    for c, name in zip(df.columns, columns):
+        n = about[c]["n"]
+        for share in shares if n else ():
+            rank = (n - 1) * share
+            low, high = (ranges[c, r][0] for r in (math.floor(rank), math.ceil(rank)))
+            found.append((name, float(share), low if low == high else low + (high - low) * (rank - math.floor(rank))))
+    return df.sparkSession.createDataFrame(found, "column string, share double, quantile double")
 
 
 def profile_describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -178,14 +190,21 @@ def batch_stats(results: DataFrame) -> DataFrame:
     )
 
 
+def _others(df: DataFrame, column: str) -> list[Column]:
+    """The other columns that have an order."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != column and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
 def largest_diffs(df: DataFrame, drop: list[str], diff: str = "diff") -> DataFrame:
-    """Without the dropped columns, by `diff` from the largest down."""
-    return df.drop(*drop).orderBy(F.col(diff).desc_nulls_last())
+    """Without the dropped columns, by `diff` from the largest down; the other columns settle ties, so that equal
+    differences are not one task's."""
+    kept = df.drop(*drop)
+    return kept.orderBy(F.col(diff).desc_nulls_last(), *_others(kept, diff))
 
 
 def sort_abs(df: DataFrame, column: str) -> DataFrame:
-    """By absolute value, largest first, then signed."""
-    return df.orderBy(F.abs(column).desc(), F.col(column).asc())
+    """By absolute value, largest first, then signed; the other columns settle ties."""
+    return df.orderBy(F.abs(column).desc(), F.col(column).asc(), *_others(df, column))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -5,11 +5,28 @@ Table rows are (filing, table_id, row_idx, labels, cells) as `html_table_rows` g
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingforge import vocabulary as V
-from filingforge.operators.ordered import attach
+from filingforge.operators.staging import stage
+
+_BITS = 62  # terms of one mask
+
+
+def _mask(text: Column, terms: list[str]) -> Column:
+    """Which terms occur, one bit each."""
+    bits = [F.when(text.contains(t.lower()), F.lit(1 << i).cast("long")).otherwise(0) for i, t in enumerate(terms)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _packed(*parts: tuple[Column, int]) -> Column:
+    """Non-negative numbers side by side in one BIGINT, from the highest; one that needs more bits is an error."""
+    fits = reduce(lambda a, b: a & b, [F.shiftright(value.cast("long"), bits) == 0 for value, bits in parts])
+    out = F.lit(0).cast("long")
+    for value, bits in parts:
+        out = F.shiftleft(out, bits) + value.cast("long")
+    return F.when(fits, out).otherwise(F.raise_error(F.lit("a table has too many columns, copies or rows")).cast("long"))
 
 
 def find_finance_tables(
@@ -21,20 +38,21 @@ def find_finance_tables(
     it names (`copy` 0, 1, …), with `once` only as copy 0. Which terms a table names is one bit
     mask per row, or-ed per table with map-side combining.
     """
-    if not 0 < len(terms) < 64:
-        raise ValueError("between 1 and 63 terms")
+    if not terms:
+        raise ValueError("no terms")
     text = F.lower(F.array_join("cells", "\x01"))
-    bits = [F.when(text.contains(t.lower()), F.lit(1 << i).cast("long")).otherwise(0) for i, t in enumerate(terms)]
-    named = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    masks = {f"__named{n}": _mask(text, terms[n : n + _BITS]) for n in range(0, len(terms), _BITS)}
     tables = (
-        rows.select("filing", "table_id", named.alias("named"))
+        rows.select("filing", "table_id", *[m.alias(name) for name, m in masks.items()])
         .groupBy("filing", "table_id")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.bit_or("named").alias("named"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), *[F.bit_or(name).alias(name) for name in masks])
+        .withColumn("named", reduce(lambda a, b: a + b, [F.bit_count(name) for name in masks]))
         .where((F.col("n_rows") >= min_rows) & (F.col("named") != 0))
     )
-    copies = F.bit_count("named") if multiplicity == "per_keyword" else F.lit(1)
-    chosen = tables.select("filing", "table_id", copies.alias("copies"))
-    found = attach(rows, chosen, ["filing", "table_id"], "row_idx")
+    copies = F.col("named") if multiplicity == "per_keyword" else F.lit(1)
+    # One small row per table, written once: below it meets the rows in one join, which splits hot tables.
+    chosen = stage(tables.select("filing", "table_id", copies.alias("copies")), "finance-tables")
+    found = rows.join(chosen, ["filing", "table_id"])
     return found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
 
@@ -49,20 +67,16 @@ def stack_tables(rows: DataFrame) -> DataFrame:
     labels = (
         rows.where("row_idx = 0 and copy = 0")
         .select("filing", "table_id", F.posexplode("labels").alias("pos", "label"))
-        .withColumn("place", F.shiftleft(F.col("table_id").cast("long"), 20) + F.col("pos"))
-    )
-    first = labels.groupBy("filing", "label").agg(F.min("place").alias("col"))
-    tables = (
-        attach(labels, first, ["filing", "label"], "table_id")
-        .groupBy("filing", "table_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("places"))
+        .withColumn("place", _packed((F.col("table_id"), 42), (F.col("pos"), 20)))
     )
-    placed = attach(rows, tables, ["filing", "table_id"], "row_idx")
-    row_no = (
-        F.shiftleft(F.col("table_id").cast("long"), 40)
-        + F.shiftleft(F.col("copy").cast("long"), 34)
-        + F.col("row_idx")
+    # The labels are few, one list per table; what they come to is written once and meets the rows in one join.
+    labels = stage(labels, "labels")
+    first = stage(labels.groupBy("filing", "label").agg(F.min("place").alias("col")), "first-labels")
+    tables = labels.join(first, ["filing", "label"]).groupBy("filing", "table_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("places")
     )
+    placed = rows.join(stage(tables, "places"), ["filing", "table_id"])
+    row_no = _packed((F.col("table_id"), 23), (F.col("copy"), 6), (F.col("row_idx"), 34))
     cells = F.zip_with("places", "cells", lambda p, text: F.struct(p["col"].alias("col"), text.alias("text")))
     return placed.select("filing", row_no.alias("row_no"), cells.alias("cells"))
 

@@ -62,6 +62,16 @@ def test_number_rows_of_whole_frame(spark):
     assert got.where("n != id div 3").count() == 0 and got.count() == df.count()
 
 
+def test_number_rows_of_sparse_orders_fills_no_single_task(spark):
+    df = spark.range(300_000).select(F.shiftrightunsigned(F.xxhash64("id"), 2).alias("ord"))
+    got = number_rows(df.repartition(8), [], "ord", "n")
+    ranks = sorted(r[0] for r in df.collect())
+    assert [r.n for r in got.orderBy("ord").select("n").collect()] == list(range(len(ranks)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # One task adds up the sizes of the ranges; no rows of the frame meet there.
+    assert plan.count("SinglePartition") <= plan.count("Window ") and plan.count("HashAggregate") >= 2
+
+
 def test_attach_keeps_every_row(spark):
     rows = _rows(3)
     df = spark.createDataFrame(rows, "key string, ord long, v int")

@@ -41,6 +41,12 @@ def test_query_equals_sql(spark, tables, name):
     assert canon(rows, df.columns) == canon(found.fetchall(), names)
 
 
+@pytest.mark.parametrize(("name", "most"), [("stack_tables", 3), ("drop_empty_columns", 2), ("carry_header_dates", 2)])
+def test_inputs_are_passed_over_few_times(spark, name, most):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
+
+
 @pytest.mark.parametrize("name", ["carry_header_dates", "drop_empty_columns", "training_table", "document_type", "analyze_documents", "hconcat"])
 def test_plans_hold_no_products(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()

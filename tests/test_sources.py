@@ -69,19 +69,13 @@ def test_first_source(spark):
 
 
 class _Session:
-    """Stands in for a session with this master and checkpoint folder."""
-
-    def __init__(self, master, folder):
-        self.sparkContext = type("Context", (), {"master": master})
-        self.conf = type("Conf", (), {"get": lambda _, key, default: folder or default})()
+    def __init__(self, **settings):
+        self.conf = type("Conf", (), {"get": lambda _, key, *default: settings.get(key.split(".")[-2], *default)})()
 
 
 def test_shared_folder():
-    assert staging.shared_folder(_Session("yarn", "s3://bucket/shared/")) == "s3://bucket/shared"
-    local = staging.shared_folder(_Session("local[2]", None))
-    assert staging.shared_folder(_Session("local[2]", None)) == local
-    with pytest.raises(ValueError):
-        staging.shared_folder(_Session("yarn", None))
+    assert staging.shared_folder(_Session(checkpoint="s3://bucket/shared/")) == "s3://bucket/shared"
+    assert staging.shared_folder(_Session(warehouse="hdfs:/warehouse")) == "hdfs:/warehouse/_staged"
 
 
 PAGE = """<table><tr><td>As of May 1, 2000</td><td>December 31, 2020</td><td>December 31, 2019</td></tr>

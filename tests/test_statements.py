@@ -33,9 +33,10 @@ def test_document_type(spark):
 
 def test_type_and_dates_against_whole_texts(spark):
     pick = random.Random(11)
-    words = ["Trust", "Account", "Net", "Interest", "Margin", "Balance", "Sheet", "March", "5,", "5", "2020", "1/2/2020", "2020-1-2", None, "x", "Loss Ratio", "March 7"]
+    words = ["Trust", "Account", "Net", "Interest", "Margin", "Balance", "Sheet", "March", "5,", "5", "2020", "1/2/2020", "2020-1-2", None, "x", "Loss Ratio", "March 7", " ", "  "]
     docs = {
-        f"d{n}": [[pick.choice(words) for _ in range(width)] for _ in range(pick.randint(1, 12))]
+        # A row of blanks only would hide what runs across it; the last cell is none.
+        f"d{n}": [[pick.choice(words) for _ in range(width - 1)] + [pick.choice(words[:-2])] for _ in range(pick.randint(1, 12))]
         for n in range(150) for width in [pick.randint(1, 4)]
     }
     types, dates = {}, set()
@@ -49,6 +50,17 @@ def test_type_and_dates_against_whole_texts(spark):
     assert {tuple(r) for r in S.document_date_list(df).collect()} == dates and len(dates) > 50
 
 
+def test_dates_run_over_blank_cells(spark):
+    rows = _docs(spark, {"d": [["x", "December"], [" ", "31,"], ["1995", "y"]], "e": [["May", " "], [" ", "5", " "], [" ", "2001"]]})
+    assert {tuple(r) for r in S.document_date_list(rows).collect()} == {("d", "December   31, 1995"), ("e", "May     5     2001")}
+
+
+def test_more_terms_than_a_mask_holds(spark):
+    types = [("many", [f"term{i}" for i in range(150)]), ("few", ["term149 x"])]
+    rows = _docs(spark, {"a": [["term149 x"]], "b": [["term7", "term70", "term149 x"]], "c": [["nothing"]]})
+    assert {r.doc: r.document_type for r in S.document_type(rows, types).collect()} == {"a": "many", "b": "many", "c": "unknown"}
+
+
 def test_company_name(spark):
     docs = {
         "d": [["x", None], ["Acme (US) Holdings, Inc.", "Other Corp."]], "late": [["x"]] * 10 + [["Late Inc."]], "short": [["llc"], ["Company A"]],

@@ -25,6 +25,30 @@ def test_describe_equals_pandas(spark, kind):
         assert got == pytest.approx(list(want[row["column"]]), rel=1e-9, abs=1e-9)
 
 
+def test_nan_is_no_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,), (None,)], "a double")
+    row = S.profile_describe(df).first()
+    want = pd.Series([1.0, 2.0, nan]).describe()
+    assert [row[c] for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")] == pytest.approx(list(want))
+    assert {tuple(r) for r in S.histogram(df, "a", 4).collect()} == {(1, 1), (4, 1)}
+    rows = spark.createDataFrame([("x", 1.0, 1.0), ("x", 2.0, 2.0), ("x", nan, 1.0), ("x", 5.0, nan)], "column string, value double, diff double")
+    assert [tuple(r) for r in S.feature_correlation(rows, 1).collect()] == [("x", pytest.approx(1.0), 3)]
+
+
+def test_quantiles_of_very_many_close_values_and_of_infinite_ones(spark):
+    df = spark.range(1_000_000).selectExpr("0.5D + (id * 7919 % 1000003) * 1e-9D as a", "if(id % 4 = 0, double('inf'), if(id % 4 = 1, -double('inf'), cast(id as double))) as b")
+    pdf = df.toPandas()
+    shares = [0.0, 0.2, 0.5, 0.9, 1.0]
+    for r in S.quantiles(df, ["a", "b"], shares).collect():
+        want = np.sort(pdf[r.column].values)
+        place = (len(want) - 1) * r.share
+        low, high = want[int(np.floor(place))], want[int(np.ceil(place))]
+        if np.isinf(low) and np.isinf(high) and low != high:
+            continue
+        assert r.quantile == (low if low == high else pytest.approx(low + (high - low) * (place % 1)))
+
+
 def test_quantiles_of_a_hot_value(spark):
     df = spark.range(90_000).selectExpr("if(id % 3 = 0, 5.0D, cast(id as double)) as value")
     got = {r.share: r.quantile for r in S.quantiles(df, ["value"], [0.0, 0.1, 0.333, 0.5, 1.0]).collect()}

@@ -16,7 +16,7 @@ _CATALOG_COLUMNS = [
     "symbol", "url", "volume", "day", "ipo_date", "open", "close", "diff", "public_price_per_share", "price_public_total",
 ]
 _WORDS = ["Ring", "Blue", "Gea"]
-_BATCHES = [(0, 500), (500, 1000), (1000, 1500), (1500, 2000), (2000, 2500), (2500, 3000)]
+_BATCH = 500
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -35,11 +35,12 @@ def scan_grid_headerless(spark, sf_dir):
     rows = document_rows(spark, sf_dir).withColumn("doc", group)
     rows.select("doc", "row_idx", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)]).where(
         "coalesce(c0, c1, c2, c3) is not null"
-    ).repartition("doc").sortWithinPartitions("doc", "row_idx").drop("row_idx").write.partitionBy("doc").csv(path)
-    found = file_ops.read_grids(spark, f"{path}/*")
-    return found.groupBy("row_idx").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size(F.filter("cells", lambda c: c.isNotNull()))).alias("n_cells")
+    ).repartition("doc").sortWithinPartitions("doc", "row_idx").drop("row_idx").write.partitionBy("doc").csv(
+        path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
+    # A file has no name of its own here; its first cell with the place makes its rows comparable.
+    cells = F.array_join("cells", "|", "<null>")
+    return file_ops.read_grids(spark, f"{path}/*").select("row_idx", cells.alias("cells"))
 
 
 def resolve_first_source(spark, sf_dir):
@@ -64,6 +65,18 @@ def scan_dir_union(spark, sf_dir):
     return file_ops.read_folder(spark, path).select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
 
 
+def scan_csv_folder(spark, sf_dir):
+    """Order files with different headers in one folder of CSV files, aligned by name in long form."""
+    path = new_folder(spark, "csv-folder")
+    orders = table(spark, sf_dir, "orders")
+    early, late = F.col("o_orderdate") < "1998-01-01", F.col("o_orderdate") >= "1998-01-01"
+    orders.where(early).select("o_orderkey", "o_orderpriority").write.csv(path, header=True)
+    orders.where(late).select("o_orderstatus", "o_orderkey", "o_custkey").write.mode("append").csv(path, header=True)
+    names = ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"]
+    cells = file_ops.read_folder_long(spark, path)
+    return cells.groupBy("file_name", "row_no").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in names]).select(*names)
+
+
 def sink_tables(spark, sf_dir):
     """Metrics written as Parquet by a coarse column and read back."""
     path = new_folder(spark, "metrics-table")
@@ -103,7 +116,8 @@ def lowercase_columns(spark, sf_dir):
 
 def batch_slice(spark, sf_dir):
     rows = catalog(spark, sf_dir).withColumn("file_name", F.substring_index("url", "/", -1))
-    batches = column_ops.batch_slices(rows, files(spark, sf_dir), _BATCHES, "position", ["symbol", "file_name"])
+    starts = range(0, rows.count(), _BATCH)
+    batches = column_ops.batch_slices(rows, files(spark, sf_dir), [(n, n + _BATCH) for n in starts], "position", ["symbol", "file_name"])
     return batches.select("batch", "symbol", "file_name")
 
 
@@ -139,7 +153,7 @@ def union_by_name(spark, sf_dir):
 
 def hconcat(spark, sf_dir):
     """Orders beside line prices by position; the two have different lengths."""
-    left = catalog(spark, sf_dir).where("status = 'F'").select("symbol", F.col("position").alias("order_no"))
+    left = catalog(spark, sf_dir).where("status != 'O'").select("symbol", F.col("position").alias("order_no"))
     right = catalog(spark, sf_dir).where("status = 'O'").select("url", F.col("position").alias("other_no"))
     return wide.hconcat(left, right, "order_no", "other_no")
 
@@ -167,6 +181,7 @@ QUERIES = {
     "resolve_first_source": resolve_first_source,
     "file_semi_join": file_semi_join,
     "scan_dir_union": scan_dir_union,
+    "scan_csv_folder": scan_csv_folder,
     "sink_tables": sink_tables,
     "project_columns": project_columns,
     "drop_columns": drop_columns,
@@ -185,16 +200,15 @@ QUERIES = {
     "top_k": top_k,
 }
 
-_BATCH_SQL = ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(_BATCHES))
-
 ORACLE = {
     "scan_catalog": with_sql(CATALOG, select=f"SELECT {', '.join(_CATALOG_COLUMNS)} FROM catalog"),
     "scan_grid_headerless": with_sql(
         DOCUMENT_CELLS.split("full_cols AS")[0].rstrip().rstrip(","),
         """numbered AS (
-          SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY rid) - 1 AS row_idx, cell
-          FROM (SELECT floor(CAST(doc[2:] AS BIGINT) / 10) AS doc, rid, cell FROM raw_cells JOIN full_rows USING (doc, rid)))""",
-        select="SELECT row_idx, count(DISTINCT doc) AS n_rows, CAST(count(nullif(cell, 'N/A')) AS BIGINT) AS n_cells FROM numbered GROUP BY row_idx",
+          SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY rid) - 1 AS row_idx, cell, pos
+          FROM (SELECT floor(CAST(doc[2:] AS BIGINT) / 10) AS doc, rid, cell, pos FROM raw_cells JOIN full_rows USING (doc, rid)))""",
+        select="""SELECT row_idx, string_agg(coalesce(nullif(nullif(cell, 'N/A'), ''), '<null>'), '|' ORDER BY pos) AS cells
+          FROM numbered GROUP BY doc, row_idx""",
     ),
     "resolve_first_source": with_sql(
         CATALOG, FILES, CANDIDATES,
@@ -206,6 +220,9 @@ ORACLE = {
     "scan_dir_union": """SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderstatus, NULL::BIGINT AS o_custkey
         FROM orders WHERE o_orderdate < DATE '1998-01-01'
       UNION ALL SELECT o_orderkey, NULL, o_orderstatus, o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
+    "scan_csv_folder": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN early THEN o_orderpriority END AS o_orderpriority,
+        CASE WHEN NOT early THEN o_orderstatus END AS o_orderstatus, CASE WHEN NOT early THEN CAST(o_custkey AS VARCHAR) END AS o_custkey
+      FROM (SELECT *, o_orderdate < DATE '1998-01-01' AS early FROM orders)""",
     "sink_tables": with_sql(METRICS, select="SELECT filing, metric, value FROM metrics"),
     "project_columns": with_sql(CATALOG, select="SELECT symbol, url, public_price_per_share FROM catalog"),
     "drop_columns": with_sql(CATALOG, select="SELECT * EXCLUDE (day, ipo_date, status) FROM catalog"),
@@ -228,9 +245,11 @@ ORACLE = {
         """numbered AS (SELECT symbol, regexp_extract(url, '[^/]*$') AS file_name, status,
           row_number() OVER (ORDER BY position) - 1 AS i FROM catalog)""",
         "existing AS (SELECT * FROM numbered WHERE status <> 'P')",
-        f"batches AS (SELECT * FROM (VALUES {_BATCH_SQL}) b(batch, lo, hi))",
+        f"""batches AS (SELECT CAST(n AS INTEGER) AS batch, n * {_BATCH} AS lo, (n + 1) * {_BATCH} AS hi,
+          (SELECT min(e.i) FROM existing e WHERE e.i >= (n + 1) * {_BATCH}) AS extra
+          FROM range((SELECT CAST(ceil(count(*) / {_BATCH}) AS BIGINT) FROM orders)) t(n))""",
         select="""SELECT batch, symbol, file_name FROM existing, batches
-          WHERE (i >= lo AND i < hi) OR i = (SELECT min(e.i) FROM existing e WHERE e.i >= hi)""",
+          WHERE (i >= lo AND i < hi) OR i = extra""",
     ),
     "inner_join_symbol": with_sql(
         CATALOG, METRICS,
@@ -261,7 +280,7 @@ ORACLE = {
     ),
     "hconcat": with_sql(
         CATALOG,
-        "l AS (SELECT symbol, position AS order_no, row_number() OVER (ORDER BY position) - 1 AS p FROM catalog WHERE status = 'F')",
+        "l AS (SELECT symbol, position AS order_no, row_number() OVER (ORDER BY position) - 1 AS p FROM catalog WHERE status <> 'O')",
         "r AS (SELECT url, position AS other_no, row_number() OVER (ORDER BY position) - 1 AS p FROM catalog WHERE status = 'O')",
         select="SELECT coalesce(l.p, r.p) AS position, symbol, order_no, url, other_no FROM l FULL JOIN r ON l.p = r.p",
     ),

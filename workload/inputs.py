@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filingforge.operators.staging import stage
 from filingforge.operators.stats import unpivot
-from filingforge.operators.tables import single_grid
+from filingforge.operators.tables import stack_tables
 
 PARENTS = ["folder-1", "folder-2", "folder-3", "folder-4", "folder-5"]
 LINE_LABELS = ["Total Revenue (net)", "Shareholders’ Equity", "Cash", "Net Loss", "Other"]
@@ -20,13 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when the input has fewer splits than that, for costly work per
-    row. Inputs of many splits, as on a cluster, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_sql(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select
 
@@ -208,8 +201,8 @@ def markup(spark, sf_dir) -> DataFrame:
 
 
 def grid(spark, sf_dir) -> DataFrame:
-    """Table 0 of every filing as a grid, written once: the operators read it several times."""
-    return stage(single_grid(table_rows(spark, sf_dir).where("table_id = 0")), "grid-input")
+    """All tables of every filing stacked, written once: the operators read it twice."""
+    return stage(stack_tables(table_rows(spark, sf_dir)), "grid-input")
 
 
 TABLE_CELLS = """
@@ -250,9 +243,10 @@ table_cells AS (
   JOIN (VALUES (1, ['0', '1']), (2, ['0', '1']), (3, ['Item', '1'])) l(tid, names) ON tid = table_id)
 """
 GRID = TABLE_CELLS.rstrip() + """,
+first_places AS (SELECT filing, col_name, min(table_id * 1048576 + col_idx) AS col FROM table_cells GROUP BY ALL),
 grid AS (
-  SELECT filing, CAST(row_idx AS BIGINT) AS row_no, CAST(col_idx AS BIGINT) AS col, cell
-  FROM table_cells WHERE table_id = 0)
+  SELECT filing, CAST(table_id AS BIGINT) * 1099511627776 + row_idx AS row_no, CAST(col AS BIGINT) AS col, cell
+  FROM table_cells JOIN first_places USING (filing, col_name))
 """
 
 # ---------------------------------------------------------------- features
@@ -290,7 +284,7 @@ def metrics(spark, sf_dir) -> DataFrame:
     }
     metric = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.substring("o_orderpriority", 1, 1)]
     return (
-        table(spark, sf_dir, "orders").where("o_orderstatus != 'P'")
+        table(spark, sf_dir, "orders")
         .groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("filing"), metric.alias("metric"))
         .agg(F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double").alias("value"))
     )
@@ -302,33 +296,33 @@ metrics AS (
     ['cash_trend', 'cash_and_cash_equivalents_trend', 'total_stockholders_equity_recent',
      'total_shareholders_equity_recent', 'net_loss_recent'][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS metric,
     CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS value
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)
+  FROM orders GROUP BY ALL)
 """
 
 
 def keyword_wide(spark, sf_dir) -> DataFrame:
-    """(symbol, diff, one count per term): labelled documents, the sign of diff by quality."""
+    """(symbol, diff, one count per term): all documents; the sign of diff by quality, null without a label."""
     labels = table(spark, sf_dir, "labels")
     text = F.lower("text")
     counts = [F.regexp_count(text, F.lit(t)).cast("double").alias(t) for t in TERMS]
     diff = ((F.col("quality") * 2 - 1) * (F.col("doc_id") % 7)).cast("double")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("symbol"), diff.alias("diff"), *counts
     )
 
 
 def keyword_values(spark, sf_dir) -> DataFrame:
-    return unpivot(keyword_wide(spark, sf_dir), TERMS, ["symbol", "diff"])
+    return unpivot(keyword_wide(spark, sf_dir).where("diff is not null"), TERMS, ["symbol", "diff"])
 
 
 KEYWORD_WIDE = (
     "keyword_wide AS (SELECT 'D' || doc_id AS symbol, CAST((quality * 2 - 1) * (doc_id % 7) AS DOUBLE) AS diff, "
     + ", ".join(f"CAST(len(regexp_extract_all(lower(text), '{t}')) AS DOUBLE) AS {t}" for t in TERMS)
-    + " FROM documents JOIN labels USING (doc_id))"
+    + " FROM documents LEFT JOIN labels USING (doc_id))"
 )
 KEYWORD_VALUES = (
     KEYWORD_WIDE + ",\nkeyword_values AS (SELECT symbol, diff, unnest(["
-    + ", ".join(f"'{t}'" for t in TERMS) + "]) AS \"column\", unnest([" + ", ".join(TERMS) + "]) AS value FROM keyword_wide)"
+    + ", ".join(f"'{t}'" for t in TERMS) + "]) AS \"column\", unnest([" + ", ".join(TERMS) + "]) AS value FROM keyword_wide WHERE diff IS NOT NULL)"
 )
 
 # ---------------------------------------------------------------- grid documents
@@ -337,7 +331,7 @@ KEYWORD_VALUES = (
 def document_rows(spark, sf_dir) -> DataFrame:
     """(doc, row_idx, cells): one document per customer, one row per order; what a row says goes by
     the order's number. Some rows are empty, some terms and dates run over cells and rows."""
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     amount = F.format_number("o_totalprice", 2)
     none, lit, cat = _nulls("string"), F.lit, F.concat
     kinds = [
@@ -351,7 +345,7 @@ def document_rows(spark, sf_dir) -> DataFrame:
         [none, none, none, none],
         [lit("Trust"), lit("Account"), cat(lit("$"), amount), none],
         [lit("Operating Activities"), cat(amount, lit(" (1)")), none, lit("(3")],
-        [F.year("o_orderdate").cast("string"), lit("Balance"), lit("Sheet"), none],
+        [lit(" "), F.year("o_orderdate").cast("string"), lit("Balance"), lit("Sheet")],
         [none, lit("Current ratio"), lit("December"), lit("31,")],
     ]
     cells = F.get(F.array(*[F.array(*k) for k in kinds]), (F.col("o_orderkey") % 12).cast("int"))
@@ -375,7 +369,7 @@ raw_cells AS (
       WHEN 7 THEN [NULL, NULL, NULL, NULL]
       WHEN 8 THEN ['Trust', 'Account', '$' || format('{:,.2f}', o_totalprice), NULL]
       WHEN 9 THEN ['Operating Activities', format('{:,.2f}', o_totalprice) || ' (1)', NULL, '(3']
-      WHEN 10 THEN [CAST(year(o_orderdate) AS VARCHAR), 'Balance', 'Sheet', NULL]
+      WHEN 10 THEN [' ', CAST(year(o_orderdate) AS VARCHAR), 'Balance', 'Sheet']
       ELSE [NULL, 'Current ratio', 'December', '31,'] END) AS cell
   FROM orders),
 full_rows AS (SELECT doc, rid FROM raw_cells GROUP BY ALL HAVING count(cell) > 0),

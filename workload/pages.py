@@ -11,11 +11,11 @@ from filingforge.operators.wide import pivot_metrics
 from filingforge.plans import financials as plans
 from filingforge.sources import files
 from workload.grids import STEPS
-from workload.inputs import FEATURES, TABLE_CELLS, features, markup, spread, table, table_rows, with_sql
+from workload.inputs import FEATURES, TABLE_CELLS, features, markup, table, table_rows, with_sql
 
 
 def _pages(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def html_normalize(spark, sf_dir):
@@ -69,7 +69,7 @@ def flatten_headers(spark, sf_dir):
         F.col("c_acctbal").cast("string"), F.lit("</td><td>x</td></tr></table>"),
     )
     pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("filing"), page.alias("html"))
-    rows = html_ops.html_table_rows(spread(pages))
+    rows = html_ops.html_table_rows(pages)
     return rows.select("filing", F.posexplode("labels").alias("col_idx", "label"))
 
 
@@ -79,7 +79,7 @@ def _rows(spark, sf_dir):
 
 def find_finance_tables(spark, sf_dir):
     found = table_ops.find_finance_tables(_rows(spark, sf_dir), multiplicity="per_keyword")
-    return found.groupBy("filing", "table_id", "copy").agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.select("filing", "table_id", "copy", "row_idx", F.array_join("cells", "|", "<null>").alias("cells"))
 
 
 def stack_tables(spark, sf_dir):
@@ -92,11 +92,14 @@ def drop_empty_columns(spark, sf_dir):
     return grid_ops.explode_cells(grid_ops.drop_empty_columns(stage(table_ops.stack_tables(chosen), "grid")))
 
 
-def training_table(spark, sf_dir):
-    """Pages to facts, metrics, sizes and keyword features, one row per filing."""
-    keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), ["Blue Ring", "Red Gear"], "symbol", "element")
-    found = plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30)
-    return found.select(*[F.round(c, 4).alias(c) if c.endswith(("_recent", "_trend")) else F.col(f"`{c}`") for c in found.columns])
+def _training(multiplicity):
+    def query(spark, sf_dir):
+        """Pages to facts, metrics, sizes and all keyword features, one row per filing."""
+        keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), key="symbol", name="element")
+        found = plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30, multiplicity=multiplicity)
+        return found.select(*[F.round(c, 4).alias(c) if c.endswith(("_recent", "_trend")) else F.col(f"`{c}`") for c in found.columns])
+
+    return query
 
 
 def skip_report(spark, sf_dir):
@@ -108,7 +111,8 @@ def skip_report(spark, sf_dir):
 
 
 QUERIES = {
-    "training_table": training_table,
+    "training_table": _training("once"),
+    "training_table_per_keyword": _training("per_keyword"),
     "skip_report": skip_report,
     "scan_html_files": scan_html_files,
     "html_normalize": html_normalize,
@@ -188,22 +192,34 @@ parsed AS (
 """
 _METRICS = [f"{name}_{end}" for name in ("cash", "net_loss", "shareholders_equity", "total_revenue_net") for end in ("recent", "trend")]
 
-ORACLE = {
-    "training_table": with_sql(
-        _TABLES, _LINES, _PARSED, _FINANCE.replace("FROM table_cells", "FROM parsed"), _NOT_EMPTY,
+_COPIES = _FINANCE.replace(
+    "FROM table_cells JOIN chosen USING (filing, table_id) JOIN places", "FROM table_cells JOIN copied USING (filing, table_id) JOIN places"
+).replace("+ row_idx AS row_no", "+ copy * 17179869184 + row_idx AS row_no").replace(
+    "stacked AS (", "copied AS (SELECT filing, table_id, unnest(range(terms)) AS copy FROM chosen),\nstacked AS ("
+)
+
+
+def _training_sql(finance):
+    return with_sql(
+        _TABLES, _LINES, _PARSED, finance.replace("FROM table_cells", "FROM parsed"), _NOT_EMPTY,
         "grid AS (SELECT stacked.* FROM stacked JOIN good USING (filing, col))", *[s.strip() for s in STEPS[1:]],
         """pages_ AS (
           SELECT filing, '<!DOCTYPE html><html><body>' || string_agg(element, '<p>text</p>' ORDER BY table_id) || '</body></html>' AS html
           FROM elements GROUP BY ALL)""",
         f"document_sizes AS (SELECT filing, length(html) AS document_length, len(regexp_extract_all({_TEXT}, '[^\\s\\x{{00A0}}]+')) AS word_count FROM pages_)",
         FEATURES,
-        """keywords AS (SELECT symbol, max(value) FILTER (element = 'Blue Ring') AS "Blue Ring", max(value) FILTER (element = 'Red Gear') AS "Red Gear"
-          FROM features WHERE kind = 'keyword' GROUP BY symbol)""",
         "wide AS (SELECT filing, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _METRICS) + " FROM trends GROUP BY filing)",
-        select="SELECT k.symbol, " + ", ".join(f"round({m}, 4) AS {m}" for m in _METRICS)
-        + """, document_length, word_count, "Blue Ring", "Red Gear"
-          FROM wide JOIN document_sizes USING (filing) JOIN keywords k ON k.symbol = filing""",
-    ),
+        select="SELECT k.*, " + ", ".join(f"round({m}, 4) AS {m}" for m in _METRICS)
+        + """, document_length, word_count
+          FROM wide JOIN document_sizes USING (filing) JOIN (
+            PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON element USING max(value) GROUP BY symbol) k
+          ON k.symbol = filing""",
+    )
+
+
+ORACLE = {
+    "training_table": _training_sql(_FINANCE),
+    "training_table_per_keyword": _training_sql(_COPIES),
     "skip_report": with_sql(
         _TABLES,
         """big AS (SELECT DISTINCT filing FROM table_cells WHERE table_id IN (2, 3) AND regexp_matches(cell, '(45|46|47|48|49)0,'))""",
@@ -232,7 +248,10 @@ ORACLE = {
     ),
     "find_finance_tables": with_sql(
         _TABLES, _FINANCE,
-        select="SELECT filing, table_id, unnest(range(terms)) AS copy, n_rows FROM chosen",
+        """found AS (
+          SELECT filing, table_id, row_idx, any_value(terms) AS terms, string_agg(coalesce(cell, '<null>'), '|' ORDER BY col_idx) AS cells
+          FROM table_cells JOIN chosen USING (filing, table_id) GROUP BY ALL)""",
+        select="SELECT filing, table_id, CAST(unnest(range(terms)) AS INTEGER) AS copy, row_idx, cells FROM found",
     ),
     "stack_tables": with_sql(_TABLES, _FINANCE, select="SELECT * FROM stacked"),
     "flatten_headers": """SELECT CAST(c_custkey AS VARCHAR) AS filing, unnest([0, 1, 2]) AS col_idx,

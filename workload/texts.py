@@ -6,21 +6,22 @@ from filingforge.functions.labels import title_case
 from filingforge.operators import features as feature_ops
 from filingforge.operators import html as html_ops
 from filingforge.operators import stats, wide
+from filingforge.plans.text_features import feature_association as association
 from filingforge.plans.text_features import filing_features as features_of_pages
 from workload.inputs import (
     CATALOG, FEATURES, KEYWORD_VALUES, KEYWORD_WIDE, METRICS, TERMS, catalog, features, keyword_values, keyword_wide,
-    metrics, spread, table, with_sql,
+    metrics, table, with_sql,
 )
 from workload.pages import PAGE_TEXT
 
 _DENIED = ["The", "Der", "Die", "Les", "Una", "Of", "And", "La", "El"]
 _SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
 _BANKS, _NEAR_TERMS = ["apache", "mit", "license"], ["license", "public", "copyright"]
-_ELEMENTS = ["Blue Ring", "Red Gear", "Old Anvil", "Cold Bolt", "New Plate"]
+_WORDS = ["Ring", "Blue"]
 
 
 def _docs(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("symbol"), "text"
     )
 
@@ -82,7 +83,7 @@ def keyword_frequency(spark, sf_dir):
 
 def pivot_metrics(spark, sf_dir):
     rows = features(spark, sf_dir).where("kind = 'keyword'").select("symbol", "element", "value")
-    return wide.pivot_metrics(rows, _ELEMENTS, key="symbol", name="element")
+    return wide.pivot_metrics(rows, key="symbol", name="element")
 
 
 def group_sum(spark, sf_dir):
@@ -120,8 +121,16 @@ def sort_abs(spark, sf_dir):
     return stats.sort_abs(catalog(spark, sf_dir).select("symbol", "position", "diff"), "diff")
 
 
+def feature_association(spark, sf_dir):
+    """Frequent features without denied words against the price change of the customer's first order."""
+    first = wide.distinct_on(catalog(spark, sf_dir), ["symbol"], [F.col("position")])
+    found = association(features(spark, sf_dir), first, _WORDS, 60)
+    return _rounded(found, "positive_mean", "negative_mean", "difference")
+
+
 def histogram(spark, sf_dir):
-    return stats.histogram(table(spark, sf_dir, "events"), "value", 200)
+    value = F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(F.col("value"))
+    return stats.histogram(table(spark, sf_dir, "events").select(value.alias("value")), "value", 200)
 
 
 def winners_losers(spark, sf_dir):
@@ -129,12 +138,13 @@ def winners_losers(spark, sf_dir):
 
 
 def profile_info(spark, sf_dir):
-    return stats.profile_info(table(spark, sf_dir, "orders").withColumn("o_comment", F.expr("nullif(o_orderstatus, 'P')"))).drop("type")
+    return stats.profile_info(table(spark, sf_dir, "orders").withColumn("o_comment", F.expr("nullif(o_orderstatus, 'P')")))
 
 
 def profile_describe(spark, sf_dir):
     described = stats.profile_describe(
-        spread(table(spark, sf_dir, "lineitem")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+        table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_orderkey") % 50 == 0, float("nan")).otherwise(F.col("l_tax"))),
+        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     )
     # Five places: the mean discount lies on a tie at the sixth, where the order of adding decides.
     return described.withColumns({c: F.round(c, 5) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
@@ -146,7 +156,7 @@ def group_count_desc(spark, sf_dir):
 
 def filing_features(spark, sf_dir):
     """Features of the given web pages, from markup to suffixed feature rows."""
-    pages = spread(table(spark, sf_dir, "pages")).select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("symbol"), "html")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("symbol"), "html")
     return features_of_pages(pages, TERMS, _BANKS, _DENIED)
 
 
@@ -160,6 +170,7 @@ QUERIES = {
     "min_support_columns": min_support_columns,
     "mean_difference_by_sign": mean_difference_by_sign,
     "feature_correlation": feature_correlation,
+    "feature_association": feature_association,
     "histogram": histogram,
     "winners_losers": winners_losers,
     "profile_info": profile_info,
@@ -211,7 +222,8 @@ _DESCRIBE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std,
       round(CAST(min({c}) AS DOUBLE), 5) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 5) AS q25,
       round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 5) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 5) AS q75,
-      round(CAST(max({c}) AS DOUBLE), 5) AS max FROM lineitem"""
+      round(CAST(max({c}) AS DOUBLE), 5) AS max FROM (
+        SELECT * REPLACE (CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE l_tax END AS l_tax) FROM lineitem)"""
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 )
 _SIGNED = (
@@ -229,8 +241,7 @@ ORACLE = {
     ),
     "pivot_metrics": with_sql(
         FEATURES,
-        select="SELECT symbol, " + ", ".join(f"max(value) FILTER (element = '{e}') AS \"{e}\"" for e in _ELEMENTS)
-        + " FROM features WHERE kind = 'keyword' GROUP BY symbol",
+        select="SELECT * FROM (PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON element USING max(value) GROUP BY symbol)",
     ),
     "pivot_duplicate_names": with_sql(
         FEATURES,
@@ -253,16 +264,28 @@ ORACLE = {
           HAVING count(value) >= 0.735 * (SELECT count(DISTINCT filing) FROM metrics))""",
     ),
     "mean_difference_by_sign": with_sql(KEYWORD_VALUES, select=_SIGNED),
+    "feature_association": with_sql(
+        CATALOG, FEATURES,
+        "kept AS (SELECT * FROM features WHERE NOT (" + " OR ".join(f"contains(element, '{w}')" for w in _WORDS) + "))",
+        "frequent AS (SELECT element FROM kept GROUP BY element HAVING count(value) > 60)",
+        "firsts AS (SELECT symbol, diff FROM catalog QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position) = 1)",
+        'keyword_values AS (SELECT element AS "column", value, diff FROM kept JOIN frequent USING (element) JOIN firsts USING (symbol))',
+        select=_SIGNED,
+    ),
     "feature_correlation": with_sql(
         KEYWORD_VALUES, select='SELECT "column", round(corr(value, diff), 6) AS correlation, count(value) AS count FROM keyword_values GROUP BY ALL'
     ),
-    "histogram": """WITH ends_ AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
-      SELECT least(CAST(floor((value - lo) / (hi - lo) * 200) AS BIGINT) + 1, 200) AS bin, count(*) AS count FROM events, ends_ GROUP BY ALL""",
+    "histogram": """WITH numbers AS (SELECT value FROM events WHERE event_id % 50 <> 0),
+      ends_ AS (SELECT min(value) AS lo, max(value) AS hi FROM numbers)
+      SELECT least(CAST(floor((value - lo) / (hi - lo) * 200) AS BIGINT) + 1, 200) AS bin, count(*) AS count FROM numbers, ends_ GROUP BY ALL""",
     "winners_losers": with_sql(CATALOG, select="SELECT diff > 0 AS result, count(*) AS count FROM catalog GROUP BY ALL"),
     "profile_info": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({e}) AS non_null FROM orders"
-        for c, e in [(c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
-        + [("o_comment", "nullif(o_orderstatus, 'P')")]
+        f"SELECT '{c}' AS \"column\", '{t}' AS type, count({e}) AS non_null FROM orders"
+        for c, t, e in [
+            ("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_orderstatus", "string", "o_orderstatus"),
+            ("o_totalprice", "double", "o_totalprice"), ("o_orderdate", "timestamp_ntz", "o_orderdate"), ("o_orderpriority", "string", "o_orderpriority"),
+            ("o_comment", "string", "nullif(o_orderstatus, 'P')"),
+        ]
     ),
     "profile_describe": _DESCRIBE,
     "group_count_desc": "SELECT lang, count(*) AS count FROM documents GROUP BY lang",
