@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .graphs import bit_table, in_table, of_ids
+from .graphs import bit_table, in_table
 from .text_arrays import Hasher, flat_bytes, mix, slices, spans_of
 
 DEPTH, GRAM = 100, 32
+#: Bytes of text handled at once: for each, tens of bytes of arrays.
+_SLICE = 1 << 19
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -103,7 +105,7 @@ def _anchor_rows(texts: DataFrame, depth: int, gram: int, firsts: np.ndarray, do
 
     def run(batches):
         hasher = Hasher()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             ids = batch.column("doc").to_numpy()
             names = batch.column("hash").to_numpy().view(np.uint64)
             kept = in_table(firsts, names)
@@ -186,7 +188,7 @@ def _window_rows(texts: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         hasher = Hasher()
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", _SLICE):
             data, offsets = flat_bytes(batch.column("text"))
             doc, version = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
             starts, owners = [], []
@@ -230,7 +232,7 @@ def _cut(texts: DataFrame, depth: int) -> DataFrame:
     """(doc, sha, n_removed, n_spans, kept_sha256) of texts with the starts of their repeats; sha is the text's digest."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             data, offsets = flat_bytes(batch.column("text"))
             rows = []
             for i in range(len(batch)):
@@ -252,19 +254,21 @@ def _cut(texts: DataFrame, depth: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, sha string, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _with_version(texts: DataFrame, doubled: np.ndarray) -> DataFrame:
-    """Adds the hash of the text where the id may belong to several texts, and 0 elsewhere."""
+def _of_docs(texts: DataFrame, ids: DataFrame, doubled: np.ndarray) -> DataFrame:
+    """(doc, version, text) of the documents in `ids`, and few others, once each: a narrow filter by a bit table. The
+    version is the hash of the text where the id may belong to several texts, and 0 elsewhere."""
+    wanted = bit_table(ids.select(F.xxhash64("doc").alias("hash")))
 
     def run(batches):
         hasher = Hasher()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
+            batch = batch.filter(pa.array(in_table(wanted, batch.column("hash").to_numpy().view(np.uint64))))
             data, offsets = flat_bytes(batch.column("text"))
-            names = batch.column("hash").to_numpy().view(np.uint64)
             hashes = hasher.ranges(hasher.sums(data, False), offsets[:-1], offsets[1:])
-            versions = np.where(in_table(doubled, names), hashes, np.uint64(0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "hash", "text")), pa.array(versions)], ["doc", "hash", "text", "version"])
+            versions = np.where(in_table(doubled, batch.column("hash").to_numpy().view(np.uint64)), hashes, np.uint64(0)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(versions), batch.column("text")], ["doc", "version", "text"])
 
-    return texts.mapInArrow(run, "doc long, hash long, text string, version long")
+    return texts.mapInArrow(run, "doc long, version long, text string").dropDuplicates(["doc", "version"])
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,10 +286,10 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, key:
     found = stage(_resolve(_anchor_rows(named, depth, gram, firsts, doubled)), "anchors")
     open_ = _gathered(found.where("sure = 0").select("doc", "version", "start", "last"), "open")
     open_ = stage(open_, "open")
-    asked = _with_version(of_ids(named, open_.select(F.col("doc")).distinct(), "doc"), doubled).dropDuplicates(["doc", "version"])
+    asked = _of_docs(named, open_, doubled)
     windows = _later_windows(_window_rows(asked.join(open_, ["doc", "version"]).select("doc", "version", "text", "open"), depth))
     every = stage(_gathered(found.where("sure = 1").select("doc", "version", "start", "last").union(windows), "found"), "found")
-    hit = _with_version(of_ids(named, every.select("doc").distinct(), "doc"), doubled).dropDuplicates(["doc", "version"])
+    hit = _of_docs(named, every, doubled)
     cut = stage(_cut(hit.join(every, ["doc", "version"]).select("doc", "version", "text", "found"), depth), "cut")
     out = noted.join(cut, ["doc", "sha"], "left")
     pick = lambda name, copy, own: F.when(F.col("copy"), copy).otherwise(F.coalesce(name, own)).alias(name)
