@@ -50,10 +50,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "lowest")
+        lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.distinct(), "large")
-        lowest = stage(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()

@@ -5,9 +5,10 @@ lowest value; rounds go on until every bin is full, and from round t on, one bin
 a band are joined to one key, and documents that share a key are compared.
 
 1. Documents of equal shingle sets (two 64-bit sums and the size) form a class at once; the smallest id stands for it.
-2. In every bucket (documents of one key) the others are compared with the smallest id, on their full sets.
+2. In every bucket (documents of one key) the others are compared with the smallest id, on their full sets, unless
+   they have come together already.
 3. Buckets whose documents still lie in several components are searched in full, in blocks of BLOCK documents against
-   one another, spread over tasks; only pairs of different components whose sketches agree well enough (6 standard
+   one another, spread over tasks; only pairs of different components whose sketches agree well enough (5 standard
    deviations under the threshold) are compared on full sets. No bucket is capped or skipped.
 4. Components run over the verified links only.
 
@@ -28,6 +29,8 @@ from .graphs import components, groups_of, of_ids
 from .text_arrays import Hasher, mix, shingle_sets, slices
 
 ROWS, BANDS = 6, 42
+#: Columns of a sketch for each that the bands use: the more, the closer sketches tell similarity.
+WIDER = 2
 #: Documents of a bucket that one task compares with as many others.
 BLOCK = 256
 
@@ -83,8 +86,8 @@ def sketched(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
             for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
                 total = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt)))]
                 sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-            table = sketch(hashes, offsets, rows * bands)
-            keys = band_keys(table, rows)[sizes > 0]
+            table = sketch(hashes, offsets, WIDER * rows * bands)
+            keys = band_keys(table[:, : rows * bands], rows)[sizes > 0]
             ends = np.r_[0, np.cumsum((sizes > 0) * bands)]
             low = table.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
@@ -127,13 +130,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _across(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in buckets (key, id, root, held) whose sketches agree well enough."""
     blocks = F.ceil(F.col("held") / BLOCK)
     mine = F.pmod(F.xxhash64("id"), blocks)
     rows = open_.select("key", "id", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     rows = rows.select("key", "id", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = rows.join(reps.select("id", "sketch"), "id")
+    rows = rows.join(sketches, "id")
 
     def search(batches):
         for group in groups_of(batches, ["key", "i", "j"]):
@@ -141,7 +144,7 @@ def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             bins = marks.shape[1]
             s = percent / 100
-            least = (s - 6 * np.sqrt(s * (1 - s) / bins)) * bins
+            least = (s - 5 * np.sqrt(s * (1 - s) / bins)) * bins
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             left = np.flatnonzero(mine == i)
             right = np.flatnonzero(mine == j)
@@ -159,6 +162,19 @@ def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long").where("a < b").distinct()
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, root) after more links (a, b)."""
+    known = links if roots is None else links.union(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    return stage(components(known), "roots")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two documents lie in different components."""
+    a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: the smallest id reachable over links of at least `percent`."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -167,25 +183,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     named = made.where("size > 0 and id is not null")
     several = named.groupBy(*sets).agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").drop("top")
     # Both sides of this join are shuffled as they are read, so that a very large class is split.
-    made = stage(made.join(stage(several, "classes"), sets, "left").withColumn("rep", F.coalesce("rep", "id")), "classed")
-    reps = made.where("size > 0 and id = rep")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    sketches = made.select("id", "sketch")
+    classed = made.drop("sketch").join(stage(several, "classes"), sets, "left").withColumn("rep", F.coalesce("rep", "id"))
+    made = stage(classed.select("id", "size", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
+    keyed = made.where("bands is not null").select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")).where("low < high").drop("high")
     buckets = stage(keyed.join(stage(buckets, "buckets"), "key"), "members")
     pairs = stage(buckets.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     needed = buckets.select("id").union(buckets.select(F.col("low").alias("id"))).distinct()
     texts = stage(of_ids(texts.where("id is not null"), needed).dropDuplicates(["id"]), "texts")
-    links = stage(verified(pairs, texts, k, percent), "verified")
-    roots = stage(components(links), "roots")
+    # One partner for each document, then another for those still apart from it, then all others of these: a large group
+    # of near copies has as many smallest ids as buckets, but mostly comes together by the first.
+    roots, left = None, pairs
+    for single in (True, True, False):
+        todo = left if roots is None else _apart(left, roots)
+        todo = stage(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if single else todo, "todo")
+        if roots is not None and todo.isEmpty():
+            break
+        roots = _joined(roots, stage(verified(todo, texts, k, percent), "verified"))
+        left = left.join(todo, ["a", "b"], "left_anti")
     # Buckets that the smallest id has not brought together.
     marked = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "held", "root")
     marked = stage(marked, "marked")
     open_ = stage(marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "open")
     if not open_.isEmpty():
-        more = stage(_across(marked.join(open_, "key"), reps, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = stage(_across(marked.join(open_, "key"), sketches, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = links.union(stage(verified(more, texts, k, percent), "verified"))
-            roots = stage(components(links), "roots")
+            roots = _joined(roots, stage(verified(more, texts, k, percent), "verified"))
     found = made.select("id", "size", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     own = F.when(F.col("size") > 0, F.coalesce("root", "rep")).otherwise(F.col("id"))
     return found.select(
