@@ -32,7 +32,7 @@ ROWS, BANDS = 6, 42
 #: Columns of a sketch for each that the bands use: the more, the closer sketches tell similarity.
 WIDER = 2
 #: Documents of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
