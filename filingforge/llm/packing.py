@@ -3,8 +3,11 @@
 1. Every text becomes ids (plus an end id). Whole windows of a long text are sequences of their own; the rest, shorter
    than a window, goes on with its ids.
 2. Token document frequencies and the mean length are counted over all rests; the vocabulary bounds what is gathered.
-3. Rests are dealt over shards of about SHARD_TOKENS tokens. A shard builds its inverted index (postings by token, BM25
-   weights with the corpus statistics) and takes the longest unused rest as a seed, again and again: its `terms` highest
+3. Rests are dealt over shards of about SHARD_TOKENS tokens by content: a rest's bucket is its token of highest BM25 weight
+   among those frequent enough to fill a part of a shard. Buckets follow one another, each near the one that it shares
+   most second tokens with, and are cut by size; a hot one is divided by the token of second highest weight, and what is
+   still hot (copies, say) evenly. Neighbours in another shard are not seen.
+4. A shard builds its inverted index (postings by token, BM25 weights with the corpus statistics) and takes the longest unused rest as a seed, again and again: its `terms` highest
    BM25 weighted tokens are the query, and the unused neighbours fill the window in order of score, then unused rests in
    order of length. The last one is cut to fit, and what is left of it is unused again. So only a shard's last sequence
    has padding.
@@ -27,6 +30,8 @@ from .pieces import ByteLevel
 from .text_arrays import slices
 
 SHARD_TOKENS = 1_500_000
+#: A bucket of more than a shard's PARTS-th is divided; a token counts as a bucket if it is in a PARTS-th of a shard's rests.
+PARTS = 4
 #: BM25 as usual: how fast repeated tokens saturate, how much the length counts.
 K1, B = 1.2, 0.75
 
@@ -92,6 +97,130 @@ def token_frequencies(rests: DataFrame) -> DataFrame:
     return rests.mapInArrow(count, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
 
 
+def buckets(rests: list[np.ndarray], rarity: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of highest and second highest BM25 weight of every rest; of equal ones the smaller id comes first."""
+    lengths = np.array([len(r) for r in rests])
+    line = np.sort(np.repeat(np.arange(len(rests)), lengths) << 32 | np.concatenate(rests).astype(np.int64))
+    heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    owner, token = line[heads] >> 32, line[heads] & 0xFFFFFFFF
+    often = np.diff(np.r_[heads, len(line)]).astype(np.float64)
+    weight = rarity[token] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[owner] / mean))
+    firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    found = []
+    for _ in range(2):
+        at = np.flatnonzero(weight == np.maximum.reduceat(weight, firsts)[owner])
+        at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]]
+        found.append(token[at])
+        weight[at] = -1
+    return found[0], found[1]
+
+
+def linked(first: list[int], partner: list[int]) -> list[int]:
+    """Buckets in an order where each stands with those it is linked to: depth first over (first, partner)."""
+    near = {t: [] for t in sorted(first)}
+    for a, b in sorted(zip(first, partner)):
+        if a != b and b in near:
+            near[a].append(b)
+            near[b].append(a)
+    order: dict[int, None] = {}
+    for t in near:
+        waiting = [t]
+        while waiting:
+            if (a := waiting.pop()) not in order:
+                order[a] = None
+                waiting += reversed(near[a])
+    return list(order)
+
+
+class Dealt:
+    """Which shard a rest goes to, from the tokens held by its bucket and, in hot buckets, by each of its folds."""
+
+    def __init__(self, shards: int, total: int, held: dict[int, int], partner: dict[int, int]):
+        """held: tokens per bucket; partner: the second token most of them have."""
+        self.shards, self.share = shards, -(-total // shards)
+        order = linked(list(held), [partner[t] for t in held])
+        self.place = np.zeros(max(order) + 1, np.int64)
+        self.place[order] = np.arange(len(order))
+        self.size = np.array([held[t] for t in order], np.int64)
+        # 16 folds for every shard that a hot bucket fills: their number grows with the shards alone.
+        self.folds = np.where(self.size * PARTS > self.share, 16 * -(-self.size // self.share), 1)
+        self.slots = np.cumsum(self.folds) - self.folds
+        self.units = self.size.repeat(self.folds)
+        self.units[self.folds.repeat(self.folds) > 1] = 0
+
+    def fold(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        place = self.place[first]
+        return self.slots[place] + second % self.folds[place]
+
+    def fill(self, slot: np.ndarray, held: np.ndarray) -> None:
+        """held: tokens per fold of the hot buckets."""
+        self.units[slot] = held
+
+    def shard(self, first: np.ndarray, second: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """spread: uniform in [0, 1), it deals the rests of a fold that is hot itself."""
+        slot = self.fold(first, second)
+        before = (np.cumsum(self.units) - self.units)[slot]
+        inside = np.where(self.units[slot] * PARTS > self.share, (self.units[slot] * spread).astype(np.int64), 0)
+        return np.minimum((before + inside) // self.share, self.shards - 1)
+
+
+def _bucketed(rests: DataFrame, rarity: np.ndarray, mean: float) -> DataFrame:
+    """(first, second, length): without the ids, so it is written and read cheaply."""
+
+    def find(batches):
+        for batch in _small(batches):
+            first, second = buckets(_ids(batch), rarity, mean)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), batch.column("length")], ["first", "second", "length"])
+
+    return stage(rests.select("length", "ids").mapInArrow(find, "first long, second long, length long"), "buckets")
+
+
+def _small(batches):
+    for batch in batches:
+        for start in range(0, len(batch), 1000):
+            yield batch.slice(start, 1000)
+
+
+def _ids(batch) -> list[np.ndarray]:
+    return [_read(raw, n) for raw, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())]
+
+
+def _sharded(made: DataFrame, rests: DataFrame, rarity: np.ndarray, mean: float, shards: int, total: int) -> DataFrame:
+    """`made` with its shard. One row per token, and up to 16 for every shard that hot buckets fill, reach the driver."""
+    if shards == 1:
+        return made.withColumn("shard", F.lit(0).cast("long"))
+    found = _bucketed(rests, rarity, mean)
+    pairs = found.groupBy("first", "second").agg(F.sum("length").alias("held"))
+    partner = F.max_by("second", F.struct("held", "second")).alias("partner")
+    sizes = pairs.groupBy("first").agg(F.sum("held").alias("held"), partner).toArrow().to_pydict()
+    dealt = Dealt(shards, total, dict(zip(sizes["first"], sizes["held"])), dict(zip(sizes["first"], sizes["partner"])))
+    if (dealt.folds > 1).any():
+
+        def fold(batches):
+            for batch in batches:
+                first = batch.column("first").to_numpy()
+                slot = dealt.fold(first, batch.column("second").to_numpy())
+                rows = pa.RecordBatch.from_arrays([pa.array(slot), batch.column("length")], ["slot", "length"])
+                yield rows.filter(pa.array(dealt.folds[dealt.place[first]] > 1))
+
+        folds = found.mapInArrow(fold, "slot long, length long").groupBy("slot").agg(F.sum("length").alias("held")).toArrow()
+        dealt.fill(folds.column("slot").to_numpy(), folds.column("held").to_numpy())
+
+    def deal(batches):
+        for batch in _small(batches):
+            spread = batch.column("spread").to_numpy()
+            shard = (spread * shards).astype(np.int64)  # whole windows: anywhere
+            which = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False))
+            if len(which):
+                first, second = buckets(_ids(batch.take(pa.array(which))), rarity, mean)
+                shard[which] = dealt.shard(first, second, spread[which])
+            yield batch.drop_columns(["spread"]).append_column("shard", pa.array(shard))
+
+    spread = F.pmod(F.xxhash64("doc_id", "salt", "start"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema)
+    return made.withColumn("spread", spread).mapInArrow(deal, f"{kinds}, shard long")
+
+
 def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window: int, terms: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (rest, first, last): which part of which rest stands where."""
     n = len(rests)
@@ -193,7 +322,8 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end: int =
                 [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             )
 
-    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "start"), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "salt", "start")
+    # Tokens too rare to gather a part of a shard make no bucket.
+    common = np.where(np.bincount(tokens, held, len(rarity)) * PARTS * shards >= size["rests"], rarity, 0)
+    dealt = _sharded(made, rests, common, mean, shards, size["tokens"] or 0).repartition("shard").sortWithinPartitions("shard", "salt", "start")
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return dealt.mapInArrow(pack, ", ".join(f"{c} long" for c in names))

@@ -60,6 +60,29 @@ def test_many_shards(documents, ids_of, monkeypatch):
     assert packed(documents([]), PATH).collect() == []
 
 
+def test_neighbours_share_a_shard(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 5000)
+    rng = np.random.default_rng(4)
+    words = ["orchard quince apple cider", "harbor vessel anchor sailor", "granite quartz basalt mineral", "violin cello sonata rhythm"]
+    texts = [(i, " ".join(rng.choice(words[i % 4].split(), 120))) for i in range(320)]
+    rows = packed(documents(texts), PATH).collect()
+    shards = collections.defaultdict(lambda: collections.Counter())
+    for r in rows:
+        shards[r.sequence_id >> 32][r.doc_id % 4] += r.length
+    tokens = sum(r.length for r in rows)
+    assert len(shards) > 6 and max(sum(c.values()) for c in shards.values()) < 2 * 5000
+    assert sum(max(c.values()) for c in shards.values()) > 0.8 * tokens
+
+
+def test_copies_are_dealt_evenly(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 5000)
+    rows = packed(documents([(i, "the very same words " * 25) for i in range(500)]), PATH).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.sequence_id >> 32] += r.length
+    assert len(sizes) > 6 and max(sizes.values()) < 2 * 5000
+
+
 def test_neighbours_share_words():
     rng = np.random.default_rng(0)
     topics = [rng.choice(1000, 60) + 1000 * t for t in range(4)]
