@@ -7,10 +7,11 @@
    among those frequent enough to fill a part of a shard. Buckets follow one another, each near the one that it shares
    most second tokens with, and are cut by size; a hot one is divided by the token of second highest weight, and what is
    still hot (copies, say) evenly. Neighbours in another shard are not seen.
-4. A shard builds its inverted index (postings by token, BM25 weights with the corpus statistics) and takes the longest unused rest as a seed, again and again: its `terms` highest
-   BM25 weighted tokens are the query, and the unused neighbours fill the window in order of score, then unused rests in
-   order of length. The last one is cut to fit, and what is left of it is unused again. So only a shard's last sequence
-   has padding.
+4. A shard builds its inverted index (postings by token, BM25 weights with the corpus statistics) and takes the longest
+   unused rest as a seed, again and again: all its tokens are the query, and the unused neighbours fill the window in order
+   of score; unused rests in order of length follow only when none is left that shares a token (the end id, which all
+   share, is none). The last one is cut to fit, and what is left of it is unused again. So only a shard's last sequence has
+   padding.
 
 A null or empty text is its end id alone. Rows with a null id and repeated rows are packed like others (a salt of the
 place where they were read deals equal rows over shards). Empty tables give no rows; other columns are not read.
@@ -221,8 +222,20 @@ def _sharded(made: DataFrame, rests: DataFrame, rarity: np.ndarray, mean: float,
     return made.withColumn("spread", spread).mapInArrow(deal, f"{kinds}, shard long")
 
 
-def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window: int, terms: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (rest, first, last): which part of which rest stands where."""
+def _by_score(near: np.ndarray, values: np.ndarray):
+    """`near` in order of score, then place: sorted in growing steps, as most windows are full after a few."""
+    step = 64
+    while len(near):
+        now = np.ones(len(near), bool)
+        if len(near) > step:
+            now = values >= np.partition(values, len(near) - step)[len(near) - step]
+        yield from near[now][np.lexsort((near[now], -values[now]))].tolist()
+        near, values, step = near[~now], values[~now], 4 * step
+
+
+def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window: int, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (rest, first, last): which part of which rest stands where. A seed asks with its `terms` tokens of
+    highest weight, or with all."""
     n = len(rests)
     parts = [_terms(r) for r in rests]
     sizes = np.array([len(p[0]) for p in parts])
@@ -232,12 +245,13 @@ def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window:
     weight = rarity[token] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[owner] / mean))
     ends = np.cumsum(sizes)
     order = np.argsort(token, kind="stable")
-    post_owner, post_weight = owner[order], weight[order]
-    heads = np.searchsorted(token[order], np.arange(len(rarity) + 1))
+    order = order[rarity[token[order]] > 0]
+    post_owner, post_weight, post_token = owner[order], weight[order], token[order]
+    heads = np.searchsorted(post_token, np.arange(len(rarity) + 1))
     free, starts = np.ones(n, bool), np.zeros(n, np.int64)
     by_length = np.argsort(-lengths, kind="stable")
     upcoming, out = 0, []
-    scores = np.zeros(n)
+    unused = indexed = n
 
     def next_free():
         nonlocal upcoming
@@ -250,32 +264,28 @@ def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window:
         seed = left.pop() if left else next_free()
         if seed < 0:
             break
+        unused -= int(free[seed])
         free[seed] = False
         line, room = [(seed, int(starts[seed]), int(lengths[seed]))], window - int(lengths[seed] - starts[seed])
         if room:
             mine = slice(ends[seed] - sizes[seed], ends[seed])
             query = token[mine]
-            if len(query) > terms:
+            if terms is not None and len(query) > terms:
                 query = query[np.argpartition(-weight[mine], terms)[:terms]]
-            touched = []
-            for t in query.tolist():
-                at = post_owner[heads[t] : heads[t + 1]]
-                scores[at] += post_weight[heads[t] : heads[t + 1]]
-                touched.append(at)
-            near = np.unique(np.concatenate(touched))
-            near = near[free[near]]
-            values = scores[near]
-            if len(near) > 64:  # more neighbours than this are asked for in order of length
-                top = np.argpartition(-values, 64)[:64]
-                near, values = near[top], values[top]
-            near = near[np.lexsort((near, -values))].tolist()
-            for at in touched:
-                scores[at] = 0
+            if 2 * unused < indexed:  # postings of used rests go
+                keep = free[post_owner]
+                post_owner, post_weight, post_token = post_owner[keep], post_weight[keep], post_token[keep]
+                heads, indexed = np.searchsorted(post_token, np.arange(len(rarity) + 1)), unused
+            spans = [slice(a, b) for a, b in zip(heads[query].tolist(), heads[query + 1].tolist())]
+            scores = np.bincount(np.concatenate([post_owner[x] for x in spans]), np.concatenate([post_weight[x] for x in spans]), n)
+            near = np.flatnonzero(free & (scores > 0))
+            near = _by_score(near, scores[near])
             while room:
-                other = near.pop(0) if near else next_free()
-                if other < 0:
+                other = next(near, -1)
+                if other < 0 and (other := next_free()) < 0:
                     break
                 free[other] = False
+                unused -= 1
                 first = int(starts[other])
                 last = min(int(lengths[other]), first + room)
                 line.append((other, first, last))
@@ -287,7 +297,7 @@ def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window:
     return out
 
 
-def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end: int = 1, terms: int = 12) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end: int = 1, terms: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
@@ -298,6 +308,7 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end: int =
     tokens, held = counted.column("token").to_numpy(), counted.column("docs").to_numpy()
     rarity = np.zeros(max(int(tokens.max(initial=0)) + 1, 1 << 16))
     rarity[tokens] = np.log(1 + (size["rests"] - held + 0.5) / (held + 0.5))
+    rarity[end] = 0  # all share it
     mean = (size["tokens"] or 0) / max(1, size["rests"])
     shards = max(1, -(-(size["tokens"] or 0) // SHARD_TOKENS))
 

@@ -93,6 +93,47 @@ def test_neighbours_share_words():
     assert all(len({i % 4 for i, _, _ in line}) == 1 for line in lines)
 
 
+def _packed_one_by_one(rests, rarity, mean, window):
+    """The same by a plain loop over all rests with all tokens."""
+    parts = [collections.Counter(r.tolist()) for r in rests]
+
+    def score(a, b):
+        k = packing.K1 * (1 - packing.B + packing.B * len(rests[b]) / mean)
+        return sum(rarity[t] * parts[b][t] * (packing.K1 + 1) / (parts[b][t] + k) for t in parts[a] if t in parts[b])
+
+    unused, left, out = sorted(range(len(rests)), key=lambda i: -len(rests[i])), None, []
+    while unused or left:
+        seed, start = left or (unused.pop(0), 0)
+        line, left = [(seed, start, len(rests[seed]))], None
+        room = window - len(rests[seed]) + start
+        order = sorted(unused, key=lambda i: (-round(score(seed, i), 9), i)) if room else []
+        order = [i for i in order if score(seed, i) > 0] + [i for i in unused if not score(seed, i) > 0]
+        while room and order:
+            other = order.pop(0)
+            unused.remove(other)
+            last = min(room, len(rests[other]))
+            line.append((other, 0, last))
+            room -= last
+            left = (other, last) if last < len(rests[other]) else None
+        out.append(line)
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "words"), [((2, 12), 6000), ((20, 90), 400)])
+def test_all_terms_and_all_neighbours(sizes, words):
+    rng = np.random.default_rng(8)
+    rests = [np.r_[rng.integers(2, words, rng.integers(*sizes)), 1] for _ in range(400)]
+    rests += [np.r_[7, rng.integers(words, 9000, 3), 1] for _ in range(150)]  # more than 64 neighbours by one token
+    counts = np.bincount(np.concatenate([np.unique(r) for r in rests]), minlength=9000)
+    rarity = np.log(1 + (len(rests) - counts + 0.5) / (counts + 0.5))
+    rarity[1] = 0
+    mean = float(np.mean([len(r) for r in rests]))
+    # Scores of equal rests differ in the last places, depending on the order of addition.
+    got, want = pack_shard(rests, rarity, mean, 600), _packed_one_by_one(rests, rarity, mean, 600)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert sum(set(a) == set(b) for a, b in zip(got, want)) == len(want)
+
+
 def test_frequencies_count_documents(spark):
     lists = [[1, 1, 2], [2, 3], [70000, 2]]
     rows = [(len(x), bytearray(np.array(x, "<u2" if max(x) < 65536 else "<u4").tobytes())) for x in lists]
