@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingforge.operators.ordered import number_rows
+from filingforge.operators.ordered import carry_forward, number_rows
+from filingforge.operators.staging import stage
 
 
 def project_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,7 +56,8 @@ def batch_slices(
     """Existing rows with their `batch` (start, end numbers), by position among all rows.
 
     A batch takes positions start … end - 1 and the first existing row from end on, so boundary
-    rows fall in two batches. Positions are 0-based places in `order`, a BIGINT column.
+    rows fall in two batches. Positions are 0-based places in `order`, a BIGINT column. Every batch is part of the plan:
+    for a few given ones. `sized_batches` is for as many as the rows make.
     """
     numbered = number_rows(rows, [], order, "position").join(existing.select(*keys).distinct(), keys, "left_semi")
     ends = numbered.agg(
@@ -77,3 +79,19 @@ def batch_slices(
     )
     placed = numbered.withColumn("__batches", ends.scalar()).withColumn("__batch", F.explode(inside))
     return placed.withColumn("batch", F.col("__batch.batch")).drop("__batch", "__batches")
+
+
+def sized_batches(rows: DataFrame, existing: DataFrame, size: int, order: str, keys: list[str]) -> DataFrame:
+    """`batch_slices` for batches of `size` positions that cover all rows, whatever their number.
+
+    The first existing row from a batch's end on is the first one of the next batch that has any: it goes to the batch
+    with rows before that, and to all between.
+    """
+    numbered = number_rows(rows, [], order, "position").join(existing.select(*keys).distinct(), keys, "left_semi")
+    placed = stage(numbered.withColumn("batch", F.floor(F.col("position") / size).cast("long")), "batches")
+    row = F.struct(*[F.col(f"`{c}`") for c in numbered.columns])
+    firsts = placed.groupBy("batch").agg(F.min_by(row, "position").alias("__row")).withColumn("__number", F.col("batch"))
+    firsts = carry_forward(firsts, [], "batch", "__number", "__before", exclusive=True).where("batch > 0")
+    extra = F.explode(F.sequence(F.coalesce("__before", F.lit(0).cast("long")), F.col("batch") - 1))
+    extras = firsts.select("__row", extra.alias("batch")).select("__row.*", "batch")
+    return placed.unionByName(extras).withColumn("batch", F.col("batch").cast("int"))

@@ -101,6 +101,27 @@ def test_batches_take_the_next_existing_row(spark):
     }
 
 
+def test_batches_of_a_size(spark):
+    rows = spark.range(0, 230).selectExpr("id * 3 as pos", "id")
+    for gone in ("id between 10 and 47 or id in (5, 60, 61) or id > 200", "id < 33", "id = -1", "true"):
+        existing = rows.where(f"not ({gone})")
+        want = C.batch_slices(rows, existing, [(n, n + 10) for n in range(0, 230, 10)], "pos", ["id"]).select("batch", "id", "pos", "position")
+        got = C.sized_batches(rows, existing, 10, "pos", ["id"]).select("batch", "id", "pos", "position")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_plan_does_not_grow_with_the_batches(spark, monkeypatch):
+    from workload import catalogs
+
+    def aggregates():
+        plan = catalogs.batch_slice(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("min(")
+
+    few = aggregates()
+    monkeypatch.setattr(catalogs, "_BATCH", 20)
+    assert aggregates() == few
+
+
 def test_features_to_association(spark):
     pages = [(f"s{i}", f"<p>{'cloud ' * (i % 4)} Jane Doe.</p>" + ("<table><td>underwriter citigroup</table>" if i % 2 else "")) for i in range(20)]
     features = filing_features(spark.createDataFrame(pages, "symbol string, html string"), terms=["cloud", "ai"])

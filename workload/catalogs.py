@@ -116,8 +116,7 @@ def lowercase_columns(spark, sf_dir):
 
 def batch_slice(spark, sf_dir):
     rows = catalog(spark, sf_dir).withColumn("file_name", F.substring_index("url", "/", -1))
-    starts = range(0, rows.count(), _BATCH)
-    batches = column_ops.batch_slices(rows, files(spark, sf_dir), [(n, n + _BATCH) for n in starts], "position", ["symbol", "file_name"])
+    batches = column_ops.sized_batches(rows, files(spark, sf_dir), _BATCH, "position", ["symbol", "file_name"])
     return batches.select("batch", "symbol", "file_name")
 
 
