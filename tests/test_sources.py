@@ -104,6 +104,26 @@ def test_skip_report(spark):
     assert {tuple(r) for r in P.skip_report(catalog, stages).collect()} == {("b", "grid"), ("c", "file")}
 
 
+def test_skip_report_of_the_chain(spark):
+    dated = [["As of", "December 31, 1995"], ["Cash", "12"], ["Trucks", "3"], ["Notes", "4"]]
+    filings = {
+        "short": dated[:3], "other": [["Orders", "1"]] * 4, "undated": [["Cash", "1"]] * 4,
+        "no item": [dated[0], ["Trucks", "3"], ["Notes", "4"], ["Cash", None]], "whole": dated,
+    }
+    rows = [(f, 0, n, ["0", "1"], cells) for f, lines in filings.items() for n, cells in enumerate(lines)]
+    rows = spark.createDataFrame(rows, "filing string, table_id int, row_idx int, labels array<string>, cells array<string>")
+    catalog = spark.createDataFrame([(f,) for f in [*filings, "none"]], "filing string")
+    assert dict(map(tuple, P.skip_report(catalog, P.chain_stages(rows)).collect())) == {
+        "none": "tables", "short": "finance tables", "other": "finance tables", "undated": "facts", "no item": "metrics",
+    }
+
+
+def test_skip_report_of_the_workload_has_every_stage(spark):
+    from workload.pages import skip_report_chain
+
+    assert {r.stopped_before for r in skip_report_chain(spark, "/root/testdata/sf0.001").collect()} == {"tables", "finance tables", "facts", "metrics"}
+
+
 def test_copies_inherit_dates_from_the_copy_before(spark):
     page = PAGE.format(cash="Cash", a="5").replace("<tr><td>As of", "<tr><td>Cash due</td><td>1</td><td>2</td></tr><tr><td>As of", 1)
     df = spark.createDataFrame([("f", page)], "filing string, html string")

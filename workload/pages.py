@@ -103,17 +103,50 @@ def _training(multiplicity):
 
 
 def skip_report(spark, sf_dir):
-    """Customers by the first stage they are missing from: no order, no finance table, no facts."""
+    """Customers without an order, or without one of five numbers in the tables after their first, as its SQL has it.
+
+    `skip_report_chain` reports the stages of the chain.
+    """
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("filing"))
     rows = _rows(spark, sf_dir)
     large = table_ops.find_finance_tables(rows.where("table_id > 0"), terms=["450,", "460,", "470,", "480,", "490,"])
     return plans.skip_report(customers, {"tables": rows.select("filing").distinct(), "finance tables": large.select("filing").distinct()})
 
 
+def _supplier_rows(spark, sf_dir):
+    """Tables of suppliers, which stop at every stage: of four suppliers one has none, one a table that names no finance
+    term, one a finance table without dates, one dated amounts that are no line items."""
+    balance = F.col("s_acctbal").cast("decimal(15,2)").cast("string")
+
+    def lines(*pairs):
+        return F.array(*[F.array(F.lit(a), b) for a, b in pairs])
+
+    number = F.col("s_suppkey") % 4
+    body = (
+        F.when(number == 1, lines(("Orders", balance), ("Smallest", F.lit("1")), ("Largest", F.lit("2")), ("Note", F.lit(""))))
+        .when(number == 2, lines(("Cash", balance), ("Inventory", F.lit("1")), ("Earnings", F.lit("2")), ("Note", F.lit("x"))))
+        .when(number == 3, lines(("As of", F.lit("December 31, 1995")), ("Plants", F.lit("12")), ("Trucks", balance), ("Cash", F.lit(None).cast("string"))))
+    )
+    rows = table(spark, sf_dir, "supplier").where(number != 0)
+    return rows.select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("filing"), F.lit(0).alias("table_id"),
+        F.array(F.lit("0"), F.lit("1")).alias("labels"), F.posexplode(body).alias("row_idx", "cells"),
+    ).select("filing", "table_id", "row_idx", "labels", "cells")
+
+
+def skip_report_chain(spark, sf_dir):
+    """Customers and suppliers by the first stage they are missing from: no tables, no finance table, no facts, no metrics."""
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("filing"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("filing"))
+    rows = stage(table_rows(spark, sf_dir).unionByName(_supplier_rows(spark, sf_dir)), "table-rows")
+    return plans.skip_report(customers.union(suppliers), plans.chain_stages(rows))
+
+
 QUERIES = {
     "training_table": _training("once"),
     "training_table_per_keyword": _training("per_keyword"),
     "skip_report": skip_report,
+    "skip_report_chain": skip_report_chain,
     "scan_html_files": scan_html_files,
     "html_normalize": html_normalize,
     "document_length": document_length,
@@ -228,6 +261,28 @@ ORACLE = {
           FROM customer LEFT JOIN filings f ON f.filing = 'C' || c_custkey LEFT JOIN big ON big.filing = f.filing
           WHERE big.filing IS NULL""",
     ),
+    "skip_report_chain": with_sql(
+        _TABLES,
+        """supplier_lines AS (
+          SELECT 'S' || s_suppkey AS filing, 0 AS table_id, row_idx, label, value
+          FROM (SELECT *, CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS balance FROM supplier), LATERAL (VALUES
+            (1, 0, 'Orders', balance), (1, 1, 'Smallest', '1'), (1, 2, 'Largest', '2'), (1, 3, 'Note', ''),
+            (2, 0, 'Cash', balance), (2, 1, 'Inventory', '1'), (2, 2, 'Earnings', '2'), (2, 3, 'Note', 'x'),
+            (3, 0, 'As of', 'December 31, 1995'), (3, 1, 'Plants', '12'), (3, 2, 'Trucks', balance), (3, 3, 'Cash', NULL)
+          ) t(kind, row_idx, label, value) WHERE s_suppkey % 4 = kind)""",
+        """all_cells AS (
+          SELECT filing, table_id, row_idx, col_idx, col_name, cell FROM table_cells
+          UNION ALL SELECT filing, table_id, row_idx, 0, '0', label FROM supplier_lines
+          UNION ALL SELECT filing, table_id, row_idx, 1, '1', value FROM supplier_lines)""",
+        _FINANCE.replace("FROM table_cells", "FROM all_cells"), _NOT_EMPTY,
+        "grid AS (SELECT stacked.* FROM stacked JOIN good USING (filing, col))", *[s.strip() for s in STEPS[1:]],
+        select="""SELECT f.filing, CASE
+            WHEN f.filing NOT IN (SELECT filing FROM all_cells) THEN 'tables'
+            WHEN f.filing NOT IN (SELECT filing FROM chosen) THEN 'finance tables'
+            WHEN f.filing NOT IN (SELECT filing FROM facts) THEN 'facts' ELSE 'metrics' END AS stopped_before
+          FROM (SELECT 'C' || c_custkey AS filing FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier) f
+          WHERE f.filing NOT IN (SELECT filing FROM trends)""",
+    ),
     "scan_html_files": "SELECT 'page-' || page_id AS name, length(html) AS length, md5(html) AS content FROM pages",
     "html_normalize": f"""SELECT page_id, md5(array_to_string(list_transform(
         regexp_extract_all({_LOWERED}, '<!doctype[^>]*>|[^<]+|<'),
