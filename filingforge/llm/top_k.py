@@ -37,7 +37,7 @@ def _matrix(column, dims: int, kind) -> np.ndarray:
 def _blocks(rows: DataFrame, size: int, name: str, number: int) -> DataFrame:
     """(name, <name>_rows): blocks of about `size` rows each, by hash."""
     count = max(1, -(-number // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(count))).groupBy(name).agg(
+    return rows.withColumn(name, F.pmod("row", F.lit(count))).groupBy(name).agg(
         F.collect_list(F.struct(*rows.columns)).alias(f"{name}_rows")
     )
 
@@ -53,7 +53,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, lists: int =
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     rows = rows.where(F.forall("x", finite)).select("id", F.transform("x", lambda x: F.floor(x * 1024).cast("long")).alias("v"))
-    rows = stage(rows.distinct(), "vectors")
+    rows = stage(rows.distinct().withColumn("row", F.xxhash64("id", "v")), "vectors")
     size = rows.agg(
         F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries"), F.max(F.size("v")).alias("dims"),
         F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("peak"),
@@ -66,23 +66,23 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, lists: int =
     asked = rows.where(F.col("id") % every == 0)
 
     def meet(batches):
-        """Per pair of blocks: the query rows, their ids, the vectors' ids, own pairs, partial scores of every list."""
+        """Per pair of blocks: the query rows, their ids, the vectors' rows and ids, own pairs, partial scores of every list."""
         for batch in batches:
             for i in range(len(batch)):
                 q, c = (batch.column(n)[i].values for n in ("q_rows", "c_rows"))
                 left, right = (_matrix(x.field("v"), dims, kind) for x in (q, c))
                 ids, others = q.field("id").to_numpy(), c.field("id").to_numpy()
                 parts = np.stack([left[:, a:b] @ right[:, a:b].T for a, b in zip(bounds[:-1], bounds[1:])]).astype(np.int64)
-                yield q, ids, others, ids[:, None] == others[None, :], parts
+                yield q, ids, c, others, ids[:, None] == others[None, :], parts
 
     def gather(batches):
-        for q, ids, others, own, parts in meet(batches):
+        for q, ids, c, others, own, parts in meet(batches):
             lows = parts.min(axis=2)
             parts[:, own] = np.iinfo(np.int64).min
             most = min(k, len(others))
             top = np.argpartition(-parts, most - 1, axis=2)[:, :, :most] if most < len(others) else np.broadcast_to(np.arange(most), (lists, len(ids), most))
             scores = np.take_along_axis(parts, top, axis=2)
-            named = others[top]
+            named = c.field("row").to_numpy()[top]  # not by the id: vectors may share it
             keys = q.field("row").to_numpy()
             for g in range(lists):
                 flat = np.arange(len(ids) + 1, dtype=np.int32) * most
@@ -91,24 +91,23 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, lists: int =
                         pa.array(keys), pa.array(np.full(len(ids), g, np.int32)), pa.array(lows[g]),
                         pa.ListArray.from_arrays(flat, pa.array(named[g].ravel())), pa.ListArray.from_arrays(flat, pa.array(scores[g].ravel())),
                     ],
-                    ["row", "list", "low", "ids", "scores"],
+                    ["row", "list", "low", "others", "scores"],
                 )
 
-    asked = asked.withColumn("row", F.xxhash64("id", "v"))
     paired = _pairs(_blocks(asked, QUERIES_A_BLOCK, "q", size["queries"]), blocks, count)
-    lists_of = stage(paired.mapInArrow(gather, "row long, list int, low long, ids array<long>, scores array<long>"), "lists")
-    entries = lists_of.select("row", "list", F.inline(F.arrays_zip("ids", "scores"))).where(F.col("scores") > F.lit(-(2**63)))
-    best = W.partitionBy("row", "list").orderBy(F.desc("scores"), "ids")
+    lists_of = stage(paired.mapInArrow(gather, "row long, list int, low long, others array<long>, scores array<long>"), "lists")
+    entries = lists_of.select("row", "list", F.inline(F.arrays_zip("others", "scores"))).where(F.col("scores") > F.lit(-(2**63)))
+    best = W.partitionBy("row", "list").orderBy(F.desc("scores"), "others")
     entries = entries.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     lows = lists_of.groupBy("row", "list").agg(F.min("low").alias("low"))
     floor = lows.groupBy("row").agg(F.sum("low").alias("floor"), F.array_sort(F.collect_list(F.struct("list", "low")))["low"].alias("lows"))
-    known = entries.join(lows, ["row", "list"]).groupBy("row", "ids").agg(F.sum(F.col("scores") - F.col("low")).alias("above"))
+    known = entries.join(lows, ["row", "list"]).groupBy("row", "others").agg(F.sum(F.col("scores") - F.col("low")).alias("above"))
     ranked = known.withColumn("n", F.row_number().over(W.partitionBy("row").orderBy(F.desc("above"))))
     cut = ranked.where(F.col("n") == k).select("row", "above")
     cutoffs = floor.join(cut, "row", "left").select("row", "floor", "lows", F.coalesce("above", F.lit(0).cast("long")).alias("above"))
 
     def resolve(batches):
-        for q, ids, others, own, parts in meet(batches):
+        for q, ids, _, others, own, parts in meet(batches):
             low = _matrix(q.field("lows"), lists, np.int64)
             above = q.field("above").to_numpy()[:, None]
             survives = np.zeros(own.shape, bool)

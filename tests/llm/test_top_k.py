@@ -53,3 +53,13 @@ def test_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 0.125) // (1 / 4096) / 4096 for _ in range(8)]) for i in range(600)]
     assert result(spark, rows) == brute(rows)
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    unit = lambda *v: [x / 1024 for x in v]
+    nine = [(i, unit(*[15 * (i % 3 == d) for d in range(4)])) for i in range(1, 10)]
+    rows = [(0, unit(1, 1, 1, 1)), (50, unit(10, 0, 0, 0)), (50, unit(0, 10, 0, 0)), *nine]
+    assert result(spark, rows) == brute(rows)
+    rng = random.Random(3)
+    rows = [(i % 40 * 5, [rng.randint(-9, 9) / 1024 * rng.choice([1, 8]) for _ in range(8)]) for i in range(400)]
+    assert result(spark, rows, lists=8) == brute(rows)
