@@ -13,6 +13,9 @@ the lowest hash is its anchor, which depends on the window alone.
 2. Where an anchor is left with several coverings, their windows are ordered one by one through all `depth` bytes;
    equal groups are exactly the repeated windows.
 
+Texts of more than _PIECE bytes are taken in pieces that overlap by depth - 1 bytes, each with its own places; a run of
+windows that a piece's end divides is two rows with coverings of their own, which step 2 tells apart.
+
 Copies of whole texts are found first, by their digest. Digits are 64-bit hashes of their bytes. Nothing gathers a
 group: rows of a group stream past in order, and what is kept is its first row.
 
@@ -37,10 +40,19 @@ DEPTH, GRAM = 100, 32
 _SLICE = 1 << 19
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _PLACE = np.uint64((1 << 28) - 1)
+#: Window starts whose anchors are sought at once, so that every place fits in _PLACE.
+_PIECE = 1 << 24
 
 
 def anchors(hasher: Hasher, data: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
     """Runs of windows with the same anchor: (anchor hash, covering hash, text, first start, last start)."""
+    if len(data) - depth + 1 > _PIECE:
+        parts = []
+        for a in range(0, len(data) - depth + 1, _PIECE):
+            piece = data[a : a + _PIECE + depth - 1]
+            h, c, text, first, last = anchors(hasher, piece, np.clip(offsets - a, 0, len(piece)), depth, gram)
+            parts.append((h, c, text, first + a, last + a))
+        return tuple(map(np.concatenate, zip(*parts)))
     sums = hasher.sums(data, False)
     n = len(data) - depth + 1
     if n <= 0:

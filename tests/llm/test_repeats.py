@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
+from filingforge.llm import repeats
 from filingforge.llm.repeats import without_repeats
+from filingforge.llm.text_arrays import Hasher
 
 from .conftest import LONG, ODD
 
@@ -79,3 +82,21 @@ def test_ids_with_several_texts_are_told_apart(documents):
     shared = "".join(rng.choice("abcdefgh") for _ in range(400))
     rows = without_repeats(documents([(1, "x" + shared), (1, "other " * 5), (2, shared), (2, "own text " + shared[:150] + "!")])).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == [(1, 30, 0), (1, 401, 0), (2, 160, 150), (2, 400, 400)]
+
+
+def test_texts_longer_than_a_place_can_say(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 105, 9000).astype(np.uint8)
+    offsets = np.array([0, 40, 7300, 7300, 9000])
+
+    def windows():
+        h, _, text, first, last = repeats.anchors(Hasher(), data, offsets, 100, 32)
+        found = [(s, x, t) for x, t, a, b in zip(h.tolist(), text.tolist(), first.tolist(), last.tolist()) for s in range(a, b + 1)]
+        assert len({s for s, _, _ in found}) == len(found)
+        return sorted(found)
+
+    want = windows()
+    assert len(want) == 7260 - 99 + 1700 - 99
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 10) - 1))
+    monkeypatch.setattr(repeats, "_PIECE", 900, raising=False)
+    assert windows() == want
