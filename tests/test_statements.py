@@ -135,3 +135,10 @@ def test_hot_document_is_renumbered_over_many_runs(spark):
             lines = want.setdefault(doc, {})
             lines[len(lines)] = [str(i)] + (["x" if i == 9 else None] if doc == "hot" else [])
     assert got == want
+
+
+def test_first_items_of_the_workload_are_of_every_statement(spark):
+    from workload.documents import document_first_items
+
+    rows = document_first_items(spark, "/root/testdata/sf0.001").collect()
+    assert {"balance_sheet", "income_statement"} <= {r.statement for r in rows} and max(r["rank"] for r in rows) == 5

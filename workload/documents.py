@@ -96,6 +96,12 @@ def document_stats(spark, sf_dir):
     return numbers.join(firsts, "doc", "left").join(days, "doc", "left")
 
 
+def document_first_items(spark, sf_dir):
+    """The first line items of every statement of a document."""
+    items = S.first_items(S.line_items(_features(spark, sf_dir)))
+    return items.select("doc", "statement", "rank", "item", "row_index")
+
+
 def document_type_counts(spark, sf_dir):
     return stats.group_count_desc(document_type(spark, sf_dir), "document_type")
 
@@ -118,6 +124,7 @@ QUERIES = {
     "analyze_documents": analyze_documents,
     "batch_stats": batch_stats,
     "document_stats": document_stats,
+    "document_first_items": document_first_items,
     "document_type_counts": document_type_counts,
 }
 
@@ -246,6 +253,15 @@ ORACLE = {
         days AS (SELECT doc, string_agg(date_text, '|' ORDER BY date_text) AS dates FROM first_dates GROUP BY doc)""",
         select="SELECT * FROM numbers LEFT JOIN firsts USING (doc) LEFT JOIN days USING (doc)",
     ),
+    "document_first_items": with_sql(
+        DOCUMENT_CELLS,
+        select="SELECT doc, statement, CAST(row_number() OVER (PARTITION BY doc, statement ORDER BY row_idx, n) AS INTEGER) AS rank, "
+        "term AS item, row_idx AS row_index FROM row_features, (VALUES "
+        + ", ".join(f"('{s}', '{t}', {n})" for s, terms in V.STATEMENT_TERMS.items() for n, t in enumerate(terms))
+        + """) t(statement, term, n)
+          WHERE contains(row_text, term) AND (money IS NOT NULL OR (statement = 'key_metrics' AND ratios IS NOT NULL))
+          QUALIFY rank <= 5""",
+    ),
     "document_type_counts": with_sql(
         DOCUMENT_CELLS, _TYPES, select="SELECT document_type, count(*) AS count FROM types GROUP BY ALL"
     ),
