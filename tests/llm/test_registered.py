@@ -15,6 +15,8 @@ COLUMNS = {
     4: "doc_id item_id n_item n_shared containment", 5: "doc_id n_bytes n_tokens over_limit",
     6: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 7: "query_id rank vec_id score", 8: "doc_id n_shingles component_id kept",
     9: "doc_id start length ids_crc32 doc_tokens sequence_id offset", 10: "doc_id n_bytes n_removed n_spans kept_sha256",
+    11: "vec_id n_links component_id kept", 12: "vec_id code error label_error codebooks_sha256",
+    13: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
@@ -26,8 +28,8 @@ def tables():
     return con
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
