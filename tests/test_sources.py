@@ -119,9 +119,9 @@ def test_skip_report_of_the_chain(spark):
 
 
 def test_skip_report_of_the_workload_has_every_stage(spark):
-    from workload.pages import skip_report_chain
+    from workload.pages import skip_report
 
-    assert {r.stopped_before for r in skip_report_chain(spark, "/root/testdata/sf0.001").collect()} == {"tables", "finance tables", "facts", "metrics"}
+    assert {r.stopped_before for r in skip_report(spark, "/root/testdata/sf0.001").collect()} == {"tables", "finance tables", "facts", "metrics"}
 
 
 def test_copies_inherit_dates_from_the_copy_before(spark):

@@ -86,11 +86,12 @@ def batch_stats(spark, sf_dir):
 
 
 def document_stats(spark, sf_dir):
-    """Number, largest and smallest value per document, with its first line item and date."""
+    """Number, largest and smallest value per document, with the first line items of every statement and the first dates."""
     cleaned = _cleaned(spark, sf_dir)
-    items = S.first_items(S.line_items(S.row_features(cleaned), ["balance_sheet"]))
+    items = S.first_items(S.line_items(S.row_features(cleaned)))
     dates = S.first_dates(S.document_date_list(cleaned))
-    firsts = items.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.max("row_index").alias("last_item_row"))
+    listed = F.array_sort(F.collect_list(F.format_string("%s %d %s @%d", "statement", "rank", "item", "row_index")))  # at most 20
+    firsts = items.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(listed, "|").alias("first_items"))
     days = dates.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("date_text")), "|").alias("dates"))
     numbers = S.document_stats(S.monetary_cells(cleaned))
     return numbers.join(firsts, "doc", "left").join(days, "doc", "left")
@@ -198,6 +199,15 @@ _BY_TYPE = (
     "CASE WHEN document_type IN ('spac', 'insurance', 'banking') THEN document_type ELSE 'general' END)"
 )
 
+_FIRST_ITEMS = (
+    "SELECT doc, statement, CAST(row_number() OVER (PARTITION BY doc, statement ORDER BY row_idx, n) AS INTEGER) AS rank, "
+    "term AS item, row_idx AS row_index FROM row_features, (VALUES "
+    + ", ".join(f"('{s}', '{t}', {n})" for s, terms in V.STATEMENT_TERMS.items() for n, t in enumerate(terms))
+    + """) t(statement, term, n)
+      WHERE contains(row_text, term) AND (money IS NOT NULL OR (statement = 'key_metrics' AND ratios IS NOT NULL))
+      QUALIFY rank <= 5"""
+)
+
 ORACLE = {
     "analyze_documents": with_sql(
         DOCUMENT_CELLS, _TYPES, _DATES, _COMPANY, _BY_TYPE,
@@ -243,24 +253,17 @@ ORACLE = {
     ),
     "document_stats": with_sql(
         DOCUMENT_CELLS, _DATES,
-        "items AS (SELECT doc, term, row_idx FROM row_features, (VALUES "
-        + ", ".join(f"('{t}', {n})" for n, t in enumerate(V.STATEMENT_TERMS["balance_sheet"]))
-        + """) t(term, n) WHERE contains(row_text, term) AND money IS NOT NULL
-          QUALIFY row_number() OVER (PARTITION BY doc ORDER BY row_idx, n) <= 5),
+        f"items AS (SELECT *, statement || ' ' || rank || ' ' || item || ' @' || row_index AS listed FROM ({_FIRST_ITEMS})),"
+        """
         first_dates AS (SELECT * FROM dates QUALIFY row_number() OVER (PARTITION BY doc ORDER BY date_text) <= 3),
         numbers AS (SELECT doc, count(*) AS n_values, max(cleaned_value) AS largest, min(cleaned_value) AS smallest FROM money GROUP BY doc),
-        firsts AS (SELECT doc, count(*) AS n_items, max(row_idx) AS last_item_row FROM items GROUP BY doc),
+        firsts AS (SELECT doc, count(*) AS n_items, string_agg(listed, '|' ORDER BY listed) AS first_items FROM items GROUP BY doc),
         days AS (SELECT doc, string_agg(date_text, '|' ORDER BY date_text) AS dates FROM first_dates GROUP BY doc)""",
         select="SELECT * FROM numbers LEFT JOIN firsts USING (doc) LEFT JOIN days USING (doc)",
     ),
     "document_first_items": with_sql(
         DOCUMENT_CELLS,
-        select="SELECT doc, statement, CAST(row_number() OVER (PARTITION BY doc, statement ORDER BY row_idx, n) AS INTEGER) AS rank, "
-        "term AS item, row_idx AS row_index FROM row_features, (VALUES "
-        + ", ".join(f"('{s}', '{t}', {n})" for s, terms in V.STATEMENT_TERMS.items() for n, t in enumerate(terms))
-        + """) t(statement, term, n)
-          WHERE contains(row_text, term) AND (money IS NOT NULL OR (statement = 'key_metrics' AND ratios IS NOT NULL))
-          QUALIFY rank <= 5""",
+        select=_FIRST_ITEMS,
     ),
     "document_type_counts": with_sql(
         DOCUMENT_CELLS, _TYPES, select="SELECT document_type, count(*) AS count FROM types GROUP BY ALL"

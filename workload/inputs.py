@@ -265,6 +265,14 @@ def features(spark, sf_dir) -> DataFrame:
     )
 
 
+#: All elements of `features`: parts are named by a kind and a thing.
+ELEMENTS = [
+    f"{kind} {thing}" for kind in ("Blue", "Cold", "Hot", "Large", "New", "Old", "Red", "Small")
+    for thing in ("Anvil", "Bolt", "Gear", "Gizmo", "Plate", "Ring", "Rod", "Widget")
+]
+#: For the head of a PIVOT: without the list it cannot stand in a view.
+ELEMENT_LIST = "element IN (" + ", ".join(f"'{e}'" for e in ELEMENTS) + ")"
+
 FEATURES = """
 features AS (
   SELECT 'C' || o_custkey AS symbol,

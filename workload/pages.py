@@ -11,7 +11,7 @@ from filingforge.operators.wide import pivot_metrics
 from filingforge.plans import financials as plans
 from filingforge.sources import files
 from workload.grids import STEPS
-from workload.inputs import FEATURES, TABLE_CELLS, features, markup, table, table_rows, with_sql
+from workload.inputs import ELEMENT_LIST, ELEMENTS, FEATURES, TABLE_CELLS, features, markup, table, table_rows, with_sql
 
 
 def _pages(spark, sf_dir):
@@ -95,24 +95,13 @@ def drop_empty_columns(spark, sf_dir):
 def _training(multiplicity):
     def query(spark, sf_dir):
         """Pages to facts, metrics, sizes and all keyword features, one row per filing."""
-        keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), key="symbol", name="element")
+        keywords = pivot_metrics(features(spark, sf_dir).where("kind = 'keyword'"), ELEMENTS, key="symbol", name="element")
         found = plans.training_table(stage(markup(spark, sf_dir), "pages"), keywords, share=0.30, multiplicity=multiplicity)
         return found.select(*[F.round(c, 4).alias(c) if c.endswith(("_recent", "_trend")) else F.col(f"`{c}`") for c in found.columns])
 
     return query
 
 
-def skip_report(spark, sf_dir):
-    """Customers without an order, or without one of five numbers in the tables after their first, as its SQL has it.
-
-    `skip_report_chain` reports the stages of the chain.
-    """
-    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("filing"))
-    rows = _rows(spark, sf_dir)
-    large = table_ops.find_finance_tables(rows.where("table_id > 0"), terms=["450,", "460,", "470,", "480,", "490,"])
-    return plans.skip_report(customers, {"tables": rows.select("filing").distinct(), "finance tables": large.select("filing").distinct()})
-
-
 def _supplier_rows(spark, sf_dir):
     """Tables of suppliers, which stop at every stage: of four suppliers one has none, one a table that names no finance
     term, one a finance table without dates, one dated amounts that are no line items."""
@@ -134,7 +123,7 @@ def _supplier_rows(spark, sf_dir):
     ).select("filing", "table_id", "row_idx", "labels", "cells")
 
 
-def skip_report_chain(spark, sf_dir):
+def skip_report(spark, sf_dir):
     """Customers and suppliers by the first stage they are missing from: no tables, no finance table, no facts, no metrics."""
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("filing"))
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("filing"))
@@ -146,8 +135,7 @@ QUERIES = {
     "training_table": _training("once"),
     "training_table_per_keyword": _training("per_keyword"),
     "skip_report": skip_report,
-    "skip_report_chain": skip_report_chain,
-    "scan_html_files": scan_html_files,
+        "scan_html_files": scan_html_files,
     "html_normalize": html_normalize,
     "document_length": document_length,
     "html_text": html_text,
@@ -243,9 +231,9 @@ def _training_sql(finance):
         FEATURES,
         "wide AS (SELECT filing, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _METRICS) + " FROM trends GROUP BY filing)",
         select="SELECT k.*, " + ", ".join(f"round({m}, 4) AS {m}" for m in _METRICS)
-        + """, document_length, word_count
+        + f""", document_length, word_count
           FROM wide JOIN document_sizes USING (filing) JOIN (
-            PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON element USING max(value) GROUP BY symbol) k
+            PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON {ELEMENT_LIST} USING max(value) GROUP BY symbol) k
           ON k.symbol = filing""",
     )
 
@@ -254,14 +242,6 @@ ORACLE = {
     "training_table": _training_sql(_FINANCE),
     "training_table_per_keyword": _training_sql(_COPIES),
     "skip_report": with_sql(
-        _TABLES,
-        """big AS (SELECT DISTINCT filing FROM table_cells WHERE table_id IN (2, 3) AND regexp_matches(cell, '(45|46|47|48|49)0,'))""",
-        select="""SELECT 'C' || c_custkey AS filing,
-            CASE WHEN f.filing IS NULL THEN 'tables' ELSE 'finance tables' END AS stopped_before
-          FROM customer LEFT JOIN filings f ON f.filing = 'C' || c_custkey LEFT JOIN big ON big.filing = f.filing
-          WHERE big.filing IS NULL""",
-    ),
-    "skip_report_chain": with_sql(
         _TABLES,
         """supplier_lines AS (
           SELECT 'S' || s_suppkey AS filing, 0 AS table_id, row_idx, label, value

@@ -9,7 +9,7 @@ from filingforge.operators import stats, wide
 from filingforge.plans.text_features import feature_association as association
 from filingforge.plans.text_features import filing_features as features_of_pages
 from workload.inputs import (
-    CATALOG, FEATURES, KEYWORD_VALUES, KEYWORD_WIDE, METRICS, TERMS, catalog, features, keyword_values, keyword_wide,
+    CATALOG, ELEMENT_LIST, ELEMENTS, FEATURES, KEYWORD_VALUES, KEYWORD_WIDE, METRICS, TERMS, catalog, features, keyword_values, keyword_wide,
     metrics, table, with_sql,
 )
 from workload.pages import PAGE_TEXT
@@ -83,7 +83,7 @@ def keyword_frequency(spark, sf_dir):
 
 def pivot_metrics(spark, sf_dir):
     rows = features(spark, sf_dir).where("kind = 'keyword'").select("symbol", "element", "value")
-    return wide.pivot_metrics(rows, key="symbol", name="element")
+    return wide.pivot_metrics(rows, ELEMENTS, key="symbol", name="element")
 
 
 def group_sum(spark, sf_dir):
@@ -241,7 +241,7 @@ ORACLE = {
     ),
     "pivot_metrics": with_sql(
         FEATURES,
-        select="SELECT * FROM (PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON element USING max(value) GROUP BY symbol)",
+        select="SELECT * FROM (PIVOT (SELECT symbol, element, value FROM features WHERE kind = 'keyword') ON " + ELEMENT_LIST + " USING max(value) GROUP BY symbol)",
     ),
     "pivot_duplicate_names": with_sql(
         FEATURES,
