@@ -3,7 +3,6 @@
 Feature rows are (symbol, element, value, kind) and stay long; see `wide` for the pivot.
 """
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,33 +11,20 @@ from pyspark.sql import functions as F
 
 from filingforge import vocabulary as V
 from filingforge.operators.html import strip_tags
+from filingforge.operators.terms import name_counts, near_terms, term_counts
 
 _NAME = r"(?U)\b(?:\p{Lu}(?:\.|[\p{L}\-]*\p{L})\s){1,2}\p{Lu}[\p{L}\-]*\p{L}\b"
 # --- fixed values: order in which kinds of features are stacked ---
 KINDS = ["keyword", "Person", "underwriter"]
 
 
-def _whole_word(term: str) -> str:
-    return rf"(?U)\b\Q{term}\E\b"
-
-
 _PAIRS = "array<struct<element:string,value:bigint>>"
 
 
 def keyword_pairs(lower_text: Column, terms=V.TARGET_KEYWORDS) -> Column:
-    """Array of (element, value): how often each term occurs as a whole word; zeros stay.
-
-    A substring test goes first, so the pattern runs only over texts that hold the term at all.
-    """
-    counts = [
-        F.struct(
-            F.lit(t).alias("element"),
-            F.when(lower_text.contains(t.lower()), F.regexp_count(lower_text, F.lit(_whole_word(t.lower()))))
-            .otherwise(0).cast("long").alias("value"),
-        )
-        for t in terms
-    ]
-    return F.array(*counts).cast(_PAIRS)
+    """Array of (element, value): how often each term occurs as a whole word; zeros stay. One pass, however many terms."""
+    counts = term_counts(lower_text, [t.lower() for t in terms])
+    return F.arrays_zip(F.array(*map(F.lit, terms)).alias("element"), counts.alias("value")).cast(_PAIRS)
 
 
 def keyword_counts(docs: DataFrame, terms=V.TARGET_KEYWORDS) -> DataFrame:
@@ -76,16 +62,13 @@ def person_pairs(text: Column, denied=(), candidates: Column | None = None) -> C
     """Array of (element, value): person names and how often each occurs as whole words.
 
     Without a name tagger, candidates are runs of two or three capitalised words; pass an
-    ARRAY<STRING> column (say, from a Pandas UDF around a tagger) to use other candidates.
+    ARRAY<STRING> column (say, from a Pandas UDF around a tagger) to use other candidates. All names of
+    a text are counted in one pass over its words.
     """
     found = F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)) if candidates is None else candidates
     names = F.filter(F.array_distinct(found), lambda n: is_person_name(n, denied))
-
-    def counted(n):
-        times = F.regexp_count(text, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))
-        return F.struct(n.alias("element"), times.cast("long").alias("value"))
-
-    return F.filter(F.transform(names, counted), lambda p: p["value"] > 0).cast(_PAIRS)
+    pairs = F.arrays_zip(names.alias("element"), name_counts(text, names).alias("value")).cast(_PAIRS)
+    return F.filter(pairs, lambda p: p["value"] > 0)
 
 
 def person_candidates(docs: DataFrame, denied=(), candidates: Column | None = None) -> DataFrame:
@@ -93,6 +76,14 @@ def person_candidates(docs: DataFrame, denied=(), candidates: Column | None = No
     return docs.select("symbol", F.inline(person_pairs(F.col("text"), denied, candidates)))
 
 
+def without_listed_words(rows: DataFrame, words: DataFrame, column: str = "element") -> DataFrame:
+    """The rows none of whose words, split at blanks, is in the first column of `words`: a list that is a table, of any
+    length, joined and not collected. Names are made distinct before."""
+    listed = words.select(F.col(f"`{words.columns[0]}`").alias("__word"))
+    parts = rows.select(column).distinct().select(column, F.explode(F.split(column, r"(?U)\s+")).alias("__word"))
+    return rows.join(parts.join(listed, "__word", "left_semi").select(column).distinct(), column, "left_anti").select(rows.columns)
+
+
 def _named(found: dict[str, Column]) -> Column:
     hits = [F.when(hit, F.lit(bank.title())) for bank, hit in found.items()]
     return F.array_compact(F.array(*hits))
@@ -107,17 +98,10 @@ def banks_in_table(lower_text: Column, banks=V.UNDERWRITERS, marks=V.UNDERWRITIN
 def banks_in_context(
     lower_html: Column, banks=V.UNDERWRITERS, terms=V.UNDERWRITING_CONTEXT_TERMS, reach: int = 200, whole_word: bool = False
 ) -> Column:
-    """Array of the banks with a context term wholly within `reach` characters before or after.
+    """Array of the banks with a context term wholly within `reach` characters before or after, all in one pass.
     Substrings count (`ubs` in "subsidiary") unless `whole_word`."""
-
-    def near(bank: str) -> Column:
-        name = re.escape(bank)
-        edge = r"\b" if whole_word else ""
-        before = "|".join(rf"{re.escape(t)}.{{0,{reach - len(t)}}}" for t in terms)
-        after = "|".join(rf".{{0,{reach - len(t)}}}{re.escape(t)}" for t in terms)
-        return lower_html.contains(bank) & lower_html.rlike(rf"(?sU)(?:{before}){edge}{name}{edge}|{edge}{name}{edge}(?:{after})")
-
-    return _named({b: near(b) for b in banks})
+    titles = F.array(*[F.lit(b.title()) for b in banks])
+    return F.transform(near_terms(lower_html, banks, terms, reach, whole_word), lambda n: F.get(titles, n))
 
 
 def underwriters_in_tables(

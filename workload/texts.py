@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from filingforge import vocabulary as V
 from filingforge.functions.labels import title_case
 from filingforge.operators import features as feature_ops
 from filingforge.operators import html as html_ops
@@ -54,6 +55,62 @@ def person_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("is_person", ok)
 
 
+def person_candidates_listed(spark, sf_dir):
+    """Names without any word of a table: the first words of the benchmark items."""
+    words = table(spark, sf_dir, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
+    return feature_ops.without_listed_words(feature_ops.person_candidates(_docs(spark, sf_dir)), words)
+
+
+#: Words of invented prose: pairs of its syllables.
+_PARTS = ["the", "an", "ing", "tion", "re", "th", "er", "on", "and", "at", "en", "or", "es", "st", "ed", "sh", "ha", "ti", "in", "wh", "ea", "ly"]
+LONG_LIST = [a + b for a in _PARTS for b in _PARTS]
+
+
+def long_list_counts(spark, sf_dir):
+    """Whole-word counts of a list of several hundred words."""
+    return feature_ops.keyword_counts(_docs(spark, sf_dir), LONG_LIST).where("value > 0")
+
+
+def _prospectus(spark, sf_dir):
+    """(symbol, text, html): an order as a prospectus that names terms and a bank of the default lists, some of them as
+    parts of words, the bank at a distance that goes by the order."""
+    key = F.col("o_orderkey")
+
+    def pick(listed, place):
+        return F.get(F.array(*map(F.lit, listed)), (place % len(listed)).cast("int"))
+
+    word = lambda factor, more=0: pick(V.FREQUENCY_KEYWORDS, key * factor + more)
+    text = F.concat(
+        F.lit("Our "), word(1), F.lit(" and "), F.upper(word(7)), F.lit("-based "), word(11, 3), F.lit("s, x"), word(5, 1), F.lit("; "),
+        word(3), F.lit("_"), word(1), F.lit(" ("), word(13, 2), F.lit(") "), word(13, 2), F.lit("."),
+    )
+    bank = F.initcap(pick(V.UNDERWRITERS, key))
+    term = pick([*V.UNDERWRITING_CONTEXT_TERMS, "none"], key * 3)
+    gap = F.repeat(F.lit("é"), (key % 211).cast("int"))
+    html = F.when(key % 2 == 0, F.concat(bank, gap, term)).otherwise(F.concat(term, gap, F.upper(bank)))
+    role = pick([*V.UNDERWRITING_TABLE_TERMS, "counsel"], key)
+    marked = F.concat(F.lit("<table><tr><td>"), F.initcap(role), F.lit("</td><td>"), bank, F.lit("</td></tr></table>"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("O"), key.cast("string")).alias("symbol"), text.alias("text"), html.alias("html"), marked.alias("table_html")
+    )
+
+
+def default_keyword_counts(spark, sf_dir):
+    return feature_ops.keyword_counts(_prospectus(spark, sf_dir)).where("value > 0")
+
+
+def default_keyword_frequency(spark, sf_dir):
+    return feature_ops.keyword_frequency(_prospectus(spark, sf_dir)).where("frequency > 0")
+
+
+def default_underwriters_in_context(spark, sf_dir):
+    return feature_ops.underwriters_in_context(_prospectus(spark, sf_dir))
+
+
+def default_underwriters_in_tables(spark, sf_dir):
+    return feature_ops.underwriters_in_tables(_prospectus(spark, sf_dir))
+
+
 def underwriters_in_tables(spark, sf_dir):
     pages = _table_pages(spark, sf_dir).withColumnRenamed("symbol", "filing")
     tables = html_ops.table_elements(pages).withColumnRenamed("filing", "symbol")
@@ -180,6 +237,12 @@ QUERIES = {
     "sort_abs": sort_abs,
     "keyword_counts": keyword_counts,
     "person_candidates": person_candidates,
+    "person_candidates_listed": person_candidates_listed,
+    "long_list_counts": long_list_counts,
+    "default_keyword_counts": default_keyword_counts,
+    "default_keyword_frequency": default_keyword_frequency,
+    "default_underwriters_in_context": default_underwriters_in_context,
+    "default_underwriters_in_tables": default_underwriters_in_tables,
     "person_filter": person_filter,
     "underwriters_in_tables": underwriters_in_tables,
     "underwriters_in_context": underwriters_in_context,
@@ -193,7 +256,7 @@ _W = "[^\\pL\\pM\\p{Nd}_]"  # what is no word character
 _WORD_COUNTS = f"""
 doubled AS (SELECT symbol, regexp_replace(lower(text), '({_W})', '\\1\\1', 'g') AS text FROM texts),
 word_counts AS (
-  SELECT symbol, term AS element, CAST(len(regexp_extract_all(text, '(?:^|{_W})' || term || '(?:{_W}|$)')) AS BIGINT) AS value
+  SELECT symbol, term AS element, CAST(len(regexp_extract_all(text, '(?:^|{_W})' || regexp_replace(term, '([ -])', '\\1\\1', 'g') || '(?:{_W}|$)')) AS BIGINT) AS value
   FROM doubled, (VALUES {", ".join(f"('{t}')" for t in TERMS)}) t(term))
 """
 _PEOPLE = f"""
@@ -210,6 +273,48 @@ people AS (
     AND NOT list_has_any(words, [{", ".join(f"'{w}'" for w in _DENIED)}])
     AND length(words[1]) BETWEEN 2 AND 12 AND length(words[-1]) BETWEEN 2 AND 15)
 """
+_ANY_PEOPLE = _PEOPLE.replace(f"""
+    AND NOT list_has_any(words, [{", ".join(f"'{w}'" for w in _DENIED)}])""", "")
+
+
+def _pick_sql(listed, place):
+    return "[" + ", ".join(f"'{x}'" for x in listed) + f"][({place}) % {len(listed)} + 1]"
+
+
+def _word_sql(factor, more=0):
+    return _pick_sql(V.FREQUENCY_KEYWORDS, f"o_orderkey * {factor} + {more}")
+
+
+_TITLE = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_PROSPECTUS = f"""
+picked AS (
+  SELECT o_orderkey, {_pick_sql(V.UNDERWRITERS, "o_orderkey")} AS bank, {_pick_sql([*V.UNDERWRITING_CONTEXT_TERMS, "none"], "o_orderkey * 3")} AS term,
+    {_pick_sql([*V.UNDERWRITING_TABLE_TERMS, "counsel"], "o_orderkey")} AS role, repeat('é', CAST(o_orderkey % 211 AS INTEGER)) AS gap
+  FROM orders),
+texts AS (
+  SELECT 'O' || o_orderkey AS symbol, 'Our ' || {_word_sql(1)} || ' and ' || upper({_word_sql(7)}) || '-based ' || {_word_sql(11, 3)} || 's, x'
+    || {_word_sql(5, 1)} || '; ' || {_word_sql(3)} || '_' || {_word_sql(1)} || ' (' || {_word_sql(13, 2)} || ') ' || {_word_sql(13, 2)} || '.' AS text
+  FROM orders),
+markup AS (SELECT 'O' || o_orderkey AS symbol, lower(CASE WHEN o_orderkey % 2 = 0 THEN bank || gap || term ELSE term || gap || bank END) AS html FROM picked),
+names AS (SELECT unnest([{", ".join(f"'{b}'" for b in V.UNDERWRITERS)}]) AS name)
+"""
+# Patterns are literals here: a pattern that is a column is compiled for every row.
+_DEFAULT_COUNTS = f"""
+doubled AS (SELECT symbol, regexp_replace(lower(text), '({_W})', '\\1\\1', 'g') AS text FROM texts),
+word_counts AS (
+  SELECT symbol, unnest([{", ".join(f"'{t}'" for t in V.FREQUENCY_KEYWORDS)}]) AS element, unnest([{", ".join(
+    f"CAST(len(regexp_extract_all(text, '(?:^|{_W}){t.replace(' ', '  ').replace('-', '--')}(?:{_W}|$)')) AS BIGINT)" for t in V.FREQUENCY_KEYWORDS
+  )}]) AS value FROM doubled)
+"""
+
+
+def _near_bank(bank):
+    near = "|".join(
+        f"{t}.{{0,{200 - len(t)}}}{bank}|{bank}.{{0,{200 - len(t)}}}{t}" for t in V.UNDERWRITING_CONTEXT_TERMS
+    )
+    return f"SELECT symbol, {_TITLE.format(chr(39) + bank + chr(39))} AS element FROM markup WHERE contains(html, '{bank}') AND regexp_matches(html, '(?s){near}')"
+
+
 _NEAR_SQL = " OR ".join(
     f"regexp_matches(lower(text), '(?s){t}.{{0,{200 - len(t)}}}' || bank || '|' || bank || '.{{0,{200 - len(t)}}}{t}')" for t in _NEAR_TERMS
 )
@@ -293,6 +398,33 @@ ORACLE = {
     "sort_abs": with_sql(CATALOG, select="SELECT symbol, position, diff FROM catalog ORDER BY abs(diff) DESC, diff"),
     "keyword_counts": with_sql(_DOCS, _WORD_COUNTS, select="SELECT * FROM word_counts"),
     "person_candidates": with_sql(_DOCS, _PEOPLE, select="SELECT * FROM people WHERE value > 0"),
+    "person_candidates_listed": with_sql(
+        _DOCS, _ANY_PEOPLE, "listed AS (SELECT string_split(text, ' ')[1] AS word FROM benchmark)",
+        select="""SELECT * FROM people WHERE value > 0 AND element NOT IN (
+          SELECT element FROM (SELECT DISTINCT element, unnest(string_split_regex(element, '\\s+')) AS word FROM people) JOIN listed USING (word))""",
+    ),
+    "long_list_counts": with_sql(
+        _DOCS,
+        f"parts AS (SELECT unnest([{', '.join(f"'{p}'" for p in _PARTS)}]) AS part)",
+        "words AS (SELECT symbol, unnest(regexp_extract_all(lower(text), '[\\pL\\pM\\p{Nd}_]+')) AS element FROM texts)",
+        select="""SELECT symbol, element, count(*) AS value FROM words
+          WHERE element IN (SELECT a.part || b.part FROM parts a, parts b) GROUP BY ALL""",
+    ),
+    "default_keyword_counts": with_sql(
+        _PROSPECTUS, _DEFAULT_COUNTS,
+        select=f"SELECT * FROM word_counts WHERE value > 0 AND element IN ({', '.join(f"'{t}'" for t in V.TARGET_KEYWORDS)})",
+    ),
+    "default_keyword_frequency": with_sql(
+        _PROSPECTUS, _DEFAULT_COUNTS, select="SELECT symbol, element AS keyword, value AS frequency FROM word_counts WHERE value > 0"
+    ),
+    "default_underwriters_in_context": with_sql(
+        _PROSPECTUS, select=" UNION ALL ".join(map(_near_bank, V.UNDERWRITERS))
+    ),
+    "default_underwriters_in_tables": with_sql(
+        _PROSPECTUS,
+        select=f"""SELECT DISTINCT 'O' || o_orderkey AS symbol, {_TITLE.format('name')} AS element FROM picked, names
+          WHERE role <> 'counsel' AND contains(lower(bank), name)""",
+    ),
     "person_filter": """WITH names AS (
       SELECT p_partkey, concat_ws(' ', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '),
         CASE WHEN p_size % 3 = 0 THEN 'Q.' END, CASE WHEN p_size % 5 = 0 THEN 'de' END,
