@@ -7,16 +7,18 @@ a band are joined to one key, and documents that share a key are compared.
 1. Documents of equal shingle sets (two 64-bit sums and the size) form a class at once; the smallest id stands for it.
 2. In every bucket (documents of one key) the others are compared with the smallest id, on their full sets, unless
    they have come together already.
-3. Buckets whose documents still lie in several components are searched in full, in blocks of BLOCK documents against
-   one another, spread over tasks; only pairs of different components whose sketches agree well enough (5 standard
-   deviations under the threshold) are compared on full sets. No bucket is capped or skipped.
+3. Buckets whose documents still lie in several components are searched in full, in blocks of at most BLOCK documents
+   against one another, spread over tasks. Full sets travel with the documents, so that a task compares them itself: pairs
+   of different components whose sketches agree well enough (5 standard deviations under the threshold), each pair in the
+   first bucket that both share. Only links that join two components leave a task, fewer than it has documents, however
+   many pairs it compares. No bucket is capped or skipped.
 4. Components run over the verified links only.
 
 At the threshold a pair shares no band with probability (1 - s^6)^42: 2e-9 at 0.85, 3e-6 at 0.8.
 
 A null or blank text has no shingles and is linked with nothing; a text of fewer than k words is one shingle. Rows with
-a null id keep their row, without component. Rows that repeat an id are one node. Empty tables give no rows; other
-columns are not read.
+a null id keep their row, without component. Rows that repeat an id are one node, with the links of all their texts.
+Empty tables give no rows; other columns are not read.
 """
 
 import numpy as np
@@ -25,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .graphs import components, groups_of, of_ids
+from .graphs import components, groups_of
 from .text_arrays import Hasher, mix, shingle_sets, slices
 
 ROWS, BANDS = 6, 42
 #: Columns of a sketch for each that the bands use: the more, the closer sketches tell similarity.
 WIDER = 2
-#: Documents of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Documents of a bucket that one task compares with as many others, and shingles that they have together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -73,34 +75,36 @@ def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-def sketched(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """(id, size, sum1, sum2, bands, sketch) of every document (id, text); sketch holds the low byte of every value."""
+def sketched(docs: DataFrame, k: int, rows: int, bands: int, whole: bool = False) -> DataFrame:
+    """(id, tag, size, sum1, sum2, bands) of every document (id, tag, text); if `whole`, (id, tag, size, bands, sketch, set)
+    as bytes: sketch holds the low byte of every value, set the sorted 64-bit shingles."""
 
     def run(batches):
         hasher = Hasher()
         for batch in slices(batches, "text"):
-            n = len(batch)
             hashes, offsets = shingle_sets(hasher, batch.column("text"), k)
             sizes = np.diff(offsets)
+            table = sketch(hashes, offsets, WIDER * rows * bands)
+            keys = band_keys(table[:, : rows * bands], rows)
+            named = [batch.column("id"), batch.column("tag"), pa.array(sizes, pa.int64())]
+            if whole:
+                low = table.astype(np.uint8)
+                columns = [
+                    pa.array([row.tobytes() for row in keys], pa.binary()), pa.array([row.tobytes() for row in low], pa.binary()),
+                    pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([*named, *columns], ["id", "tag", "size", "bands", "sketch", "set"])
+                continue
             sums = []
             for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
                 total = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt)))]
                 sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-            table = sketch(hashes, offsets, WIDER * rows * bands)
-            keys = band_keys(table[:, : rows * bands], rows)[sizes > 0]
             ends = np.r_[0, np.cumsum((sizes > 0) * bands)]
-            low = table.astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64).ravel())),
-                    pa.array([row.tobytes() for row in low], pa.binary()),
-                ],
-                ["id", "size", "sum1", "sum2", "bands", "sketch"],
-            )
-            assert n == len(sizes)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[sizes > 0].view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*named, pa.array(sums[0]), pa.array(sums[1]), listed], ["id", "tag", "size", "sum1", "sum2", "bands"])
 
-    return docs.mapInArrow(run, "id long, size long, sum1 long, sum2 long, bands array<long>, sketch binary")
+    kept = "bands binary, sketch binary, set binary" if whole else "sum1 long, sum2 long, bands array<long>"
+    return docs.mapInArrow(run, f"id long, tag long, size long, {kept}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -125,41 +129,58 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    a, b = (texts.select(F.col("id").alias(c), F.col("tag").alias(f"tag_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(b, ["b", "tag_b"]).join(a, ["a", "tag_a"])
+    return both.select("a", "tag_a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def _across(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in buckets (key, id, root, held) whose sketches agree well enough."""
-    blocks = F.ceil(F.col("held") / BLOCK)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    rows = open_.select("key", "id", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    rows = rows.select("key", "id", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = rows.join(sketches, "id")
+def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """Links (a, b) that join components, from buckets (key, id, tag, root, parts) whose documents lie in several."""
+    asked = stage(open_.select("id", "tag").distinct(), "asked")
+    whole = stage(sketched(texts.join(asked, ["id", "tag"], "left_semi"), k, rows, bands, whole=True), "sets")
+    mine = F.pmod(F.xxhash64("id", "tag"), "parts")
+    placed = open_.select("key", "id", "tag", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("key", "id", "tag", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    placed = placed.join(whole, ["id", "tag"])
+
+    def matrix(column, kind):
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     def search(batches):
         for group in groups_of(batches, ["key", "i", "j"]):
-            ids, roots, mine = (group.column(c).to_numpy() for c in ("id", "root", "mine"))
-            marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-            bins = marks.shape[1]
-            s = percent / 100
+            ids, roots, mine, sizes = (group.column(c).to_numpy() for c in ("id", "root", "mine", "size"))
+            label = np.unique(roots, return_inverse=True)[1]
+            if not label.any():
+                continue
+            marks, keys = matrix(group.column("sketch"), np.uint8), matrix(group.column("bands"), np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            s, bins = percent / 100, marks.shape[1]
             least = (s - 5 * np.sqrt(s * (1 - s) / bins)) * bins
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left = np.flatnonzero(mine == i)
-            right = np.flatnonzero(mine == j)
-            found_a, found_b = [], []
+            key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            links = []
             for x in left:
                 y = right[right > x] if i == j else right
-                y = y[roots[y] != roots[x]]
+                y = y[label[y] != label[x]]
+                y = y[100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])]
                 y = y[(marks[y] == marks[x]).sum(axis=1) >= least]
-                found_a.append(np.minimum(ids[x], ids[y]))
-                found_b.append(np.maximum(ids[x], ids[y]))
-            if found_a and sum(map(len, found_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                if len(y):
+                    y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key]
+                if not len(y):
+                    continue
+                others = np.concatenate([sets[v] for v in y])
+                at = np.minimum(np.searchsorted(sets[x], others), len(sets[x]) - 1)
+                shared = np.add.reduceat((sets[x][at] == others).astype(np.int64), np.r_[0, np.cumsum(sizes[y])[:-1]])
+                for v in y[100 * shared >= percent * (sizes[x] + sizes[y] - shared)].tolist():
+                    if label[v] != label[x]:
+                        label[label == label[v]] = label[x]
+                        links.append((ids[x], ids[v]))
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(search, "a long, b long").where("a < b").distinct()
+    placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return placed.mapInArrow(search, "a long, b long")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -172,52 +193,61 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose two documents lie in different components."""
     a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: the smallest id reachable over links of at least `percent`."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     made = stage(sketched(texts, k, rows, bands), "sketches")
     sets = ["sum1", "sum2", "size"]
     named = made.where("size > 0 and id is not null")
     several = named.groupBy(*sets).agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").drop("top")
     # Both sides of this join are shuffled as they are read, so that a very large class is split.
-    sketches = made.select("id", "sketch")
-    classed = made.drop("sketch").join(stage(several, "classes"), sets, "left").withColumn("rep", F.coalesce("rep", "id"))
-    made = stage(classed.select("id", "size", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
-    keyed = made.where("bands is not null").select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")).where("low < high").drop("high")
-    buckets = stage(keyed.join(stage(buckets, "buckets"), "key"), "members")
-    pairs = stage(buckets.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    needed = buckets.select("id").union(buckets.select(F.col("low").alias("id"))).distinct()
-    texts = stage(of_ids(texts.where("id is not null"), needed).dropDuplicates(["id"]), "texts")
-    # One partner for each document, then another for those still apart from it, then all others of these: a large group
+    classed = made.join(stage(several, "classes"), sets, "left").withColumn("rep", F.coalesce("rep", "id"))
+    made = stage(classed.select("id", "tag", "sum1", "size", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
+    # An id with several texts may lie in several classes: it joins them.
+    named = made.where("id is not null")
+    again = named.groupBy("id").agg(F.min("sum1").alias("low"), F.max("sum1").alias("high")).where("low < high").select("id")
+    own_links = stage(named.join(again, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a < b"), "own-links")
+    keyed = made.where("bands is not null").select("id", "tag", "size", F.explode("bands").alias("key"))
+    first = F.min(F.struct("id", "tag"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long")
+    buckets = keyed.groupBy("key").agg(first.alias("low"), F.max("id").alias("high"), parts.alias("parts")).where("low.id < high").drop("high")
+    buckets = stage(keyed.drop("size").join(stage(buckets, "buckets"), "key"), "members")
+    pairs = buckets.where("id > low.id").select(F.col("low.id").alias("a"), F.col("low.tag").alias("tag_a"), F.col("id").alias("b"), F.col("tag").alias("tag_b"))
+    pairs = stage(pairs.distinct(), "pairs")
+    # One partner for each text, then another for those still apart from it, then all others of these: a large group
     # of near copies has as many smallest ids as buckets, but mostly comes together by the first.
-    roots, left = None, pairs
+    roots, left = _joined(None, own_links), pairs
     for single in (True, True, False):
-        todo = left if roots is None else _apart(left, roots)
-        todo = stage(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if single else todo, "todo")
-        if roots is not None and todo.isEmpty():
+        todo = left if single and left is pairs else _apart(left, roots)
+        if single:
+            todo = todo.groupBy("b", "tag_b").agg(F.min(F.struct("a", "tag_a")).alias("a")).select("a.a", "a.tag_a", "b", "tag_b")
+        todo = stage(todo, "todo")
+        if todo.isEmpty():
             break
         roots = _joined(roots, stage(verified(todo, texts, k, percent), "verified"))
-        left = left.join(todo, ["a", "b"], "left_anti")
+        left = left.join(todo, todo.columns, "left_anti")
     # Buckets that the smallest id has not brought together.
-    marked = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "held", "root")
+    marked = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "tag", "parts", "root")
     marked = stage(marked, "marked")
     open_ = stage(marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "open")
     if not open_.isEmpty():
-        more = stage(_across(marked.join(open_, "key"), sketches, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            roots = _joined(roots, stage(verified(more, texts, k, percent), "verified"))
+        links = _across(marked.join(open_, "key"), texts, k, percent, rows, bands)
+        roots = _joined(roots, stage(links, "across"))
     found = made.select("id", "size", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    own = F.when(F.col("size") > 0, F.coalesce("root", "rep")).otherwise(F.col("id"))
+    own = F.coalesce("root", "rep")
     return found.select(
         F.col("id").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")
     ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, one of each group: that of the smallest id. Rows with a null id stay."""
+    """The documents with all their columns, one of each group: that of the smallest id. Of rows equal in all columns one
+    stays; other rows that share the kept id all stay, and so do rows with a null id. Empty texts are copies of nothing."""
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    again = stage(again, "again")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates())
