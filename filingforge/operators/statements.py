@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from filingforge import vocabulary as V
 from filingforge.functions.dates import document_dates
 from filingforge.functions.numbers import money_tokens, money_value, money_values, ratio_values
-from filingforge.operators.ordered import RUN, running_total
+from filingforge.operators.ordered import RUN, number_rows, running_total
+from filingforge.operators.staging import stage
 from filingforge.operators.stats import top_k
 
 UNKNOWN_COMPANY = "Unknown Company"
@@ -78,6 +79,26 @@ def _full_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit("nan"))), " ")
 
 
+def _with_rows_before(rows: DataFrame, blank: DataFrame) -> DataFrame:
+    """`rows` with `__before` and `__second`, the last rows before them that are not among `blank` (doc, row_idx), and
+    `__gap`, whether blank rows lie between.
+
+    Runs of blank rows are told by their numbers among the blank rows of a document, so that only those are ordered; a
+    run is one row (first, last), met by the row after it.
+    """
+    numbered = number_rows(stage(blank, "blank-rows"), ["doc"], "row_idx", "n")
+    runs = numbered.groupBy("doc", (F.col("row_idx") - F.col("n")).alias("run")).agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    runs = stage(runs.select("doc", "first", "last"), "blank-runs")
+
+    def step(df: DataFrame, since: Column, out: str) -> DataFrame:
+        own = runs.select("doc", (F.col("last") + 1).alias("__at"), (F.col("first") - 1).alias("__to"))
+        joined = df.withColumn("__at", since).join(own, ["doc", "__at"], "left")
+        return joined.withColumn(out, F.coalesce("__to", F.col("__at") - 1)).drop("__at")
+
+    rows = step(rows, F.col("row_idx").cast("long"), "__before").withColumn("__gap", F.col("__to").isNotNull()).drop("__to")
+    return step(rows, F.col("__before"), "__second").drop("__to")
+
+
 def document_texts(rows: DataFrame) -> DataFrame:
     """(doc, text): pieces of the document's text that hold every run of up to three neighbouring
     cells, also across row ends.
@@ -85,31 +106,34 @@ def document_texts(rows: DataFrame) -> DataFrame:
     The text of a document is all its cells, row by row, joined by blanks. Looking for short
     things in it needs each row, and each seam: the last two cells of a row with the first two
     of what follows. So no document is ever put together in one task. Cells of blanks only stay
-    in the text but do not count; what runs across a whole row of such cells is not found.
+    in the text but do not count; rows of them only, however many, are stepped over and leave one
+    blank more in the seam, so that dates are found across them and terms of one blank are not.
     """
     cells, n = F.col("cells"), F.size("cells")
     rows = rows.where(n > 0)
     places = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.coalesce(F.element_at(cells, i).rlike(r"(?U)^\s*$"), F.lit(False)))
     rows = rows.withColumn("__places", places)
     count = F.size("__places")
+    own = rows.select("doc", _full_text(cells).alias("text"))
+    rows = _with_rows_before(rows.where(count > 0), rows.where(count == 0).select("doc", F.col("row_idx").cast("long").alias("row_idx")))
+    after_gap = lambda text: F.concat(F.when(F.col("__gap"), " ").otherwise(""), text)
     upto = lambda k: F.slice("cells", F.lit(1), F.coalesce(F.get("__places", F.lit(k - 1)), n))
     since = F.coalesce(F.get("__places", F.greatest(count - 2, F.lit(0))), F.lit(1))
-    own = rows.select("doc", _full_text(cells).alias("text"))
     ends = F.array(
         F.struct(
-            F.col("row_idx").alias("row"), _full_text(F.slice("cells", since, n - since + 1)).alias("tail"),
+            F.col("row_idx").cast("long").alias("row"), _full_text(F.slice("cells", since, n - since + 1)).alias("tail"),
             F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("width"),
             F.lit(None).cast("string").alias("next"),
         ),
         F.struct(
-            (F.col("row_idx") - 1).alias("row"), F.lit(None).cast("string").alias("tail"),
-            _full_text(upto(2)).alias("head"), count.alias("width"),
+            F.col("__before").alias("row"), F.lit(None).cast("string").alias("tail"),
+            after_gap(_full_text(upto(2))).alias("head"), count.alias("width"),
             F.lit(None).cast("string").alias("next"),
         ),
         F.struct(
-            (F.col("row_idx") - 2).alias("row"), F.lit(None).cast("string").alias("tail"),
+            F.col("__second").alias("row"), F.lit(None).cast("string").alias("tail"),
             F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("width"),
-            _full_text(upto(1)).alias("next"),
+            after_gap(_full_text(upto(1))).alias("next"),
         ),
     )
     seams = (
@@ -153,9 +177,9 @@ def document_type(rows: DataFrame, types=V.DOCUMENT_TYPES) -> DataFrame:
 
 
 def document_date_list(rows: DataFrame) -> DataFrame:
-    """(doc, date_text): the distinct dates in a document's text, as written."""
+    """(doc, date_text): the distinct dates in a document's text, as written, with one blank for any run of blanks inside."""
     found = document_texts(rows).select("doc", F.explode(document_dates(F.col("text"))).alias("date_text"))
-    return found.distinct()
+    return found.withColumn("date_text", F.regexp_replace("date_text", r"(?U)\s+", " ")).distinct()
 
 
 def company_name(rows: DataFrame, first_rows: int = 10) -> DataFrame:

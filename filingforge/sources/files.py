@@ -4,10 +4,12 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingforge.functions.labels import url_basename
+from filingforge.operators.staging import stage
 from filingforge.vocabulary import READER_NULLS
 
 CATALOG_SCHEMA = (
@@ -83,18 +85,57 @@ def csv_cells(record: Column) -> Column:
     return F.transform(raw, value)
 
 
-def read_grids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, row_idx, cells) of headerless CSV files, one document per file.
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_idx, record) of the records of CSV files, which may be of any size.
+
+    A file is read in byte ranges. A range does not know whether it begins inside quotes, so it works out both cases: the
+    quotes before every line, and how many records begin under either. Parities and counts of the ranges of a file, one row
+    each, then settle which case holds. Lines of a record that runs over line ends are put together; all others stay where
+    they are. Blank records go. A quote that is never closed runs to the end of its file.
 
-    A file that is not valid UTF-8 is read as Latin-1; this is decided per file, so a file is one
-    record and must fit the 2 GB limit of a value. Cells that spell a null are null.
+    A file that is not valid UTF-8 throughout is read as Latin-1.
     """
-    files = spark.read.format("binaryFile").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    doc = F.regexp_extract(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"^(.*?)(?:\.csv)?$", 1)
-    rows = files.select(doc.alias("doc"), F.posexplode(csv_records(text)).alias("row_idx", "record"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),  # places rise within a range
+    )
+    quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"')))
+    lines = stage(
+        lines.withColumns({"odd": quotes % 2, "blank": F.col("line").rlike(r"^[ \t]*$"), "valid": F.try_validate_utf8("line").isNotNull()}), "lines"
+    )
+    own = W.partitionBy("file", "range").orderBy("place")
+    before = F.coalesce(F.sum("odd").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2
+    begins = {f"begun{k}": F.when((F.col("before") == k) & ~F.col("blank"), 1).otherwise(0) for k in (0, 1)}
+    lines = lines.withColumn("before", before).withColumns(begins)
+    lines = stage(lines.withColumns({f"upto{k}": F.sum(f"begun{k}").over(own) for k in (0, 1)}), "lines")
+    ranges = lines.groupBy("file", "range").agg(
+        *[F.sum(c).alias(c) for c in ("odd", "begun0", "begun1")], F.bool_and("valid").alias("valid")
+    )
+    earlier = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    ranges = ranges.withColumn("inside", inside).withColumn("n", F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1")))
+    ranges = ranges.select(
+        "file", "range", "inside", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("records"),
+        F.bool_and("valid").over(W.partitionBy("file")).alias("valid"),
+    )
+    placed = lines.drop("valid").join(stage(ranges, "ranges"), ["file", "range"])
+    upto = F.when(F.col("inside") == 0, F.col("upto0")).otherwise(F.col("upto1"))
+    open_ = (F.col("inside") + F.col("before")) % 2 == 1
+    text = F.when(F.col("valid"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
+    placed = placed.select(
+        "file", "range", "place", "blank", (F.col("records") + upto - 1).cast("long").alias("row_idx"), text.alias("record"),
+        open_.alias("open"), (open_ | (F.col("odd") == 1)).alias("several"),
+    )
+    alone = placed.where("not several and not blank").select("file", "row_idx", "record")
+    parts = placed.where("several").groupBy("file", "row_idx").agg(F.array_sort(F.collect_list(F.struct("range", "place", "record"))).alias("parts"))
+    return alone.union(parts.select("file", "row_idx", F.array_join("parts.record", "\n").alias("record")))
+
+
+def read_grids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, row_idx, cells) of headerless CSV files, one document per file of any size. Cells that spell a null are null."""
+    doc = F.regexp_extract(F.url_decode(F.element_at(F.split("file", "/"), -1)), r"^(.*?)(?:\.csv)?$", 1)
     cells = F.transform(csv_cells(F.col("record")), lambda c: F.when(~c.isin(READER_NULLS), c))
-    return rows.select("doc", F.col("row_idx").cast("long").alias("row_idx"), cells.alias("cells"))
+    return csv_lines(spark, path).select(doc.alias("doc"), "row_idx", cells.alias("cells"))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

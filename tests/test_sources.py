@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,44 @@ def test_copies_inherit_dates_from_the_copy_before(spark):
     copies = {r.metric for r in P.grid_metrics(P.filing_grid(df, "per_keyword")).collect()}
     assert "cash_due_recent" not in once and "cash_due_recent" in copies
     assert html_table_rows(df).agg(F.count("*")).first()[0] == 5
+
+
+def _csv_text(pick):
+    pieces = ["a", "b,", ",", "\n", '"x, y"', '"he said ""no"""', '"two\nlines"', '"\n\n"', "\r\n", "é", " ", "\t\n", "1,5", '"",', "\r"]
+    return "".join(pick.choices(pieces, k=pick.choice([0, 1, 30, 400])))
+
+
+@pytest.mark.parametrize("size", ["48b", "1k", "128m"])
+def test_byte_ranges_give_the_records_of_whole_files(spark, tmp_path, size):
+    pick = random.Random(len(size))
+    texts = {f"g {i}.csv": _csv_text(pick) for i in range(25)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode("latin-1" if name == "g 3.csv" else "utf-8"))
+    whole = spark.createDataFrame(list(texts.items()), "name string, text string").select(
+        "name", F.posexplode(files.csv_records(F.col("text"))).alias("row_idx", "record")
+    )
+    want = {(r.name.removesuffix(".csv"), r.row_idx): r.cells for r in whole.select("name", "row_idx", files.csv_cells(F.col("record")).alias("cells")).collect()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        rows = files.read_grids(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {(r.doc, r.row_idx): r.cells for r in rows}
+    nulls = lambda cells: [None if c in files.READER_NULLS else c for c in cells]
+    assert len(rows) == len(got) and got == {k: nulls(v) for k, v in want.items()}
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    line = '"a ""quoted""\nrecord, of two lines",12,é\n' + "plain," * 40 + "\n"
+    (tmp_path / "big.csv").write_text(line * 80_000, encoding="utf-8")  # about 23 MB
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 8
+        rows = files.read_grids(spark, str(tmp_path))
+        found = rows.groupBy(F.size("cells").alias("cells"), (F.col("row_idx") % 2).alias("odd")).agg(F.count("*").alias("n"), F.max("row_idx").alias("last")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.cells, r.odd): (r.n, r["last"]) for r in found} == {(3, 0): (80_000, 159_998), (41, 1): (80_000, 159_999)}

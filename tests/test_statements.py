@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from filingforge import vocabulary as V
 from filingforge.operators import statements as S
 from filingforge.plans.documents import analyze_documents
@@ -35,16 +37,15 @@ def test_type_and_dates_against_whole_texts(spark):
     pick = random.Random(11)
     words = ["Trust", "Account", "Net", "Interest", "Margin", "Balance", "Sheet", "March", "5,", "5", "2020", "1/2/2020", "2020-1-2", None, "x", "Loss Ratio", "March 7", " ", "  "]
     docs = {
-        # A row of blanks only would hide what runs across it; the last cell is none.
-        f"d{n}": [[pick.choice(words) for _ in range(width - 1)] + [pick.choice(words[:-2])] for _ in range(pick.randint(1, 12))]
-        for n in range(150) for width in [pick.randint(1, 4)]
+        f"d{n}": [[pick.choice(words) for _ in range(width)] if pick.random() < 0.7 else [" "] * width for _ in range(pick.randint(1, 14))]
+        for n in range(250) for width in [pick.randint(1, 4)]
     }
     types, dates = {}, set()
     for doc, lines in docs.items():
         text = " ".join("nan" if c is None else c for line in lines for c in line)
         score = [sum(t.lower() in text.lower() for t in terms) for _, terms in V.DOCUMENT_TYPES]
         types[doc] = V.DOCUMENT_TYPES[score.index(max(score))][0] if max(score) else "unknown"
-        dates |= {(doc, d) for p in V.DOCUMENT_DATE_PATTERNS for d in re.findall(p, text, re.I)}
+        dates |= {(doc, " ".join(d.split())) for p in V.DOCUMENT_DATE_PATTERNS for d in re.findall(p, text, re.I)}
     df = _docs(spark, docs)
     assert {r.doc: r.document_type for r in S.document_type(df).collect()} == types
     assert {tuple(r) for r in S.document_date_list(df).collect()} == dates and len(dates) > 50
@@ -52,7 +53,18 @@ def test_type_and_dates_against_whole_texts(spark):
 
 def test_dates_run_over_blank_cells(spark):
     rows = _docs(spark, {"d": [["x", "December"], [" ", "31,"], ["1995", "y"]], "e": [["May", " "], [" ", "5", " "], [" ", "2001"]]})
-    assert {tuple(r) for r in S.document_date_list(rows).collect()} == {("d", "December   31, 1995"), ("e", "May     5     2001")}
+    assert {tuple(r) for r in S.document_date_list(rows).collect()} == {("d", "December 31, 1995"), ("e", "May 5 2001")}
+
+
+@pytest.mark.parametrize("between", [1, 3, 5000])
+def test_dates_run_over_rows_of_blanks(spark, between):
+    gap = [[" ", "  "]] * between
+    rows = _docs(spark, {
+        "d": [["x", "December"], *gap, ["31,", "1995"]], "e": [*gap, ["May", " "], *gap, [" ", "5"], *gap, ["2001", " "], *gap],
+        "t": [["a", "Trust"], *gap, ["Account", "b"]], "n": [["x", "May 5,"], [" ", None], *gap, ["2001", "y"]],
+    })
+    assert {tuple(r) for r in S.document_date_list(rows).collect()} == {("d", "December 31, 1995"), ("e", "May 5 2001")}
+    assert {r.doc: r.document_type for r in S.document_type(rows).collect()} == dict.fromkeys("dent", "unknown")
 
 
 def test_more_terms_than_a_mask_holds(spark):

@@ -143,7 +143,7 @@ types AS (
 """
 _DATES = f"""
 dates AS (
-  SELECT DISTINCT doc, unnest(regexp_extract_all(text, '(?i)' || pattern)) AS date_text FROM doc_texts,
+  SELECT DISTINCT doc, regexp_replace(unnest(regexp_extract_all(text, '(?i)' || pattern)), '\\s+', ' ', 'g') AS date_text FROM doc_texts,
     (VALUES ('\\b\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}\\b'), ('\\b\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}\\b'),
       ('\\b(?:{V.MONTHS})\\s+\\d{{1,2}},?\\s+\\d{{4}}\\b'), ('\\b\\d{{1,2}}\\s+(?:{V.MONTHS})\\s+\\d{{4}}\\b')) p(pattern))
 """
