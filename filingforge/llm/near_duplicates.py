@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .graphs import components, groups_of
+from .graphs import components, groups_of, of_ids
 from .text_arrays import Hasher, mix, shingle_sets, slices
 
 ROWS, BANDS = 6, 42
@@ -218,7 +218,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     pairs = buckets.where("id > low.id").select(F.col("low.id").alias("a"), F.col("low.tag").alias("tag_a"), F.col("id").alias("b"), F.col("tag").alias("tag_b"))
     pairs = stage(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id"), F.col("tag_a").alias("tag")).union(pairs.select("b", "tag_b")).distinct()
-    texts = stage(texts.join(stage(needed, "needed"), ["id", "tag"], "left_semi"), "texts")
+    needed = stage(needed, "needed")
+    # The bit table spares a shuffle of most texts; where it is too full to, the join stands alone.
+    texts = stage(of_ids(texts.where("id is not null"), needed).join(needed, ["id", "tag"], "left_semi"), "texts")
     # One partner for each text, then another for those still apart from it, then all others of these: a large group
     # of near copies has as many smallest ids as buckets, but mostly comes together by the first.
     roots, left = _joined(None, own_links), pairs
