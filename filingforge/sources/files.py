@@ -85,7 +85,7 @@ def csv_cells(record: Column) -> Column:
     return F.transform(raw, value)
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+def csv_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, row_idx, record) of the records of CSV files, which may be of any size.
 
     A file is read in byte ranges. A range does not know whether it begins inside quotes, so it works out both cases: the
@@ -143,20 +143,23 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def long_cells(lines: DataFrame) -> DataFrame:
+    """(path, file_name, row_no, column, value) of the records (file, row_idx, record) of files with a header each."""
+    path = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
+    lines = lines.select("file", path.alias("path"), "row_idx", csv_cells(F.col("record")).alias("cells"))
+    names = lines.where("row_idx = 0").select("file", F.col("cells").alias("names"))
+    rows = lines.where("row_idx > 0").join(names, "file")
+    cells = F.arrays_zip(F.col("names").alias("column"), F.col("cells").alias("value"))
+    file_name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    return rows.select("path", file_name, F.col("row_idx").alias("row_no"), F.inline(cells)).where("column is not null")
+
+
 def read_folder_long(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, row_no, column, value) of CSV files whose headers differ.
 
     Aligning by name in long form needs no common schema and no list of headers on the driver.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("file_name"),
-        csv_records(F.col("value")).alias("records"),
-    )
-    rows = files.select(
-        "file_name", csv_cells(F.get("records", F.lit(0))).alias("names"), F.posexplode("records").alias("row_no", "record")
-    ).where("row_no > 0")
-    cells = F.arrays_zip(F.col("names").alias("column"), csv_cells(F.col("record")).alias("value"))
-    return rows.select("file_name", F.col("row_no").cast("long").alias("row_no"), F.inline(cells)).where("column is not null")
+    return long_cells(csv_lines(spark, path)).drop("path")
 
 
 def read_word_list(spark: SparkSession, path: str) -> list[str]:

@@ -6,6 +6,7 @@ from filingforge.operators import columns as column_ops
 from filingforge.operators import stats
 from filingforge.operators import wide
 from filingforge.operators.staging import new_folder
+from filingforge.sources import committed
 from filingforge.sources import files as file_ops
 from workload.inputs import (
     CANDIDATES, CATALOG, DOCUMENT_CELLS, FEATURES, FILES, KEYWORD_WIDE, METRICS, TERMS, candidates, catalog,
@@ -84,6 +85,34 @@ def sink_tables(spark, sf_dir):
     return spark.read.parquet(path).select("filing", "metric", "value")
 
 
+def sink_written_again(spark, sf_dir):
+    """Metrics written by a coarse column; then half of them again with other values, twice, and once without a commit,
+    as a killed job leaves it."""
+    path = new_folder(spark, "metrics-again")
+    rows = metrics(spark, sf_dir)
+    committed.write_table_again(rows, path, ["metric"])
+    again = rows.where("metric like '%trend'").withColumn("value", F.col("value") * 2)
+    for _ in range(2):
+        committed.write_table_again(again, path, ["metric"])
+    committed.write_version(rows.withColumn("value", F.lit(0.0)), path, ["metric"])
+    return committed.read_committed(spark, path).select("filing", "metric", "value")
+
+
+def scan_growing_folder(spark, sf_dir):
+    """Order files of three periods, added to one folder one after the other and read as they come."""
+    source, target = new_folder(spark, "growing"), new_folder(spark, "grown")
+    orders = table(spark, sf_dir, "orders")
+    period = F.when(F.col("o_orderdate") < "1996-01-01", 0).when(F.col("o_orderdate") < "1998-01-01", 1).otherwise(2)
+    headers = [["o_orderkey", "o_orderpriority"], ["o_orderstatus", "o_orderkey"], ["o_custkey", "o_orderkey"]]
+    for n, names in enumerate(headers):
+        orders.where(period == n).select(*names).write.mode("append").csv(source, header=True)
+        committed.add_new_files(spark, source, target)
+    committed.add_new_files(spark, source, target)  # nothing is new
+    cells = committed.read_added(spark, target)
+    names = ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"]
+    return cells.groupBy("file_name", "row_no").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in names]).select(*names)
+
+
 # ---------------------------------------------------------------- columns and rows
 
 
@@ -182,6 +211,8 @@ QUERIES = {
     "scan_dir_union": scan_dir_union,
     "scan_csv_folder": scan_csv_folder,
     "sink_tables": sink_tables,
+    "sink_written_again": sink_written_again,
+    "scan_growing_folder": scan_growing_folder,
     "project_columns": project_columns,
     "drop_columns": drop_columns,
     "drop_columns_from_table": drop_columns_from_table,
@@ -223,6 +254,12 @@ ORACLE = {
         CASE WHEN NOT early THEN o_orderstatus END AS o_orderstatus, CASE WHEN NOT early THEN CAST(o_custkey AS VARCHAR) END AS o_custkey
       FROM (SELECT *, o_orderdate < DATE '1998-01-01' AS early FROM orders)""",
     "sink_tables": with_sql(METRICS, select="SELECT filing, metric, value FROM metrics"),
+    "sink_written_again": with_sql(
+        METRICS, select="SELECT filing, metric, CASE WHEN metric LIKE '%trend' THEN 2 * value ELSE value END AS value FROM metrics"
+    ),
+    "scan_growing_folder": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN period = 0 THEN o_orderpriority END AS o_orderpriority,
+        CASE WHEN period = 1 THEN o_orderstatus END AS o_orderstatus, CASE WHEN period = 2 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey
+      FROM (SELECT *, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 0 WHEN o_orderdate < DATE '1998-01-01' THEN 1 ELSE 2 END AS period FROM orders)""",
     "project_columns": with_sql(CATALOG, select="SELECT symbol, url, public_price_per_share FROM catalog"),
     "drop_columns": with_sql(CATALOG, select="SELECT * EXCLUDE (day, ipo_date, status) FROM catalog"),
     "drop_columns_from_table": with_sql(
