@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BINS = 1024  # of a range of values in which a quantile is looked for
+#: Relative error of a sketch is one over this; rows of a bracket whose distinct values are fetched.
+_ACCURACY, _GATHERED = 10_000, 50_000
 
 
 def _number(column: str) -> Column:
@@ -100,60 +101,73 @@ def profile_info(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """(column, share, quantile): exact quantiles (linear between neighbours) of numeric columns; NaN is no value.
 
-    Each of the two ranks around a quantile is looked for in a range of values, at first all finite ones. A pass counts
-    the range in _BINS bins of equal width (combined map-side; what comes back does not grow with the rows), and the
-    bin that holds the rank, with the values it really has, is the next range, until it is one value. No task sorts
-    or holds a column.
+    A mergeable sketch gives, in one pass over all columns, a narrow bracket of values for every quantile. The next pass
+    counts the values below and inside the brackets. A bracket of a single value is an answer; the distinct values of one
+    with at most _GATHERED rows are fetched; a fuller one is narrowed by a sketch of its own rows. So three passes do up to
+    some 10^8 rows, and two more multiply that by thousands, whatever the spread of the values. No task sorts a column.
     """
     df = df.select(*[_number(f"`{c}`").alias(f"c{n}") for n, c in enumerate(columns)])
-    infinite = float("inf")
+    every = (None, None)
 
-    def known(c):
-        finite = F.when(F.abs(c) < infinite, F.col(c))
-        return F.struct(
-            F.count(c).alias("n"), F.count_if(F.col(c) == -infinite).alias("lowest"), F.count(finite).alias("finite"),
-            F.min(finite).alias("least"), F.max(finite).alias("most"),
-        )
+    def within(value, ends):
+        """Strictly between the ends; all values without them."""
+        low, high = ends
+        return value.isNotNull() if ends == every else (value > low) & (value < high)
 
-    about = df.agg(*[known(c).alias(c) for c in df.columns]).first()
-    ranges = {}  # (column, rank) -> [low, high, values below low]
+    def sketched(value, positions, margin):
+        return F.percentile_approx(value, [min(1.0, max(0.0, p + d)) for p in positions for d in (-margin, margin)], _ACCURACY)
+
+    margin = 2 / _ACCURACY
+    about = df.agg(*[F.struct(F.count(c).alias("n"), sketched(F.col(c), shares, margin).alias("at")).alias(c) for c in df.columns]).first()
+    size = {c: about[c]["n"] for c in df.columns}
+    tried, open_, answers = {}, {}, {}  # all by (column, rank)
     for c in df.columns:
-        n, lowest, finite, least, most = about[c]
-        for share in shares if n else ():
-            for rank in (math.floor((n - 1) * share), math.ceil((n - 1) * share)):
-                if lowest <= rank < lowest + finite:
-                    ranges[c, rank] = [least, most, lowest]
-                else:
-                    end = -infinite if rank < lowest else infinite
-                    ranges[c, rank] = [end, end, 0]
-    while open_ := [(place, c, *ranges[c, rank][:2]) for place, (c, rank) in enumerate(ranges) if ranges[c, rank][0] < ranges[c, rank][1]]:
-
-        def bin_of(c, low, high):
-            share = (F.col(c) / 2 - low / 2) / (high / 2 - low / 2)  # halves: the whole width may be no double
-            return F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")
-
-        inside = [
-            F.when(F.col(c).between(low, high), F.struct(F.lit(place).alias("place"), bin_of(c, low, high).alias("bin"), F.col(c).alias("at")))
-            for place, c, low, high in open_
-        ]
-        bins = (
-            df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("place", "bin")
-            .agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("low"), F.max("at").alias("high")).collect()
-        )
-        keys = list(ranges)
-        for place, *_ in open_:
-            below = ranges[keys[place]][2]
-            for row in sorted((r for r in bins if r["place"] == place), key=lambda r: r["bin"]):
-                if keys[place][1] < below + row["k"]:
-                    ranges[keys[place]] = [row["low"], row["high"], below]
-                    break
-                below += row["k"]
+        for k, share in enumerate(shares if size[c] else ()):
+            for rank in (math.floor((size[c] - 1) * share), math.ceil((size[c] - 1) * share)):
+                tried[c, rank] = tuple(about[c]["at"][2 * k : 2 * k + 2])
+    while tried:
+        counts = df.agg(*[
+            F.struct(
+                F.count_if(F.col(c) < low).alias("below"), F.count_if(F.col(c) == low).alias("low"),
+                F.count_if(F.col(c) == high).alias("high"), F.count_if(F.col(c).between(low, high)).alias("inside"),
+            ).alias(f"p{k}")
+            for k, ((c, _), (low, high)) in enumerate(tried.items())
+        ]).first()
+        for k, ((c, rank), (low, high)) in enumerate(tried.items()):
+            below, at_low, at_high, inside = counts[f"p{k}"]
+            if not below <= rank < below + inside:
+                open_[c, rank] = (every, 0, size[c])
+            elif rank < below + at_low:
+                answers[c, rank] = low
+            elif rank >= below + inside - at_high:
+                answers[c, rank] = high
+            else:
+                open_[c, rank] = ((low, high), below + at_low, inside - at_low - at_high)
+        full = {place: x for place, x in open_.items() if place not in answers and x[2] > _GATHERED}
+        open_ = {place: x for place, x in open_.items() if place not in full}
+        margin = min(margin * 4, 1.0)  # wider each time, should a sketch not keep its word
+        tried = {}
+        if full:
+            found = df.agg(*[
+                sketched(F.when(within(F.col(c), ends), F.col(c)), [(rank - below) / inside], margin).alias(f"p{k}")
+                for k, ((c, rank), (ends, below, inside)) in enumerate(full.items())
+            ]).first()
+            tried = {place: tuple(found[f"p{k}"]) for k, place in enumerate(full)}
+    if open_:
+        places = list(open_)
+        inside = [F.when(within(F.col(c), open_[c, rank][0]), F.struct(F.lit(k).alias("place"), F.col(c).alias("at"))) for k, (c, rank) in enumerate(places)]
+        rows = df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("place", "at").agg(F.count(F.lit(1)).alias("k")).collect()
+        for k, (c, rank) in enumerate(places):
+            upto = open_[c, rank][1]
+            for row in sorted((r for r in rows if r["place"] == k), key=lambda r: r["at"]):
+                if upto <= rank < upto + row["k"]:
+                    answers[c, rank] = row["at"]
+                upto += row["k"]
     found = []
     for c, name in zip(df.columns, columns):
-        n = about[c]["n"]
-        for share in shares if n else ():
-            rank = (n - 1) * share
-            low, high = (ranges[c, r][0] for r in (math.floor(rank), math.ceil(rank)))
+        for share in shares if size[c] else ():
+            rank = (size[c] - 1) * share
+            low, high = answers[c, math.floor(rank)], answers[c, math.ceil(rank)]
             found.append((name, float(share), low if low == high else low + (high - low) * (rank - math.floor(rank))))
     return df.sparkSession.createDataFrame(found, "column string, share double, quantile double")
 

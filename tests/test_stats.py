@@ -126,3 +126,16 @@ def test_union_hconcat_distinct(spark):
     assert {tuple(r) for r in W.hconcat(a, b, "i", "j").collect()} == {(0, 1, "x", 2, "y"), (1, None, None, 5, "z")}
     rows = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 3, "c"), (None, 4, "d")], "k string, n int, v string")
     assert {tuple(r) for r in W.distinct_on(rows, ["k"], [F.col("n")]).collect()} == {("k", 1, "a"), (None, 3, "c")}
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_quantiles_take_few_passes_whatever_the_spread(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "_GATHERED", most)
+    df = spark.range(200_000, numPartitions=8).selectExpr(
+        "cast(id % 2 as double) AS two", "exp(cast(hash(id) as double) / 4e7) AS wide", "if(id % 3 = 0, 5.0, cast(id as double)) AS hot",
+        "if(id % 10 = 0, null, cast(id % 7 as int)) AS few",
+    )
+    shares = [0.0, 0.25, 0.333, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.column, r.share): r.quantile for r in S.quantiles(df, df.columns, shares).collect()}
+    rows = df.toPandas()
+    assert got == pytest.approx({(c, s): float(np.quantile(rows[c].dropna(), s)) for c in df.columns for s in shares}, rel=1e-12)
