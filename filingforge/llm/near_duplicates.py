@@ -34,7 +34,7 @@ ROWS, BANDS = 6, 42
 #: Columns of a sketch for each that the bands use: the more, the closer sketches tell similarity.
 WIDER = 2
 #: Documents of a bucket that one task compares with as many others, and shingles that they have together.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -135,9 +135,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """Links (a, b) that join components, from buckets (key, id, tag, root, parts) whose documents lie in several."""
+    """Links (a, b) that join components, from buckets (key, id, tag, root) whose documents lie in several."""
     asked = stage(open_.select("id", "tag").distinct(), "asked")
     whole = stage(sketched(texts.join(asked, ["id", "tag"], "left_semi"), k, rows, bands, whole=True), "sets")
+    sized = open_.join(whole.select("id", "tag", "size"), ["id", "tag"])
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long")
+    open_ = open_.join(stage(sized.groupBy("key").agg(parts.alias("parts")), "parts"), "key")
     mine = F.pmod(F.xxhash64("id", "tag"), "parts")
     placed = open_.select("key", "id", "tag", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     placed = placed.select("key", "id", "tag", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -208,19 +211,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     made = stage(classed.select("id", "tag", "sum1", "size", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
     # An id with several texts may lie in several classes: it joins them.
     named = made.where("id is not null")
-    again = named.groupBy("id").agg(F.min("sum1").alias("low"), F.max("sum1").alias("high")).where("low < high").select("id")
+    again = named.groupBy("id").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("id")
+    again = stage(again, "again")
     own_links = stage(named.join(again, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a < b"), "own-links")
-    keyed = made.where("bands is not null").select("id", "tag", "size", F.explode("bands").alias("key"))
-    first = F.min(F.struct("id", "tag"))
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long")
-    buckets = keyed.groupBy("key").agg(first.alias("low"), F.max("id").alias("high"), parts.alias("parts")).where("low.id < high").drop("high")
-    buckets = stage(keyed.drop("size").join(stage(buckets, "buckets"), "key"), "members")
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        """Only an id with several texts needs their tags; for all others a tag of 0 takes no room in a shuffle."""
+        marked = rows.join(again.withColumn("several", F.lit(True)), "id", "left")
+        return marked.withColumn("tag", F.when(F.col("several"), F.col("tag")).otherwise(0)).drop("several")
+
+    keyed = tagged(made.where("bands is not null")).select("id", "tag", F.explode("bands").alias("key"))
+    low = F.min(F.struct("id", "tag")).alias("low")
+    buckets = keyed.groupBy("key").agg(low, F.max("id").alias("high")).where("low.id < high").drop("high")
+    buckets = stage(keyed.join(stage(buckets, "buckets"), "key"), "members")
     pairs = buckets.where("id > low.id").select(F.col("low.id").alias("a"), F.col("low.tag").alias("tag_a"), F.col("id").alias("b"), F.col("tag").alias("tag_b"))
     pairs = stage(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id"), F.col("tag_a").alias("tag")).union(pairs.select("b", "tag_b")).distinct()
     needed = stage(needed, "needed")
     # The bit table spares a shuffle of most texts; where it is too full to, the join stands alone.
-    texts = stage(of_ids(texts.where("id is not null"), needed).join(needed, ["id", "tag"], "left_semi"), "texts")
+    texts = stage(tagged(of_ids(texts.where("id is not null"), needed)).join(needed, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "texts")
     # One partner for each text, then another for those still apart from it, then all others of these: a large group
     # of near copies has as many smallest ids as buckets, but mostly comes together by the first.
     roots, left = _joined(None, own_links), pairs
@@ -234,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         roots = _joined(roots, stage(verified(todo, texts, k, percent), "verified"))
         left = left.join(todo, todo.columns, "left_anti")
     # Buckets that the smallest id has not brought together.
-    marked = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "tag", "parts", "root")
+    marked = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "tag", "root")
     marked = stage(marked, "marked")
     open_ = stage(marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "open")
     if not open_.isEmpty():
