@@ -35,6 +35,8 @@ ROWS, BANDS = 6, 42
 WIDER = 2
 #: Documents of a bucket that one task compares with as many others, and shingles that they have together.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Documents whose sketches are made at once; short texts would else take much memory.
+SKETCHED = 1024
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -81,7 +83,7 @@ def sketched(docs: DataFrame, k: int, rows: int, bands: int, whole: bool = False
 
     def run(batches):
         hasher = Hasher()
-        for batch in slices(batches, "text"):
+        for batch in (part.slice(at, SKETCHED) for part in slices(batches, "text") for at in range(0, len(part), SKETCHED)):
             hashes, offsets = shingle_sets(hasher, batch.column("text"), k)
             sizes = np.diff(offsets)
             table = sketch(hashes, offsets, WIDER * rows * bands)
@@ -156,7 +158,10 @@ def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int, rows: int,
             if not label.any():
                 continue
             marks, keys = matrix(group.column("sketch"), np.uint8), matrix(group.column("bands"), np.int64)
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            column = group.column("set").combine_chunks()
+            flat = np.frombuffer(column.buffers()[2], np.uint64)  # sets are whole numbers of eight bytes
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(ids) + 1] // 8
+            sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             s, bins = percent / 100, marks.shape[1]
             least = (s - 5 * np.sqrt(s * (1 - s) / bins)) * bins
             key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
