@@ -207,8 +207,8 @@ def _characters(data: np.ndarray) -> np.ndarray:
 
 
 def near_terms(text: Column, names: list[str], context: list[str], reach: int, whole_word: bool = False) -> Column:
-    """ARRAY<INT>: places in `names` of those with a place that has a context term wholly within `reach` characters before
-    its start and after its end. One pass gives the places of all names and context terms; two pointers meet them.
+    """ARRAY<INT>: places in `names` of those with a place that has a context term beside it, wholly within the `reach`
+    characters before its start or after its end; a term within the name itself is none. One pass gives the places of all names and context terms; two pointers meet them.
     `whole_word` is about the names."""
     automaton, around = Automaton(list(names)), Automaton(list(context))
 
@@ -220,16 +220,16 @@ def near_terms(text: Column, names: list[str], context: list[str], reach: int, w
             characters = _characters(data)
             # Rows lie apart by more than any reach, so that one sorted line holds them all.
             apart = len(data) + 4 * reach + 1
-            low = characters[starts] - reach + rows * apart
-            high = characters[ends] + reach + rows * apart
+            start, end = (characters[x] + rows * apart for x in (starts, ends))
             for term in np.unique(others):
                 own = others == term
                 begins, stops = (characters[x[own]] + other_rows[own] * apart for x in (other_starts, other_ends))
-                # The first context place from `low` on; later ones end later.
-                first = np.searchsorted(begins, low)
-                hit = first < len(begins)
-                hit[hit] = stops[first[hit]] <= high[hit]
-                found[rows[hit], terms[hit]] = True
+                for low, high in ((start - reach, start), (end, end + reach)):
+                    # The first context place from `low` on; later ones end later.
+                    first = np.searchsorted(begins, low)
+                    hit = first < len(begins)
+                    hit[hit] = stops[first[hit]] <= high[hit]
+                    found[rows[hit], terms[hit]] = True
         return found[:, automaton.same]
 
     @arrow_udf("array<int>")
