@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 from ..operators.staging import stage
 from .graphs import groups_of
 from .pieces import ByteLevel
-from .text_arrays import slices
+from .text_arrays import slices, spans_of
 
 SHARD_TOKENS = 1_500_000
 #: A bucket of more than a shard's PARTS-th is divided; a token counts as a bucket if it is in a PARTS-th of a shard's rests.
 PARTS = 4
 #: BM25 as usual: how fast repeated tokens saturate, how much the length counts.
 K1, B = 1.2, 0.75
+#: The index is written anew when less than this part of its rests is unused.
+KEEP = 0.6
+#: A token in a DENSE-th of the rests is a row of weights, not a list of postings.
+DENSE = 8
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -74,11 +78,12 @@ def _read(raw: bytes, length: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * length else "<u4")
 
 
-def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often each occurs."""
-    line = np.sort(ids, kind="stable")
+def _terms(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rest, token and number of occurrences of every distinct token of every rest, in this order."""
+    lengths = np.array([len(r) for r in rests])
+    line = np.sort(np.repeat(np.arange(len(rests)), lengths) << 32 | np.concatenate(rests).astype(np.int64))
     heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    return line[heads].astype(np.int64), np.diff(np.r_[heads, len(line)])
+    return line[heads] >> 32, line[heads] & 0xFFFFFFFF, np.diff(np.r_[heads, len(line)]).astype(np.float64)
 
 
 def token_frequencies(rests: DataFrame) -> DataFrame:
@@ -86,12 +91,10 @@ def token_frequencies(rests: DataFrame) -> DataFrame:
 
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for raw, length in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist()):
-                found = _terms(_read(raw, length))[0]
-                if found[-1] >= len(total):
-                    total = np.r_[total, np.zeros(int(found[-1]) + 1, np.int64)]
-                total[found] += 1
+        for batch in _small(batches):
+            found = np.bincount(_terms(_ids(batch))[1], minlength=len(total))
+            found[: len(total)] += total
+            total = found
         tokens = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(total[tokens], pa.int64())], ["token", "docs"])
 
@@ -101,10 +104,7 @@ def token_frequencies(rests: DataFrame) -> DataFrame:
 def buckets(rests: list[np.ndarray], rarity: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of highest and second highest BM25 weight of every rest; of equal ones the smaller id comes first."""
     lengths = np.array([len(r) for r in rests])
-    line = np.sort(np.repeat(np.arange(len(rests)), lengths) << 32 | np.concatenate(rests).astype(np.int64))
-    heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    owner, token = line[heads] >> 32, line[heads] & 0xFFFFFFFF
-    often = np.diff(np.r_[heads, len(line)]).astype(np.float64)
+    owner, token, often = _terms(rests)
     weight = rarity[token] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[owner] / mean))
     firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     found = []
@@ -233,25 +233,64 @@ def _by_score(near: np.ndarray, values: np.ndarray):
         near, values, step = near[~now], values[~now], 4 * step
 
 
+class _Index:
+    """Inverted index of the unused rests of a shard. Tokens in a DENSE-th of the rests are rows of a matrix (single precision, at most
+    DENSE numbers a posting), the others are postings."""
+
+    def __init__(self, owner: np.ndarray, token: np.ndarray, weight: np.ndarray, n: int):
+        """Postings in order of owner; those without weight are left out."""
+        self.rests = np.arange(n)
+        self.numbers = np.zeros(int(token.max(initial=0)) + 1, np.int64)  # tokens of the shard, numbered
+        self.numbers[token] = 1
+        self.numbers = np.cumsum(self.numbers) - 1
+        token = self.numbers[token]
+        order = np.argsort(token, kind="stable")
+        order = order[weight[order] > 0]
+        owner, token, weight = owner[order], token[order], weight[order]
+        held = np.bincount(token, minlength=self.numbers[-1] + 1)
+        common = (held * DENSE >= n) & (held > 0)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        dense = common[token]
+        self.matrix = np.zeros((int(common.sum()), n), np.float32)
+        self.matrix[self.row[token[dense]], owner[dense]] = weight[dense]
+        self._postings(owner[~dense], token[~dense], weight[~dense])
+
+    def _postings(self, owner, token, weight):
+        self.owner, self.token, self.weight = owner, token, weight
+        self.heads = np.r_[0, np.cumsum(np.bincount(token, minlength=len(self.row)))]
+
+    def keep(self, free: np.ndarray) -> None:
+        """Leaves out used rests."""
+        kept = free[self.rests]
+        place = np.cumsum(kept) - 1
+        self.rests = self.rests[kept]
+        self.matrix = self.matrix[:, kept]
+        left = kept[self.owner]
+        self._postings(place[self.owner[left]], self.token[left], self.weight[left])
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """Sum of the query's weights for every rest of `rests`."""
+        rows = self.row[query]
+        query = query[rows < 0]
+        at = spans_of(self.heads[query], self.heads[query + 1] - self.heads[query])
+        return self.matrix[rows[rows >= 0]].sum(axis=0) + np.bincount(self.owner[at], self.weight[at], len(self.rests))
+
+
 def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window: int, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (rest, first, last): which part of which rest stands where. A seed asks with its `terms` tokens of
     highest weight, or with all."""
     n = len(rests)
-    parts = [_terms(r) for r in rests]
-    sizes = np.array([len(p[0]) for p in parts])
     lengths = np.array([len(r) for r in rests])
-    owner, token = np.repeat(np.arange(n), sizes), np.concatenate([p[0] for p in parts])
-    often = np.concatenate([p[1] for p in parts]).astype(np.float64)
+    owner, token, often = _terms(rests)
+    sizes = np.bincount(owner, minlength=n)
     weight = rarity[token] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[owner] / mean))
     ends = np.cumsum(sizes)
-    order = np.argsort(token, kind="stable")
-    order = order[rarity[token[order]] > 0]
-    post_owner, post_weight, post_token = owner[order], weight[order], token[order]
-    heads = np.searchsorted(post_token, np.arange(len(rarity) + 1))
+    index = _Index(owner, token, np.where(rarity[token] > 0, weight, 0), n)
+    token = index.numbers[token]
     free, starts = np.ones(n, bool), np.zeros(n, np.int64)
     by_length = np.argsort(-lengths, kind="stable")
     upcoming, out = 0, []
-    unused = indexed = n
+    unused = n
 
     def next_free():
         nonlocal upcoming
@@ -272,14 +311,11 @@ def pack_shard(rests: list[np.ndarray], rarity: np.ndarray, mean: float, window:
             query = token[mine]
             if terms is not None and len(query) > terms:
                 query = query[np.argpartition(-weight[mine], terms)[:terms]]
-            if 2 * unused < indexed:  # postings of used rests go
-                keep = free[post_owner]
-                post_owner, post_weight, post_token = post_owner[keep], post_weight[keep], post_token[keep]
-                heads, indexed = np.searchsorted(post_token, np.arange(len(rarity) + 1)), unused
-            spans = [slice(a, b) for a, b in zip(heads[query].tolist(), heads[query + 1].tolist())]
-            scores = np.bincount(np.concatenate([post_owner[x] for x in spans]), np.concatenate([post_weight[x] for x in spans]), n)
-            near = np.flatnonzero(free & (scores > 0))
-            near = _by_score(near, scores[near])
+            if unused < KEEP * len(index.rests):
+                index.keep(free)
+            scores = index.scores(query)
+            at = np.flatnonzero((scores > 0) & free[index.rests])
+            near = _by_score(index.rests[at], scores[at])
             while room:
                 other = next(near, -1)
                 if other < 0 and (other := next_free()) < 0:

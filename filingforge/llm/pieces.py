@@ -167,7 +167,7 @@ class ByteLevel:
             self.byte[b] = vocabulary[letter]
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.whole = Tokenizer.from_str(text)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, _LAST)]))
+        every = np.r_[:0xD800, 0xE000:_LAST].astype("<u4").tobytes().decode("utf-32-le")
         self.kind = np.zeros(_LAST, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space
         for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
             for found in regex.finditer(pattern, every):
