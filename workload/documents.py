@@ -7,6 +7,7 @@ from filingforge.operators import statements as S
 from filingforge.operators import stats
 from filingforge.operators.staging import stage
 from filingforge.plans.documents import analyze_documents as analyze
+from filingforge.plans.failures import first_failures
 from workload.inputs import DOCUMENT_CELLS, document_rows, table, with_sql
 
 
@@ -107,7 +108,14 @@ def document_type_counts(spark, sf_dir):
     return stats.group_count_desc(document_type(spark, sf_dir), "document_type")
 
 
+def first_failed_documents(spark, sf_dir):
+    """The first ten documents that failed, why, and how many more did."""
+    failed = _analyzed(spark, sf_dir).where("status = 'failed'").select("doc", "error")
+    return first_failures(failed, key="doc")
+
+
 QUERIES = {
+    "first_failed_documents": first_failed_documents,
     "null_tokens": null_tokens,
     "document_type": document_type,
     "company_name": company_name,
@@ -251,6 +259,14 @@ ORACLE = {
         select="""SELECT count(*) AS total_files, count_if(ok) AS successful, count_if(NOT ok) AS failed,
           round(count_if(ok) / count(*) * 100, 6) AS success_rate FROM results""",
     ),
+    "first_failed_documents": with_sql(
+        DOCUMENT_CELLS, _TYPES,
+        """missing AS (SELECT doc FROM (SELECT 'C' || c_custkey AS doc FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier)
+          WHERE doc NOT IN (SELECT doc FROM types WHERE document_type IS NOT NULL))""",
+        select="""SELECT CAST(row_number() OVER (ORDER BY doc) AS INTEGER) AS rank, doc, 'file is empty after cleaning' AS error,
+            greatest((SELECT count(*) FROM missing) - 10, 0) AS n_more
+          FROM missing QUALIFY rank <= 10""",
+    ),
     "document_stats": with_sql(
         DOCUMENT_CELLS, _DATES,
         f"items AS (SELECT *, statement || ' ' || rank || ' ' || item || ' @' || row_index AS listed FROM ({_FIRST_ITEMS})),"

@@ -8,6 +8,7 @@ from filingforge.operators import html as html_ops
 from filingforge.operators import tables as table_ops
 from filingforge.operators.staging import new_folder, stage
 from filingforge.operators.wide import pivot_metrics
+from filingforge.plans import failures as failure_plans
 from filingforge.plans import financials as plans
 from filingforge.sources import files
 from workload.grids import STEPS
@@ -131,7 +132,35 @@ def skip_report(spark, sf_dir):
     return plans.skip_report(customers.union(suppliers), plans.chain_stages(rows))
 
 
+def _pages_of_all(spark, sf_dir):
+    """Pages of customers and suppliers; those of suppliers stop at every stage, and of four one has a span that no
+    table can hold."""
+    rows = _supplier_rows(spark, sf_dir)
+    cell = lambda text: F.concat(F.lit("<td>"), F.coalesce(text, F.lit("")), F.lit("</td>"))
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", cell), ""), F.lit("</tr>"))
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", line.alias("line"))))  # four a page
+    good = rows.groupBy("filing").agg(
+        F.concat(F.lit("<table>"), F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</table>")).alias("html")
+    )
+    broken = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("filing"),
+        F.concat(F.lit("<table><tr><td>Cash</td><td>1</td></tr><tr><td colspan=300000000>"), F.col("s_name"), F.lit("</td></tr></table>")).alias("html"),
+    )
+    return stage(markup(spark, sf_dir).unionByName(good).unionByName(broken), "pages")
+
+
+def filing_failures(spark, sf_dir):
+    """Customers and suppliers whose pages cannot be read or give nothing at some stage, with the reason."""
+    return failure_plans.filing_failures(_pages_of_all(spark, sf_dir))
+
+
+def failure_summary(spark, sf_dir):
+    return failure_plans.failure_summary(failure_plans.filing_failures(_pages_of_all(spark, sf_dir)))
+
+
 QUERIES = {
+    "filing_failures": filing_failures,
+    "failure_summary": failure_summary,
     "training_table": _training("once"),
     "training_table_per_keyword": _training("per_keyword"),
     "skip_report": skip_report,
@@ -238,30 +267,45 @@ def _training_sql(finance):
     )
 
 
-ORACLE = {
-    "training_table": _training_sql(_FINANCE),
-    "training_table_per_keyword": _training_sql(_COPIES),
-    "skip_report": with_sql(
-        _TABLES,
-        """supplier_lines AS (
-          SELECT 'S' || s_suppkey AS filing, 0 AS table_id, row_idx, label, value
-          FROM (SELECT *, CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS balance FROM supplier), LATERAL (VALUES
-            (1, 0, 'Orders', balance), (1, 1, 'Smallest', '1'), (1, 2, 'Largest', '2'), (1, 3, 'Note', ''),
-            (2, 0, 'Cash', balance), (2, 1, 'Inventory', '1'), (2, 2, 'Earnings', '2'), (2, 3, 'Note', 'x'),
-            (3, 0, 'As of', 'December 31, 1995'), (3, 1, 'Plants', '12'), (3, 2, 'Trucks', balance), (3, 3, 'Cash', NULL)
-          ) t(kind, row_idx, label, value) WHERE s_suppkey % 4 = kind)""",
-        """all_cells AS (
-          SELECT filing, table_id, row_idx, col_idx, col_name, cell FROM table_cells
-          UNION ALL SELECT filing, table_id, row_idx, 0, '0', label FROM supplier_lines
-          UNION ALL SELECT filing, table_id, row_idx, 1, '1', value FROM supplier_lines)""",
-        _FINANCE.replace("FROM table_cells", "FROM all_cells"), _NOT_EMPTY,
-        "grid AS (SELECT stacked.* FROM stacked JOIN good USING (filing, col))", *[s.strip() for s in STEPS[1:]],
-        select="""SELECT f.filing, CASE
+_CHAIN = (
+    _TABLES,
+    """supplier_lines AS (
+      SELECT 'S' || s_suppkey AS filing, 0 AS table_id, row_idx, label, value
+      FROM (SELECT *, CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS balance FROM supplier), LATERAL (VALUES
+        (1, 0, 'Orders', balance), (1, 1, 'Smallest', '1'), (1, 2, 'Largest', '2'), (1, 3, 'Note', ''),
+        (2, 0, 'Cash', balance), (2, 1, 'Inventory', '1'), (2, 2, 'Earnings', '2'), (2, 3, 'Note', 'x'),
+        (3, 0, 'As of', 'December 31, 1995'), (3, 1, 'Plants', '12'), (3, 2, 'Trucks', balance), (3, 3, 'Cash', NULL)
+      ) t(kind, row_idx, label, value) WHERE s_suppkey % 4 = kind)""",
+    """all_cells AS (
+      SELECT filing, table_id, row_idx, col_idx, col_name, cell FROM table_cells
+      UNION ALL SELECT filing, table_id, row_idx, 0, '0', label FROM supplier_lines
+      UNION ALL SELECT filing, table_id, row_idx, 1, '1', value FROM supplier_lines)""",
+    _FINANCE.replace("FROM table_cells", "FROM all_cells"), _NOT_EMPTY,
+    "grid AS (SELECT stacked.* FROM stacked JOIN good USING (filing, col))", *[s.strip() for s in STEPS[1:]],
+)
+_STOPPED = """SELECT f.filing, CASE
             WHEN f.filing NOT IN (SELECT filing FROM all_cells) THEN 'tables'
             WHEN f.filing NOT IN (SELECT filing FROM chosen) THEN 'finance tables'
             WHEN f.filing NOT IN (SELECT filing FROM facts) THEN 'facts' ELSE 'metrics' END AS stopped_before
           FROM (SELECT 'C' || c_custkey AS filing FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier) f
-          WHERE f.filing NOT IN (SELECT filing FROM trends)""",
+          WHERE f.filing NOT IN (SELECT filing FROM trends)"""
+_FAILED = f"""SELECT filing, stopped_before AS stage, CASE
+    WHEN filing LIKE 'S%' AND CAST(substr(filing, 2) AS BIGINT) % 4 = 0 THEN 'ValueError: spans add more than 10000000 cells'
+    ELSE 'nothing found' END AS message
+  FROM ({_STOPPED})"""
+
+ORACLE = {
+    "training_table": _training_sql(_FINANCE),
+    "training_table_per_keyword": _training_sql(_COPIES),
+    "skip_report": with_sql(
+        *_CHAIN,
+        select=f"SELECT filing, stopped_before FROM ({_STOPPED})",
+    ),
+    "filing_failures": with_sql(*_CHAIN, select=_FAILED),
+    "failure_summary": with_sql(
+        *_CHAIN,
+        select=f"""SELECT stage, message, count(*) AS n_filings, min(filing) AS first_filing
+          FROM ({_FAILED}) GROUP BY stage, message""",
     ),
     "scan_html_files": "SELECT 'page-' || page_id AS name, length(html) AS length, md5(html) AS content FROM pages",
     "html_normalize": f"""SELECT page_id, md5(array_to_string(list_transform(
