@@ -7,6 +7,7 @@ a whole filing. `row_no` and `col` are order keys and need not be dense.
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingforge import vocabulary as V
@@ -171,12 +172,12 @@ def carry_header_dates(grid: DataFrame) -> DataFrame:
     A column keeps its date until a later block gives it another, across the tables of a
     filing; a block at the end of a filing changes nothing. Needs `first_col` and `is_header`.
 
-    Only dates move through a filing, not cells: the last date of every column is carried from run to
-    run of rows, for the columns that the run has, and each run meets these and its own dates in one
-    small array. What is written in between grows with tables and headers, not with cells.
+    Only dates move through a filing: the last date of every column is carried from run to run of rows, for the columns
+    that the run has. Inside a run the cells of a column and its dates are read once, in order, after the date that the
+    run begins with, so the work is linear whatever the share of header rows, and no task holds more than a run.
     """
     run, said = F.shiftright("row_no", RUN), F.struct("row_no", "date_text", "context")
-    heads = stage(header_dates(grid), "header-dates").select("filing", "col", run.alias("run"), said.alias("said"))
+    heads = stage(header_dates(grid), "header-dates").select("filing", run.alias("run"), "col", "row_no", said.alias("said"))
     data = grid.where("not is_header")
     columns = data.select("filing", run.alias("run"), F.explode(F.transform("cells", lambda c: c["col"])).alias("col")).distinct()
     lasts = heads.groupBy("filing", "col", "run").agg(F.max("said").alias("said"))
@@ -184,23 +185,18 @@ def carry_header_dates(grid: DataFrame) -> DataFrame:
     marks = stage(marks.unionByName(lasts.select("filing", "col", (F.col("run") * 2 + 1).alias("at"), "said")), "date-marks")
     carried = carry_forward(marks, ["filing", "col"], "at", "said", "before", shifts=_MARK_SHIFTS)
     before = carried.where("at % 2 = 0 and before is not null").select(
-        "filing", F.shiftright("at", 1).alias("run"), "col", F.col("before").alias("said")
-    )
-    dates = before.unionByName(heads.select(*before.columns)).groupBy("filing", "run").agg(
-        F.collect_list(F.struct("said.row_no", "said.date_text", "said.context", "col")).alias("dates")
+        "filing", F.shiftright("at", 1).alias("run"), "col", F.lit(-1).cast("long").alias("row_no"), F.col("before").alias("said")
     )
     labels = F.filter("cells", lambda c: c["col"] == F.col("first_col"))
-
-    def dated(c):
-        mine = F.filter("dates", lambda d: (d["col"] == c["col"]) & (d["row_no"] < F.col("row_no")))
-        latest = F.array_max(mine)  # by row
-        return F.struct(c["col"].alias("col"), c["text"].alias("cell"), latest["date_text"].alias("date_text"), latest["context"].alias("context"))
-
     others = F.filter("cells", lambda c: (c["col"] != F.col("first_col")) & c["text"].isNotNull())
-    rows = data.withColumn("run", run).join(stage(dates, "dates-in-runs"), ["filing", "run"], "left")
-    return rows.select(
-        "filing", "row_no", F.coalesce(F.get(labels, F.lit(0))["text"], F.lit("")).alias("label"), F.inline(F.transform(others, dated))
-    ).select("filing", "row_no", "col", "label", "cell", "date_text", "context")
+    cells = data.select(
+        "filing", run.alias("run"), "row_no", F.coalesce(F.get(labels, F.lit(0))["text"], F.lit("")).alias("label"),
+        F.inline(F.transform(others, lambda c: F.struct(c["col"].alias("col"), c["text"].alias("cell")))),
+    )
+    column_of_run = W.partitionBy("filing", "run", "col").orderBy("row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = cells.unionByName(heads.unionByName(before), allowMissingColumns=True)
+    dated = rows.withColumn("said", F.last("said", ignorenulls=True).over(column_of_run)).where("cell is not null")
+    return dated.select("filing", "row_no", "col", "label", "cell", "said.date_text", "said.context")
 
 
 def emit_facts(dated: DataFrame) -> DataFrame:

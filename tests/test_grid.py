@@ -187,3 +187,17 @@ def test_hot_filing_over_many_runs(spark):
     got = sorted(map(tuple, G.locate_facts(G.clean_grid(cells_frame(spark, grids))).collect()))
     want = sorted((f, *fact) for f, grid in grids.items() for fact in loop_facts(grid))
     assert len(want) > 15_000 and got == want
+
+
+def test_dates_of_alternating_rows_over_several_runs(spark):
+    """Every other row is a header, so a run of rows holds as many dates as data rows."""
+    n = 9000
+    text = "if(id % 2 = 0, concat('December 31, ', 1000 + id div 2), string(id))"
+    grid = spark.range(n).selectExpr(
+        "'f' AS filing", "id AS row_no", "0L AS first_col",
+        f"array(struct(0L AS col, 'Cash' AS text), struct(1L AS col, {text} AS text)) AS cells",
+    )
+    found = G.carry_header_dates(G.date_header_rows(grid)).collect()
+    assert sorted((r.row_no, r.cell, r.date_text) for r in found) == [
+        (i, str(i), f"December 31, {1000 + i // 2}") for i in range(1, n, 2)
+    ]
