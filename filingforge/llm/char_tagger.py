@@ -3,12 +3,14 @@
 import numpy as np
 
 #: Characters by class; the network sees classes only. 0 is outside a text.
-_MARKS = " @.-+()_%:/#=,;"
+_MARKS = " @.-+()_%:/#=,;[]"
 CLASSES = 6 + len(_MARKS)
 
 
 def classes_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    wide = (points >= 0xFF01) & (points <= 0xFF5E)  # full-width forms are read as what they stand for
+    points = np.where(wide, points - np.uint32(0xFEE0), points)
     table = np.full(256, 5, np.int64)  # others
     table[48:58], table[97:123], table[65:91], table[9:14] = 1, 2, 3, 4
     for i, c in enumerate(_MARKS):
@@ -108,7 +110,7 @@ class Tagger:
         np.add.at(grad["embed"], ids, dx)
         return grad
 
-    def fit(self, ids: np.ndarray, gold: np.ndarray, steps: int = 260, batch: int = 64, rate: float = 0.02, seed: int = 11):
+    def fit(self, ids: np.ndarray, gold: np.ndarray, steps: int = 420, batch: int = 64, rate: float = 0.02, seed: int = 11):
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}

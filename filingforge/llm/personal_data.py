@@ -1,12 +1,13 @@
 """Personal data: four kinds by pattern, and more of them by a character BiLSTM with CRF transitions.
 
 The tagger is trained in numpy on spans that the patterns label in a bounded sample (`sample` texts with a digit or @,
-by lowest hash of the id; `windows` windows of their characters). It reads windows of WINDOW characters that overlap by
-half; where windows overlap, their emissions are averaged, the more central counting more, and each stretch of windows
-is decoded as one. Every kind holds a digit or @, so characters more than half a window away from any are outside
-spans by definition and need no window. Its spans are added where they meet none of the patterns' and have the form of
-their kind: email an @ between other characters, ip four numbers up to 255, card 13 to 19 digits that pass
-Luhn, phone 9 to 15 digits.
+by lowest hash of the id; `windows` windows of their characters), as they stand and disturbed: other separators, dots
+in brackets, blanks inside, full-width digits, phones without their plus. So it finds what the patterns do not. It reads
+windows of WINDOW characters that overlap by half; where windows overlap, their emissions are averaged, the more central
+counting more, and each stretch of windows is decoded as one. Every kind holds a digit or @, so characters more than
+half a window away from any are outside spans by definition and need no window. Its spans are added where they meet none
+of the patterns' and have the form of their kind: email an @ between other characters, ip four numbers up to 255 with dots,
+card 13 to 19 digits in groups that pass Luhn, phone 9 to 15 digits with a plus before them or an area code in brackets.
 
 A null or empty text has no spans. Null keys and repeated rows stay, each on its own. Without labelled spans only the
 patterns speak. Empty tables give no rows; other columns are not read by `personal_data`, and kept by `masked`.
@@ -34,7 +35,17 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGNAL = re.compile(r"[0-9@]")
+_SIGNAL = re.compile("[0-9@\uff10-\uff19\uff20]")
+_WIDE = {c: c + 0xFEE0 for c in b"0123456789@"}
+_NARROW = {c + 0xFEE0: c for c in range(0x21, 0x7F)}
+#: Forms of spans the tagger may add, over narrowed texts.
+_EMAIL_FORM = re.compile(r"[^\s@]+@[^\s@]+|[^\s@]+ @ [^\s@]+\.[^\s@]+")
+_IP_FORM = re.compile(r"[0-9]{1,3}(?:(?: \. |[\[(]\.[\])]|\.)[0-9]{1,3}){3}")
+_CARD_FORM = re.compile(
+    r"[0-9]{4}([^0-9A-Za-z]{0,3})(?:[0-9]{4}\1){2}[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([^0-9A-Za-z]{0,3})[0-9]{6}\2[0-9]{5}"
+)
+_PHONE_FORM = re.compile(r"\+[ (]{0,2}[0-9](?:[^0-9A-Za-z]{0,3}[0-9])*")
+_AREA_FORM = re.compile(r"[0-9]{1,3} ?\([0-9]{3,4}\) ?[0-9]{3,4}[ .-]?[0-9]{4}")
 
 
 def _emails(text: str):
@@ -97,10 +108,43 @@ def _cut(ids: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def labelled_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows (classes, tags) of a text; tags by the patterns, the first kind that claims a character."""
+def _disturbed(kind: int, span: str, rng: np.random.Generator) -> str:
+    """The span as the patterns do not know it."""
+    way, digits = rng.integers(4), _digits(span)
+    if way == 0:
+        return span.translate(_WIDE)
+    if kind == 0:
+        name, host = span.split("@")
+        return f"{name} @ {host}" if way == 1 else f"{name}@{host.replace('.', '[.]' if way == 2 else '(.)')}"
+    if kind == 1:
+        return span.replace(".", ("[.]", "(.)", " . ")[way - 1])
+    if kind == 2:
+        return rng.choice([".", "/", "_", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if way == 1:
+        return re.sub(r"[\x20().-]+", rng.choice(["/", "_", " / "]), span)
+    if way == 2:
+        return "+ " + span[1:]
+    return f"{digits[:-10] or 1} ({digits[-10:-7] or '00'}) {digits[-7:-4]}-{digits[-4:]}"
+
+
+def disturb(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its spans disturbed, and where they stand now; of spans that meet, the first."""
+    out, spans, last, size = [], [], 0, 0
+    for kind, a, b in sorted(base_spans(text), key=lambda s: (s[1], s[0])):
+        if a < last:
+            continue
+        new = _disturbed(kind, text[a:b], rng)
+        size += a - last
+        out += [text[last:a], new]
+        spans.append((kind, size, size + len(new)))
+        size, last = size + len(new), b
+    return "".join([*out, text[last:]]), sorted(spans)
+
+
+def labelled_windows(text: str, spans: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows (classes, tags) of a text; tags by the given spans or the patterns, the first kind that claims a character."""
     ids, tags = classes_of(text), np.zeros(len(text), np.int64)
-    for kind, a, b in reversed(base_spans(text)):
+    for kind, a, b in reversed(base_spans(text) if spans is None else spans):
         tags[a:b] = 2 + 2 * kind
         tags[a] = 1 + 2 * kind
     return [(_cut(ids[a:b], s), _cut(tags[a:b], s)) for a, b in _stretches(text) for s in _windows(b - a)]
@@ -125,6 +169,8 @@ def learn_tagger(docs: DataFrame, sample: int = 600, windows: int = 1500, key: s
         for batch in batches:
             for number, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 found = labelled_windows(text or "")
+                if any(t.any() for _, t in found):
+                    found += [w for w in labelled_windows(*disturb(text, np.random.default_rng(number % (1 << 63)))) if w[1].any()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()),
@@ -152,15 +198,15 @@ def stage_windows(rows: DataFrame) -> DataFrame:
 
 
 def _well_formed(kind: int, text: str) -> bool:
+    text = text.translate(_NARROW)
     digits = _digits(text)
     if kind == 0:
-        return re.fullmatch(r"[^\s@]+@[^\s@]+", text) is not None
+        return _EMAIL_FORM.fullmatch(text) is not None
     if kind == 1:
-        numbers = re.findall(r"[0-9]+", text)
-        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and not any(map(str.isalpha, text))
-    if any(map(str.isalpha, text)):
-        return False
-    return 13 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+        return _IP_FORM.fullmatch(text) is not None and all(int(x) <= 255 for x in re.findall(r"[0-9]+", text))
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and _CARD_FORM.fullmatch(text) is not None and _luhn(digits)
+    return 9 <= len(digits) <= 15 and (_PHONE_FORM.fullmatch(text) or _AREA_FORM.fullmatch(text)) is not None
 
 
 def all_spans(texts: list[str], tagger) -> list[tuple[list, list]]:

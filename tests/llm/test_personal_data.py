@@ -7,7 +7,7 @@ import pytest
 
 from filingforge.llm import personal_data as module
 from filingforge.llm.char_tagger import Tagger, classes_of
-from filingforge.llm.personal_data import KINDS, all_spans, allowed_steps, base_spans, labelled_windows, masked, personal_data
+from filingforge.llm.personal_data import KINDS, all_spans, allowed_steps, base_spans, disturb, labelled_windows, masked, personal_data
 
 from .conftest import ODD
 
@@ -104,9 +104,16 @@ def test_decoding_takes_the_best_allowed_path():
 def private_texts(n, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+
+
+    def card():
+        digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
+        whole = next(digits + str(c) for c in range(10) if luhn(digits + str(c)))
+        return rng.choice([" ", "-", ""]).join(whole[i : i + 4] for i in range(0, 16, 4))
+
     kinds = [
         lambda: f"{word()}.{rng.randint(1, 99)}@{word()}{rng.randint(1, 9)}.example.com", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-        lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", lambda: f"version {rng.randint(1, 9)}.0", lambda: f"in {rng.randint(1900, 2030)}",
+        card, lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", lambda: f"version {rng.randint(1, 9)}.0", lambda: f"in {rng.randint(1900, 2030)}",
     ]
     return [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + [rng.choice(kinds)()] + [word() for _ in range(rng.randint(0, 30))])) for i in range(n)]
 
@@ -126,6 +133,24 @@ def test_the_tagger_learns_the_labelled_spans():
     assert all(a[2] <= b[1] or b[2] <= a[1] for a in every for b in every if a not in base and a != b)
 
 
+def test_disturbed_spans_are_found_and_clean_texts_are_left():
+    train = [w for i, t in private_texts(400, 5) for w in [*labelled_windows(t), *labelled_windows(*disturb(t, np.random.default_rng(i)))]]
+    tagger = Tagger(9).fit(np.stack([i for i, _ in train]), np.stack([t for _, t in train]))
+    held_out = [disturb(t, np.random.default_rng(1000 + i)) for i, t in private_texts(400, 6)]
+    wanted, hit = np.zeros(4), np.zeros(4)
+    for (text, spans), (base, every) in zip(held_out, all_spans([t for t, _ in held_out], tagger)):
+        assert base == plain(text) and set(base) <= set(every)
+        for span in spans:
+            if not any(b < span[2] and span[1] < c for _, b, c in base):  # the patterns find nothing of it
+                wanted[span[0]] += 1
+                hit[span[0]] += span in every
+    assert (wanted > 20).all() and hit.sum() / wanted.sum() > 0.8, (hit, wanted)
+    rng = random.Random(9)
+    clean = ["in 1998, chapter 12 (page 44) of 2,300", "ratio 3/4 at 10:30 on 2021-03-04, 5 @ 3", "version 1.2.3", "10 . 20", "call 911 or 411 (ext. 12)"]
+    clean += [" ".join(rng.choice(["a", "the", "word", str(rng.randint(0, 99999)), f"{rng.randint(1, 9)}.{rng.randint(0, 99)}", "(12)"]) for _ in range(60)) for _ in range(200)]
+    assert [every for base, every in all_spans(clean, tagger) if every != base] == []
+
+
 def test_query_on_odd_rows(documents):
     texts = [*ODD, *((1000 + i, t) for i, t in private_texts(150, 3))]
     rows = personal_data(documents(texts)).collect()
