@@ -31,6 +31,8 @@ from .pieces import ByteLevel
 from .text_arrays import slices, spans_of
 
 SHARD_TOKENS = 1_500_000
+#: Bytes of text that a task tokenizes at once.
+SLICE = 1 << 19
 #: A bucket of more than a shard's PARTS-th is divided; a token counts as a bucket if it is in a PARTS-th of a shard's rests.
 PARTS = 4
 #: BM25 as usual: how fast repeated tokens saturate, how much the length counts.
@@ -52,7 +54,7 @@ def _rests(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
         pieces = ByteLevel(tokenizer)
         task = TaskContext.get()
         salt = (task.partitionId() if task else 0) << 33
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, offsets = pieces.ids(batch.column("text"))
             rows = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -151,7 +151,6 @@ class ByteLevel:
 
     def __init__(self, text: str):
         import regex
-        from tokenizers import Tokenizer
 
         spec = json.loads(text)
         vocabulary, letters = spec["model"]["vocab"], self._letters()
@@ -166,7 +165,7 @@ class ByteLevel:
         for letter, b in letters.items():
             self.byte[b] = vocabulary[letter]
         self.added = [x["content"] for x in spec["added_tokens"]]
-        self.whole = Tokenizer.from_str(text)
+        self.text = text
         every = np.r_[:0xD800, 0xE000:_LAST].astype("<u4").tobytes().decode("utf-32-le")
         self.kind = np.zeros(_LAST, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space
         for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
@@ -225,10 +224,12 @@ class ByteLevel:
             special = [any(a in t for a in self.added) for t in texts]
             if any(special):
                 import pyarrow as pa
+                from tokenizers import Tokenizer
 
+                whole = Tokenizer.from_str(self.text)
                 plain, at = self.ids(pa.array([None if s else t for s, t in zip(special, texts)], pa.string()))
                 parts = [
-                    np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) if s else plain[at[i] : at[i + 1]]
+                    np.array(whole.encode(t, add_special_tokens=False).ids, np.int32) if s else plain[at[i] : at[i + 1]]
                     for i, (s, t) in enumerate(zip(special, texts))
                 ]
                 return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
