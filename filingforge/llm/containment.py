@@ -25,13 +25,16 @@ from ..operators.staging import stage
 from .graphs import bit_table, in_table
 from .text_arrays import Hasher, distinct_per_text, flat_bytes, shingles, slices
 
+#: Bytes of text that a task reads at once.
+SLICE = 1 << 19
+
 
 def item_shingles(items: DataFrame, k: int, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, width, hash): the distinct shingles of every item."""
 
     def cut(batches):
         hasher = Hasher()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             data, offsets = flat_bytes(batch.column(text))
             words, owner = hasher.words(data, offsets)
             counts = np.bincount(owner, minlength=len(batch))
@@ -69,7 +72,7 @@ def contained_items(
 
     def search(batches):
         hasher = Hasher()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             data, offsets = flat_bytes(batch.column(text))
             words, owner = hasher.words(data, offsets)
             parts = [shingles(words, owner, width, whole=False) for width in widths]

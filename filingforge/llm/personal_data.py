@@ -27,6 +27,8 @@ from .text_arrays import slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
+#: Bytes of text that a task reads at once.
+SLICE = 1 << 19
 _TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of every kind
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -256,7 +258,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", **bounds) -> DataFrame:
     tagger = learn_tagger(docs, key=key, **bounds)
 
     def find(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             both = all_spans([t or "" for t in batch.column("text").to_pylist()], tagger)
             counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in both], pa.int64()) for kind in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in both], pa.string())
@@ -276,7 +278,7 @@ def masked(docs: DataFrame, **bounds) -> DataFrame:
     names = docs.columns
 
     def mask(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             new = []
             for text, (_, spans) in zip(texts, all_spans([t or "" for t in texts], tagger)):
