@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,20 @@ def test_listed_words_are_a_table(spark):
     words = spark.createDataFrame([("Group",), ("Group",), (None,)], "word string")
     assert {r.value for r in K.without_listed_words(rows, words).collect()} == {1, 3, 5}
     assert K.without_listed_words(rows, words.limit(0)).count() == 5
+
+
+def test_characters_are_counted_in_windows(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(T, "WINDOW", 64)
+    data = np.frombuffer(("aé€😀 " * 40).encode(), np.uint8)
+    places = np.random.default_rng(1).integers(0, len(data) + 1, 500)
+    assert T._characters_before(data, places).tolist() == [int(((data[:p] & 0xC0) != 0x80).sum()) for p in places]
+    assert T._characters_before(data[:0], np.array([0, 0])).tolist() == [0, 0]
+    monkeypatch.setattr(T, "WINDOW", 1 << 16)
+    data, places = np.zeros(8 << 20, np.uint8), np.arange(100)
+    tracemalloc.start()
+    T._characters_before(data, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(data) // 4
