@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingforge.functions.labels import url_basename
-from filingforge.operators.staging import stage
+from filingforge.operators.staging import listed_in_few_tasks, stage
 from filingforge.vocabulary import READER_NULLS
 
 CATALOG_SCHEMA = (
@@ -33,13 +33,15 @@ def _file_columns() -> list[Column]:
 
 def read_filings(spark: SparkSession, root: str) -> DataFrame:
     """(symbol, file_name, html) for every `<root>/<symbol>/<file>`, line ends as in text mode."""
-    pages = spark.read.text(f"{root}/*/*", wholetext=True)
+    with listed_in_few_tasks(spark):
+        pages = spark.read.text(f"{root}/*/*", wholetext=True)
     return pages.select(*_file_columns(), F.regexp_replace("value", "\r\n?", "\n").alias("html"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(symbol, file_name) of every `<root>/<symbol>/<file>`; contents are not read."""
-    return spark.read.format("binaryFile").load(f"{root}/*/*").select(*_file_columns())
+    with listed_in_few_tasks(spark):
+        return spark.read.format("binaryFile").load(f"{root}/*/*").select(*_file_columns())
 
 
 def candidate_files(spark: SparkSession, base: str, parents: list[str]) -> DataFrame:
@@ -95,7 +97,9 @@ def csv_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A file that is not valid UTF-8 throughout is read as Latin-1.
     """
-    lines = spark.read.text(path).select(
+    with listed_in_few_tasks(spark):
+        lines = spark.read.text(path)
+    lines = lines.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
         F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),  # places rise within a range
     )

@@ -174,3 +174,22 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {(r.cells, r.odd): (r.n, r["last"]) for r in found} == {(3, 0): (80_000, 159_998), (41, 1): (80_000, 159_999)}
+
+
+def test_many_files_are_listed_in_few_tasks(spark, tmp_path):
+    for n in range(60):
+        (tmp_path / f"S{n}").mkdir()
+        (tmp_path / f"S{n}" / "a.csv").write_text(f"{n},x\n")
+    context = spark.sparkContext
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    context.setJobGroup("listing", "")
+    try:
+        found = [files.list_files(spark, str(tmp_path)), files.read_filings(spark, str(tmp_path)), files.read_grids(spark, f"{tmp_path}/*")]
+        tracker = context.statusTracker()
+        stages = [i for job in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(job).stageIds]
+        tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) <= 4 * context.defaultParallelism < 60
+    assert [f.count() for f in found] == [60, 60, 60]
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before

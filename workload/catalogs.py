@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from filingforge.operators import columns as column_ops
 from filingforge.operators import stats
 from filingforge.operators import wide
-from filingforge.operators.staging import new_folder
+from filingforge.operators.staging import new_folder, with_once
 from filingforge.sources import committed
 from filingforge.sources import files as file_ops
 from workload.inputs import (
@@ -33,7 +33,7 @@ def scan_grid_headerless(spark, sf_dir):
     """Rows of ten customers at a time written as one headerless CSV file and read back."""
     path = new_folder(spark, "grids")
     group = F.floor(F.substring("doc", 2, 20).cast("long") / 10).cast("string")
-    rows = document_rows(spark, sf_dir).withColumn("doc", group)
+    rows = with_once(document_rows(spark, sf_dir), {"doc": group, "cells": F.col("cells")})
     rows.select("doc", "row_idx", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)]).where(
         "coalesce(c0, c1, c2, c3) is not null"
     ).repartition("doc").sortWithinPartitions("doc", "row_idx").drop("row_idx").write.partitionBy("doc").csv(
