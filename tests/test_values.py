@@ -113,3 +113,13 @@ def test_plain_number(values_of):
 )
 def test_period_context(spark, context, kept):
     assert bool(period_context_filter(spark.createDataFrame([(context,)], "context string")).count()) == kept
+
+
+def test_cells_without_dash_slash_or_letter_are_not_searched_for_dates(spark, values_of):
+    texts = [None, "", "$1,234.56", "(12)", "1/2/2020", "2020-01-02", "5 ſep 2020", "May 1,  2020", "For the year ended March 31 2020", "a  b", "5"]
+    plain = lambda t: F.replace(t, F.lit("  "), F.lit(" ")).rlike(dates._HEADER)
+    assert values_of(dates.has_header_date, texts) == values_of(plain, texts)
+    # The plan shows the look for a letter, which comes before the notations.
+    df = spark.createDataFrame([("1 ",)], "t string")
+    shown = df.select(dates.has_header_date(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in shown and r"\p{L}" in shown
