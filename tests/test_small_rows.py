@@ -1,12 +1,14 @@
 """Small rows that are many do not go through the driver, however little room their files take."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from filingforge.operators import facts as facts_ops
 from filingforge.operators import grid as grid_ops
 from filingforge.operators.ordered import number_rows
 from filingforge.operators.staging import stage
 from filingforge.operators.tables import find_finance_tables, single_grid, stack_tables
+from workload import grids
 
 
 @pytest.fixture
@@ -43,3 +45,11 @@ def test_facts(spark, no_broadcast):
 def test_row_numbers_of_many_runs(spark, no_broadcast):
     rows = stage(spark.range(400).selectExpr("concat('K', id % 200) AS k", "id << 12 AS at"), "rows")
     assert number_rows(rows, ["k"], "at", "n").where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(grids.QUERIES) - {"null_placeholders", "date_header_rows", "carry_header_dates"}))
+def test_grid_queries(spark, no_broadcast, tmp_path, name):
+    orders = [(10 * n + k, n, "O", 1000.0 + k, f"{1995 + k}-03-01", f"{k + 1}-HIGH") for n in range(80) for k in range(5)]
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    spark.createDataFrame(orders, columns).withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert grids.QUERIES[name](spark, str(tmp_path)).count() >= 80
