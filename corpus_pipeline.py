@@ -11,30 +11,36 @@ from filingforge.llm.containment import without_items
 from filingforge.llm.near_duplicates import without_copies
 from filingforge.llm.packing import packed
 from filingforge.llm.personal_data import masked
+from filingforge.llm.text_arrays import in_small_batches
 from filingforge.llm.toxicity import without_toxic
 from filingforge.operators.staging import stage
 
 
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
     return without_copies(docs)
 
 
+@in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked."""
     return masked(docs)
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))

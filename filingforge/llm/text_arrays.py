@@ -4,12 +4,16 @@ All functions treat a null text as empty and never cut a text. Hashes have 64 bi
 values, taken from running sums, then mixed. Nothing here depends on how rows are dealt over batches.
 """
 
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once. A longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Bytes of rows in an Arrow batch under `in_small_batches`.
+BATCH_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be inverted
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,6 +39,19 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
             first = last
 
 
+def in_small_batches(step):
+    """`step(spark, ...)` with texts passed to Python in Arrow batches of about `BATCH_BYTES` or one row. Spark's own are of
+    10,000 rows, however long their texts are: the JVM and Python hold such a batch several times over, for every task. A
+    plan takes the setting when it runs, which may be after the step, so the session keeps it; it changes no result."""
+
+    @wraps(step)
+    def stepped(spark, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return step(spark, *args)
+
+    return stepped
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offsets of the texts in them."""
     column = pc.fill_null(column, "")

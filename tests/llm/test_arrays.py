@@ -8,9 +8,10 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from filingforge.llm import ragged_bpe
 from filingforge.llm.pieces import ByteLevel, SentencePieces
-from filingforge.llm.text_arrays import Hasher, flat_bytes, shingle_sets, shingles, slices
+from filingforge.llm.text_arrays import BATCH_BYTES, Hasher, flat_bytes, shingle_sets, shingles, slices
 
 ODD = [
     "", None, "  a  b ", "a\nb\tc", "<s> hi </s> <unk>", "\x00x", "日本語𐍈", "a　b", "<0x0A>", "▁a", "it's they'll 'so ''s we're\n's 'll  've x'rex",
@@ -95,3 +96,17 @@ def test_slices_keep_every_row():
     column = pa.array(["a" * 100, None, "", "b" * 3000, "c"] * 5)
     parts = list(slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", 500))
     assert pa.concat_arrays([p.column(0) for p in parts]).to_pylist() == column.to_pylist() and len(parts) > 5
+
+
+def test_stages_of_the_pipeline_pass_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)]), pa.array([batch.nbytes])], ["n", "size"])
+
+    monkeypatch.setattr(corpus_pipeline, "masked", lambda docs: docs.mapInArrow(sizes, "n long, size long"))
+    docs = spark.range(0, 3000, 1, 2).selectExpr("id AS doc_id", "repeat('word ', 400 + cast(id % 200 AS int)) AS text")
+    try:
+        found = corpus_pipeline.personal_data(spark, docs, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 2 * BATCH_BYTES
