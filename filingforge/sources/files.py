@@ -1,6 +1,9 @@
 """Files in and out."""
 
+import os
+import uuid
 from functools import reduce
+from itertools import groupby
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +41,48 @@ def read_filings(spark: SparkSession, root: str) -> DataFrame:
     return pages.select(*_file_columns(), F.regexp_replace("value", "\r\n?", "\n").alias("html"))
 
 
+def _opened_by_tasks(spark: SparkSession, root: str) -> str | None:
+    """`root` as a path that Python opens, where Spark takes it for one of the local or mounted file system; else None."""
+    scheme, colon, rest = root.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").partition(":")[0], root
+    return "/" + rest.lstrip("/") if scheme == "file" and rest.startswith("/") else None
+
+
+def write_filings(filings: DataFrame, root: str) -> str:
+    """Write (symbol, name, html) as one file per symbol and name, each row ended by a line end; gives the root for `read_filings`.
+
+    Spark's writer takes a folder for each file. On local or mounted file systems Hadoop starts up to five processes for the two
+    (permissions, checksums), which takes a hundred times longer than writing a page. There the tasks write
+    `<root>/symbol=<symbol>/name=<name>` themselves. A task that runs again replaces its files, each as a whole. In any other store
+    Spark writes `<root>/symbol=<symbol>/name=<name>/<file>`.
+    """
+    folder = _opened_by_tasks(filings.sparkSession, root)
+    if folder is None:
+        filings.select("symbol", "name", "html").repartition("symbol", "name").write.partitionBy("symbol", "name").text(root)
+        return f"{root}/*"
+
+    def write(rows):
+        made = set()
+        for (symbol, name), same in groupby(rows, lambda row: (row["symbol"], row["name"])):
+            if symbol not in made:
+                os.makedirs(f"{folder}/symbol={symbol}", exist_ok=True)
+                made.add(symbol)
+            unfinished = f"{folder}/symbol={symbol}/.{uuid.uuid4().hex}"
+            with open(unfinished, "wb") as file:
+                for row in same:
+                    file.write(row["html"] or b"")
+                    file.write(b"\n")
+            os.replace(unfinished, f"{folder}/symbol={symbol}/name={name}")
+
+    def as_file_name(c: str) -> Column:
+        return F.replace(F.url_encode(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))), F.lit("+"), F.lit("%20"))
+
+    named = filings.select(as_file_name("symbol").alias("symbol"), as_file_name("name").alias("name"), F.col("html").cast("binary").alias("html"))
+    named.repartition("symbol", "name").sortWithinPartitions("symbol", "name").foreachPartition(write)
+    return root
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(symbol, file_name) of every `<root>/<symbol>/<file>`; contents are not read."""
     with listed_in_few_tasks(spark):

@@ -63,6 +63,33 @@ def test_candidates_in_folders(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {("a", "x.htm", "one"), ("b", "x.htm", "two")}
 
 
+def _written(spark, root, rows):
+    """Texts that `read_filings` gives for rows written before, by the parts of their paths that hold a `=`."""
+    df = spark.createDataFrame(rows, "symbol string, name string, html string").repartition(5)
+    found = files.read_filings(spark, files.write_filings(df, root)).collect()
+    return sorted(("/".join(p for p in (r.symbol, r.file_name) if p.startswith("name=")), r.html) for r in found)
+
+
+def test_filings_are_written_as_one_file_each_in_any_store(spark, tmp_path, monkeypatch):
+    rows = [("S1", f"page-{n}", f"text {n}\nmore é") for n in range(40)] + [("S2", "page-1", "x"), ("S2", "null", None), ("S2", "blank", "")]
+    rows += [("S2", "twice", "y"), ("S2", "twice", "y"), ("S-3", "page--3", "z"), (None, None, "a"), (None, "", "a")]
+    want = [(f"name={n}", f"{t}\n") for s, n, t in rows[:41]] + [("name=null", "\n"), ("name=blank", "\n"), ("name=twice", "y\ny\n"), ("name=page--3", "z\n")]
+    want = sorted([*want, ("name=__HIVE_DEFAULT_PARTITION__", "a\na\n")])
+    for root in (f"{tmp_path}/plain", f"file:{tmp_path}/named", f"file://{tmp_path}/named again"):
+        assert _written(spark, root, rows) == want
+    assert all(p.is_file() for p in tmp_path.glob("*/*/*"))  # no folder for each, nothing unfinished
+    assert len(list(tmp_path.glob("plain/*/*"))) == len(want)
+    assert _written(spark, f"{tmp_path}/plain", rows) == want  # as a task that runs again
+    monkeypatch.setattr(files, "_opened_by_tasks", lambda *_: None)
+    by_spark = _written(spark, f"{tmp_path}/store", rows[:-2])
+    assert by_spark == [w for w in want if "HIVE" not in w[0]]
+
+
+def test_only_local_paths_are_opened_by_tasks(spark):
+    opened = {p: files._opened_by_tasks(spark, p) for p in ("/a:b/c", "file:/a b", "file:///a", "s3a://b/a", "viewfs://store/in", "hdfs:/a", "a/b")}
+    assert opened == {"/a:b/c": "/a:b/c", "file:/a b": "/a b", "file:///a": "/a"} | dict.fromkeys(["s3a://b/a", "viewfs://store/in", "hdfs:/a", "a/b"])
+
+
 def test_first_source(spark):
     catalog = spark.createDataFrame([("a", "u/x.htm"), ("b", "u/y.htm")], "symbol string, url string")
     found = spark.createDataFrame([("p2", 2, "a", "x.htm"), ("p1", 1, "a", "x.htm"), ("p1", 1, "c", "x.htm")], "parent string, priority int, symbol string, file_name string")
