@@ -52,8 +52,8 @@ def _opened_by_tasks(spark: SparkSession, root: str) -> str | None:
 def write_filings(filings: DataFrame, root: str) -> str:
     """Write (symbol, name, html) as one file per symbol and name, each row ended by a line end; gives the root for `read_filings`.
 
-    Spark's writer takes a folder for each file. On local or mounted file systems Hadoop starts up to five processes for the two
-    (permissions, checksums), which takes a hundred times longer than writing a page. There the tasks write
+    Spark's writer takes a folder for each file. On local or mounted file systems Hadoop, where its native library is missing,
+    starts processes to set the permissions of the two, which takes many times longer than writing a page. There the tasks write
     `<root>/symbol=<symbol>/name=<name>` themselves. A task that runs again replaces its files, each as a whole. In any other store
     Spark writes `<root>/symbol=<symbol>/name=<name>/<file>`.
     """
