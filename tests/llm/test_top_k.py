@@ -63,3 +63,41 @@ def test_repeated_ids_with_different_vectors(spark):
     rng = random.Random(3)
     rows = [(i % 40 * 5, [rng.randint(-9, 9) / 1024 * rng.choice([1, 8]) for _ in range(8)]) for i in range(400)]
     assert result(spark, rows, lists=8) == brute(rows)
+
+
+def test_tiles_and_kinds_of_numbers(spark, monkeypatch):
+    from filingforge.llm import top_k
+
+    monkeypatch.setattr(top_k, "TILE", (3, 7))
+    monkeypatch.setattr(top_k, "FIRST", 11)
+    monkeypatch.setattr(top_k, "LEAST_A_BLOCK", 90)
+    rng = random.Random(4)
+    for peak in (0.25, 2.0**8, 2.0**18):  # of 32 and of 64 bits, integers
+        rows = [(i * 10 % 1900 - 300, [peak * rng.choice([-1.0, -0.5, 0.25, 0.75]) for _ in range(6)]) for i in range(400)]
+        assert result(spark, rows) == brute(rows)
+
+
+def test_components_beyond_the_integers_are_cut_to_them(spark):
+    from filingforge.llm.top_k import _whole_numbers
+
+    frame = spark.createDataFrame([(1, [1e308, -1e308, -0.5 / 1024, 0.0]), (2, [1.0, None]), (3, [])], "id long, x array<double>")
+    found = frame.mapInArrow(_whole_numbers, "id long, v array<long>, square double").collect()
+    assert {r.id: r.v for r in found} == {1: [2**63 - 1, -(2**63), -1, 0], 3: []}
+
+
+def test_the_cutoff_is_safe_and_close(spark, monkeypatch):
+    """Of 16,000 pairs only some hundreds may have to be ranked: nearly all reached the cutoff made of partial scores."""
+    from filingforge.llm import top_k
+
+    staged = {}
+    stage = top_k.stage
+    monkeypatch.setattr(top_k, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.125) for _ in range(64)]) for i in range(1600)]
+    assert result(spark, rows) == brute(rows)
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    cutoffs = {r.id: r.cutoff for r in staged["cutoffs"].join(staged["vectors"], "row").collect()}
+    assert sorted(cutoffs) == list(range(0, 1600, 100))
+    for q, cutoff in cutoffs.items():
+        scores = sorted((sum(a * b for a, b in zip(whole[q], whole[c])) for c in whole if c != q), reverse=True)
+        assert scores[9] >= cutoff >= scores[50]
